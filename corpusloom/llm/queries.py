@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
 
 ORACLES = {
