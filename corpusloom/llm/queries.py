@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, quality, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
