@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets
+from . import bpe, quality, secrets, warc
 
 QUERIES = {
+    "op10_warc": warc.op10_warc,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
 
 ORACLES = {
+    "op10_warc": warc.ORACLE,
     "op4_quality_rules": quality.oracle(),
 }
