@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets, warc
+from . import bpe, quality, secrets, sharding, warc
 
 QUERIES = {
+    "op5_kd_shards": sharding.op5_kd_shards,
     "op10_warc": warc.op10_warc,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_quality_rules": quality.op4_quality_rules,
