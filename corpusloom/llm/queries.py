@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets, sharding, warc
+from . import bpe, fingerprint, quality, secrets, sharding, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op5_kd_shards": sharding.op5_kd_shards,
     "op10_warc": warc.op10_warc,
     "op2_secret_scan": secrets.op2_secret_scan,
