@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, packing, quality, secrets, sharding, warc
+from . import bpe, fingerprint, packing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op5_kd_shards": sharding.op5_kd_shards,
