@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, lines, packing, quality, secrets, sharding, substrings, warc
+from . import bpe, fingerprint, jaccard, lines, packing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
+    "op3_chosen_path_join": jaccard.op3_chosen_path_join,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
