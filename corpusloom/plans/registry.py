@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corpusloom.operators import analytics, learner
 
-
-def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, distinct texts and characters per source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"))
-
-
-FLAGSHIP = source_profile
-QUERIES = {"source_profile": source_profile}
-ORACLES = {"source_profile": "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY source"}
+FLAGSHIP = analytics.progress_by_kb
+QUERIES = analytics.QUERIES | learner.QUERIES
+ORACLES = analytics.ORACLES | learner.ORACLES
