@@ -13,7 +13,6 @@ documents of any length are cut, never shortened; an empty table gives no pieces
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import TrieEncoder, read_vocabulary
+from .bpe import PATTERN, TrieEncoder, read_vocabulary
 from .common import clean_text, written
 
 CAPACITY, END = 2048, 0
@@ -32,28 +31,35 @@ PARTITION_PIECES, ROUNDS = 20_000, 6
 SLACK = 0.005
 
 
-class LibraryEncoder(TrieEncoder):
-    """The same cutting of texts, with new words encoded by the tokenizers library."""
+class WholeTextEncoder:
+    """Encodes whole texts in native code with the vocabulary file's tokens and merges; equal to the trie encoder.
+
+    Where the tokens' ids are not in the order of their merges, or native code gives up on a text, the trie encoder steps in.
+    """
 
     def __init__(self, vocabulary: str):
-        super().__init__(vocabulary)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.library = Tokenizer.from_str(vocabulary)
+        self.trie = TrieEncoder(vocabulary)
+        ranks = self.trie.id_of
+        in_order = [ranks[a + b] for (a, b), _ in sorted(self.trie.rank.items(), key=lambda x: x[1])]
+        self.native = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.trie.specials) if in_order == sorted(in_order) else None
 
-    def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            try:
+                yield self.native.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except (AttributeError, RuntimeError, ValueError):
+                yield next(self.trie.encode([text]))
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+_encoders: dict[str, WholeTextEncoder] = {}
 
 
-def _encoder(vocabulary: str) -> LibraryEncoder:
+def _encoder(vocabulary: str) -> WholeTextEncoder:
     if vocabulary not in _encoders:
         _encoders.clear()
-        _encoders[vocabulary] = LibraryEncoder(vocabulary)
+        _encoders[vocabulary] = WholeTextEncoder(vocabulary)
     return _encoders[vocabulary]
 
 
