@@ -8,7 +8,7 @@ last token of what stands before it; a word's ids are read off by walking the st
 
 Defined edge cases: null is encoded as the empty text (no ids); words of any length are encoded whole;
 special tokens of the vocabulary that occur in a text become their own id; equal rows give equal rows;
-columns of the input other than the text pass through `encode`.
+columns of the input other than the text pass through `encode`, but for one named as the output.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import clean_text
+from .common import clean_text, unused
 
 #: Fixed value: the word pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,23 +203,24 @@ def read_vocabulary(path: str | None = None) -> str:
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the text replaced by its ids (binary, little-endian unsigned 32-bit)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
+    given = unused(docs, "_text")
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in rest)).schema), f"`{ids}` binary"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(shared.value)
         for pdf in batches:
             out = pdf[rest].copy()
-            out[ids] = list(e.encode(pdf["_text"].tolist()))
+            out[ids] = list(e.encode(pdf[given].tolist()))
             yield out
 
-    return docs.select(*(f"`{c}`" for c in rest), clean_text(docs, text).alias("_text")).mapInPandas(run, fields)
+    return docs.select(*(f"`{c}`" for c in rest), clean_text(docs, text).alias(given)).mapInPandas(run, fields)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """encoded with the ids replaced by the decoded text."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in encoded.columns if c != ids]
+    rest = [c for c in encoded.columns if c.lower() not in (text.lower(), ids.lower())]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*(f"`{c}`" for c in rest)).schema), f"`{text}` string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +230,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
             out[text] = [e.decode(x) for x in pdf[ids]]
             yield out
 
-    return encoded.mapInPandas(run, fields)
+    return encoded.select(*(f"`{c}`" for c in [*rest, ids])).mapInPandas(run, fields)
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -34,6 +34,19 @@ def clean_text(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has: the given one, behind as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that names of working columns cannot clash with them."""
+    return F.struct(*(f"`{c}`" for c in df.columns)).alias("row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

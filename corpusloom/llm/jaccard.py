@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, mix, window_hashes, written
+from .common import Words, clean_text, mix, whole_row, window_hashes, written
 from .graphs import block_pairs, by_group, components, local_roots, membership
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 128
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class: that with the smallest doc_id (of equal rows one). Rows that stay don't move,
     but for those whose key a filter of bounded size takes for one that goes."""
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), clean_text(docs, text).alias("text"))
+    plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), clean_text(docs, text).alias("text"))
     found = written(near_duplicates(plain), "near-duplicates")
     going = found.filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text")))).select("doc_id", "id").distinct()
     again = found.groupBy("doc_id", "id").count().filter("count > 1").select("doc_id", "id")
@@ -281,13 +281,11 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
     hashed = lambda d, i: F.xxhash64(F.coalesce(d, F.lit(-1)), i)
     both = going.unionByName(again)
     test = membership(both.select(hashed(F.col("doc_id"), F.col("id")).alias("k")), "k")
-    marked = docs.withColumn("_rk", F.col(key).cast("long")).withColumn("_rh", F.xxhash64(clean_text(docs, text)))
-    marked = marked.withColumn("_maybe", test(hashed(F.col("_rk"), F.col("_rh"))))
-    names = [f"`{c}`" for c in docs.columns]
-    still = marked.filter(~F.col("_maybe")).select(*names)
-    gone = going.select(F.col("doc_id").alias("gd"), F.col("id").alias("gi"))
-    rest = marked.filter("_maybe").join(gone, (F.col("_rh") == F.col("gi")) & F.col("_rk").eqNullSafe(F.col("gd")), "left_anti")
-    return still.unionByName(rest.dropDuplicates(["_rk", "_rh"]).select(*names))
+    marked = docs.select(whole_row(docs), F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(clean_text(docs, text)).alias("hash"))
+    marked = marked.withColumn("maybe", test(hashed(F.col("key"), F.col("hash"))))
+    gone = going.select(F.col("doc_id").alias("gone_id"), F.col("id").alias("gone_hash"))
+    rest = marked.filter("maybe").join(gone, (F.col("hash") == F.col("gone_hash")) & F.col("key").eqNullSafe(F.col("gone_id")), "left_anti")
+    return marked.filter(~F.col("maybe")).select("row.*").unionByName(rest.dropDuplicates(["key", "hash"]).select("row.*"))
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, TrieEncoder, read_vocabulary
-from .common import clean_text, written
+from .common import clean_text, unused, written
 
 CAPACITY, END = 2048, 0
 #: Pieces that one partition packs, on average; rounds of exchange at most.
@@ -74,14 +74,14 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """One row per piece: key and columns `keep` of its document, piece, start, length, ids_crc32, and with ids=True the ids themselves."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    columns = [key, *(keep or [])]
+    columns, given = [key, *(keep or [])], unused(docs, "_text")
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "piece int, start long, length long, ids_crc32 long", *(["ids binary"] if ids else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, end = _encoder(shared.value), np.array([END], dtype="<u4").tobytes()
         for pdf in batches:
             rows, of = [], []
-            for i, data in enumerate(e.encode(pdf["_text"].tolist())):
+            for i, data in enumerate(e.encode(pdf[given].tolist())):
                 data += end
                 for p, (s, n) in enumerate(cuts(len(data) // 4)):
                     part = data[4 * s : 4 * (s + n)]
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             more = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
             yield pd.concat([out, more], axis=1)
 
-    return docs.select(*(f"`{c}`" for c in columns), clean_text(docs, text).alias("_text")).mapInPandas(run, fields)
+    return docs.select(*(f"`{c}`" for c in columns), clean_text(docs, text).alias(given)).mapInPandas(run, fields)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_text, written
+from .common import clean_text, whole_row, written
 
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -166,7 +166,7 @@ def masked(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str
 
     The table of spans has only the documents that have some; Spark broadcasts it where its measured size allows.
     """
-    spans = find_secrets(docs, key, text, owner).filter(F.size("spans") > 0).select(F.col("_key").alias("_mk"), F.col("text_key").alias("_mt"), F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("_ms")).dropDuplicates(["_mk", "_mt"])
+    spans = find_secrets(docs, key, text, owner).filter(F.size("spans") > 0).select(F.col("_key").alias("span_key"), F.col("text_key").alias("span_text"), F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("spans")).dropDuplicates(["span_key", "span_text"])
     spans = written(spans, "secret-spans")
 
     @F.pandas_udf("binary")
@@ -188,10 +188,11 @@ def masked(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    digest = digests(clean_text(docs, text))
-    both = docs.withColumn("_md", digest).join(spans, (F.col("_md") == F.col("_mt")) & docs[key].eqNullSafe(F.col("_mk")), "left")
-    new = F.when(F.col("_ms").isNotNull(), cut(clean_text(docs, text), F.col("_ms"))).otherwise(docs[text])
-    return both.select(*(new.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns))
+    given = docs.select(whole_row(docs), F.col(f"`{key}`").alias("key"), digests(clean_text(docs, text)).alias("digest"))
+    both = given.join(spans, (F.col("digest") == F.col("span_text")) & F.col("key").eqNullSafe(F.col("span_key")), "left")
+    old = F.col(f"row.`{text}`")
+    new = F.when(F.col("spans").isNotNull(), cut(F.coalesce(old, F.lit("")), F.col("spans"))).otherwise(old)
+    return both.select(*((new if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ bytes; only histograms (shards x buckets sums) and node extents reach the driver
 Equal values are told apart by a hash drawn once per row and stored, so a cut can fall within a value
 that very many rows share, copies included.
 
-Defined edge cases: a null text has 16 bytes; null metadata is the smallest value; equal rows are placed
-one by one; with fewer rows than shards some shards stay empty; an empty table gives an empty table.
+Defined edge cases: a null text has 16 bytes; null metadata is the smallest value; equal rows are placed one
+by one; input columns named shard or slot are replaced; a null weight is 0; with fewer rows than shards
+some shards stay empty; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, written
+from .common import clean_text, whole_row, written
 
 SHARDS, BUCKETS, OVERHEAD = 40, 4096, 16
 #: A cut is final once the bucket it falls in has at most this part of a shard's bytes.
@@ -37,10 +38,13 @@ def _tie(rows: DataFrame) -> Column:
 
 def kd_shards(rows: DataFrame, dims: list[str], weight: str = "size", shards: int | None = SHARDS, target: int | None = None) -> DataFrame:
     """rows with `shard`. dims: long columns from 0 to 2^31 - 1. shards: how many; or target: bytes a shard."""
-    rows = written(rows.withColumn("_tie", _tie(rows)), "shard-rows")
+    kept = [c for c in rows.columns if c.lower() != "shard"]
+    back = [F.col(f"row.`{c}`").alias(c) for c in kept]
+    given = rows.select(whole_row(rows), *(F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("long").alias(f"_d{i}") for i, d in enumerate(dims)), F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long").alias("_w"), _tie(rows).alias("_tie"))
+    rows, dims, weight = written(given, "shard-rows"), [f"_d{i}" for i in range(len(dims))], "_w"
     total, *extent = rows.agg(F.sum(weight), *(f(d) for d in dims for f in (F.min, F.max))).first()
     if total is None:
-        return rows.withColumn("shard", F.lit(0)).drop("_tie")
+        return rows.select(*back, F.lit(0).alias("shard"))
     if target is not None:
         shards = max(1, -(-total // target))
     span = {d: max(1, extent[2 * i + 1] - extent[2 * i]) for i, d in enumerate(dims)}
@@ -84,7 +88,7 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str = "size", shards: in
         placed = F.when(F.col("_key") < cut, F.col("_node")).otherwise(right).cast("int")
         df = written(df.withColumn("_next", placed).drop("_node", "_key"), "shard-level").withColumnRenamed("_next", "_node")
         at = {j: m for k, n in at.items() for j, m in (((k, n // 2), (k + n // 2, n - n // 2)) if n > 1 else ((k, n),))}
-    return df.withColumnRenamed("_node", "shard").drop("_tie")
+    return df.select(*back, F.col("_node").alias("shard"))
 
 
 def _row(at: dict[int, int], shards: int, other: int) -> list[int]:
@@ -98,16 +102,17 @@ def _at(values: list, column: str) -> Column:
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with `slot`: 0, 1, ... without gaps in each shard; numbered in many parts, joined by their offsets."""
-    rows = written(rows, "shard-placed")
+    names = [c for c in rows.columns if c.lower() != "slot"]
+    order = [f"row.`{c}`" for c in order]
+    rows = written(rows.select(whole_row(rows), "shard"), "shard-placed")
     parts = max(1, rows.count() // SHARDS // SLOT_ROWS + 1) * 4
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*(f"`{c}`" for c in order)), F.lit(parts)))
-    sizes = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")
-    offsets = sizes.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), before.alias("_before"))
-    at = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*(f"`{c}`" for c in order))) - 1
-    placed = rows.withColumn("_at", at)
-    both = placed.join(offsets, (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return both.withColumn("slot", (F.col("_before") + F.col("_at")).cast("long")).drop("_s", "_p", "_part", "_before", "_at")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    sizes = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    offsets = sizes.select(F.col("shard").alias("s"), F.col("part").alias("p"), before.alias("before"))
+    at = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*order)) - 1
+    both = rows.withColumn("at", at).join(offsets, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
+    return both.select(*(F.col(f"row.`{c}`").alias(c) for c in names), (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

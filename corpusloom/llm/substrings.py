@@ -142,10 +142,6 @@ def _hit_positions(g: Group, found: pd.DataFrame, ranges: int) -> np.ndarray:
     return np.flatnonzero((keys[at] == short) & g.whole)
 
 
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return np.where(pdf["doc_id"].isna(), _LAST, pdf["doc_id"].fillna(0)).astype(np.int64)
-
-
 def _first_ids(start: np.ndarray, hashes: np.ndarray, g: Group, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct window hashes and the smallest doc_id of the group that each starts in."""
     own = ids[g.doc[start]]
@@ -163,7 +159,7 @@ def windows(ranges: int) -> Callable:
         rows = []
         if len(docs) and len(found):
             g = Group(docs["text"].tolist())
-            h, own = _first_ids(*g.candidates(_hit_positions(g, found, ranges)), g, _ids(docs))
+            h, own = _first_ids(*g.candidates(_hit_positions(g, found, ranges)), g, docs["_id"].to_numpy())
             bounds = np.searchsorted((h >> np.uint64(64 - b)).astype(np.int64), np.arange((1 << b) + 1))
             rows = [(r, int(docs["_group"].iloc[0]), pack(h[s:e]), planes(own[s:e])) for r, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
         return pd.DataFrame(rows, columns=["range", "_group", "windows", "ids"])
@@ -198,7 +194,7 @@ PLACES = "_group int, windows binary, ids binary"
 
 def covered(docs: pd.DataFrame, found: pd.DataFrame, places: pd.DataFrame, ranges: int) -> list[np.ndarray | None]:
     """Of each document of a group: which words go (None: none does)."""
-    g, ids = Group(docs["text"].tolist()), _ids(docs)
+    g, ids = Group(docs["text"].tolist()), docs["_id"].to_numpy()
     start, hashes = g.candidates(_hit_positions(g, found, ranges))
     out: list[np.ndarray | None] = [None] * len(docs)
     if not len(start):
@@ -224,7 +220,9 @@ def without_repeats(docs: DataFrame, finish: Callable[[pd.DataFrame, list], pd.D
     spark = docs.sparkSession
     n = max(1, partitions(spark))
     groups, ranges = n * GROUPS_PER_PARTITION, n
-    by = docs.withColumn("_group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(n, "_group")
+    # pandas would turn a long column with nulls into floats
+    docs = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.col("doc_id").isNull().alias("_unknown"), "text")
+    by = docs.withColumn("_group", F.pmod(F.xxhash64("_id", "text"), F.lit(groups)).cast("int")).repartition(n, "_group")
     probe = by.groupBy("_group").applyInPandas(probes(ranges), PROBES)
     found = probe.groupBy("range").applyInPandas(anchors, ANCHORS)
     window = by.groupBy("_group").cogroup(found.groupBy("_group")).applyInPandas(windows(ranges), WINDOWS)
@@ -235,6 +233,7 @@ def without_repeats(docs: DataFrame, finish: Callable[[pd.DataFrame, list], pd.D
     def last(part: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+        part = part.assign(doc_id=part["_id"].astype("Int64").mask(part["_unknown"]))
         own = more["range"] >= 0
         return finish(part, covered(part, more[own].rename(columns={"windows": "hits"}), more[~own], ranges))
 
@@ -254,7 +253,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             if mask is not None:
                 words = [words[i] for i in np.flatnonzero(~mask).tolist()]
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        return pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_words": n, "n_removed": removed, "kept_sha256": sha})
+        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": n, "n_removed": removed, "kept_sha256": sha})
 
     return without_repeats(docs, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
