@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import attempts, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query under its name, with the SQL that it must equal."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+catalogue = Catalogue()
+query = catalogue.query
+QUERIES, ORACLES = catalogue.queries, catalogue.oracles
 
 
 def page_bounds(offset: int, limit: int, most: int = 100) -> tuple[int, int]:

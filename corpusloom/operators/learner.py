@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import events_log, table
 
-QUERIES, ORACLES = {}, {}
+catalogue = Catalogue()
+query = catalogue.query
+QUERIES, ORACLES = catalogue.queries, catalogue.oracles
 
 # Weights and thresholds of the mastery model.
 QUIZ_ALPHA, STUDY_ALPHA = 0.15, 0.10
@@ -19,16 +22,6 @@ MASTERED, WEAK, UNLOCK, STUDY_STOP = 0.7, 0.3, 0.6, 0.8
 WEAK_LIMIT = 10
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def half_up(x: Column, places: int = 4) -> Column:
     """Rounding that every engine repeats bit by bit."""
     scale = float(10**places)

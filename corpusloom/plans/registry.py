@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import analytics, learner
+from corpusloom.operators import analytics, learner, retrieval
 
-FLAGSHIP = analytics.progress_by_kb
-QUERIES = analytics.QUERIES | learner.QUERIES
-ORACLES = analytics.ORACLES | learner.ORACLES
+MODULES = (analytics, learner, retrieval)
+FLAGSHIP = retrieval.bm25_topk
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
