@@ -50,3 +50,9 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     quiz = table(spark, folder, "orders", "o_orderkey", "o_custkey")
     doc = table(spark, folder, "customer", "c_custkey", "c_nationkey")
     return line.join(quiz, F.col("l_orderkey") == F.col("o_orderkey")).join(doc, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the cluster's shared checkpoint folder, or a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusloom-shared"
+    return f"{base.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
