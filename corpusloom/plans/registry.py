@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import analytics, concepts, learner, retrieval, text
+from corpusloom.operators import analytics, concepts, graph, learner, retrieval, text
 
-MODULES = (analytics, learner, retrieval, concepts, text)
+MODULES = (analytics, learner, retrieval, concepts, text, graph)
 FLAGSHIP = retrieval.bm25_topk
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
