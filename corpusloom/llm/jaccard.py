@@ -104,34 +104,43 @@ def _matrix(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint16).reshape(-1, COORDINATES)
 
 
-def ties(path: int, ids: np.ndarray, rows: np.ndarray, depth: int = 0) -> list[tuple[int, int]]:
-    """Of a node's texts: pairs to verify, as stars where many are tied."""
-    n = len(ids)
-    if n < 2:
-        return []
-    if n <= SMALL or depth > 40:
-        left, right = [], []
-        for i in range(n - 1):
-            near = np.flatnonzero((rows[i + 1 :] == rows[i]).mean(axis=1) >= TIED)
-            left.append(np.full(len(near), i))
-            right.append(near + i + 1)
-        root = local_roots(n, np.concatenate(left), np.concatenate(right))
-        return [(int(ids[r]), int(ids[i])) for i, r in enumerate(root.tolist()) if i != r]
-    at = int(np.uint64(path & (2**63 - 1)) % np.uint64(n))
-    likeness = (rows == rows[at]).mean(axis=1)
-    out = [(int(ids[at]), int(ids[i])) for i in np.flatnonzero(likeness >= TIED).tolist() if i != at]
-    stay = likeness < CLOSE
-    ids, rows = ids[stay], rows[stay]
-    if len(ids) <= SMALL:
-        return out + ties(path, ids, rows, depth + 1)
-    for c in drawn(path).tolist():
-        child = step(path, c, rows[:, c])
-        order = np.argsort(child, kind="stable")
-        bounds = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if e - s > 1:
-                some = order[s:e]
-                out += ties(int(child[some[0]]), ids[some], rows[some], depth + 1)
+def ties(path: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+    """Of a node's texts: edges that connect what is tied, one fewer than texts at most.
+
+    Only what the ties connect matters later, so a node whose texts are all connected already is not split
+    on, and a group of very many near copies costs no more edges than it has texts.
+    """
+    label, out = np.arange(len(ids)), []
+
+    def join(members: np.ndarray) -> None:
+        found = np.unique(label[members])
+        if len(found) > 1:
+            out.extend((int(ids[found[0]]), int(ids[x])) for x in found[1:].tolist())
+            label[np.isin(label, found[1:])] = found[0]
+
+    todo = [(path, np.arange(len(ids)), 0)]
+    while todo:
+        node, at, depth = todo.pop()
+        if len(at) < 2 or (label[at] == label[at[0]]).all():
+            continue
+        some = rows[at]
+        if len(at) <= SMALL or depth > 40:
+            for i in range(len(at) - 1):
+                near = np.flatnonzero((some[i + 1 :] == some[i]).mean(axis=1) >= TIED)
+                if len(near):
+                    join(np.concatenate([at[i : i + 1], at[near + i + 1]]))
+            continue
+        likeness = (some == some[int(np.uint64(node & (2**63 - 1)) % np.uint64(len(at)))]).mean(axis=1)
+        join(at[likeness >= TIED])
+        at, some = at[likeness < CLOSE], some[likeness < CLOSE]
+        if len(at) <= SMALL:
+            todo.append((node, at, depth + 1))
+            continue
+        for c in drawn(node).tolist():
+            child = step(node, c, some[:, c])
+            order = np.argsort(child, kind="stable")
+            bounds = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
+            todo += [(int(child[order[s]]), at[order[s:e]], depth + 1) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if e - s > 1]
     return out
 
 
