@@ -81,8 +81,8 @@ class Words:
     data; hash: its hash; first: index of each text's first word (one more entry than texts).
     """
 
-    def __init__(self, texts: list[str], chunk: int = 4_000_000):
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes], chunk: int = 4_000_000):
+        parts = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join([*parts, b""])
         raw = np.frombuffer(self.data, dtype=np.uint8)
         sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
