@@ -1,8 +1,8 @@
 """Near-duplicate documents: a chosen-path join on the Jaccard similarity of five-word shingles.
 
 Every distinct text is summed up by `COORDINATES` min-hashes of its shingles, its sampled tokens. A run
-starts with all texts in one node and splits a node on a few coordinates drawn for it (each with
-probability 1 / (SIMILARITY * COORDINATES)): texts that agree on a drawn coordinate go on together. Nodes
+starts with all texts in one node and splits a node on coordinates drawn for it (1 / SIMILARITY of them in
+the mean): texts that agree on a drawn coordinate go on together. Nodes
 of at most `SMALL` texts are compared by brute force. In a larger node one text, the pivot, is compared with
 all others; those close to it leave the node, since whatever is similar to them is near enough the pivot to be
 tied to it, and the rest is split on. Runs are repeated, in rounds, until a round finds only ties that the
@@ -33,6 +33,8 @@ from .graphs import block_pairs, by_group, components, local_roots, membership
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 128
 RUNS_PER_ROUND, ROUNDS, RECALL = 4, 8, 0.99
 SMALL = 32
+#: Steps of a run before texts first meet: one coordinate of 16 bits tells too few of very many texts apart.
+FIRST_STEPS = 2
 #: Texts of a node that one task holds; larger nodes are split by Spark.
 NODE_TEXTS = 20_000
 #: Estimates: a pair goes on to exact comparison from TIED; from CLOSE to the pivot a text leaves its node.
@@ -73,18 +75,28 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
-def drawn(path: int) -> np.ndarray:
-    """The coordinates that split a node, one at least; a node is known by the hash of its path."""
-    rng = np.random.default_rng(path & (2**63 - 1))
-    while True:
-        chosen = np.flatnonzero(rng.random(COORDINATES) < 1 / (SIMILARITY * COORDINATES))
-        if len(chosen):
-            return chosen
+def drawn(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates that split nodes, known by the hashes of their paths: (which node, coordinate).
+
+    Each node draws one, and with probability 1 / SIMILARITY - 1 another: 1 / SIMILARITY in the mean, so that
+    two texts of that similarity go on together along one coordinate in the mean, at every depth.
+    """
+    u = paths.astype(np.uint64)
+    one = (mix(u + np.uint64(1)) % np.uint64(COORDINATES)).astype(np.int64)
+    other = (mix(u + np.uint64(2)) % np.uint64(COORDINATES)).astype(np.int64)
+    more = np.flatnonzero((mix(u + np.uint64(3)) < np.uint64(int(2**64 * (1 / SIMILARITY - 1)))) & (one != other))
+    return np.concatenate([np.arange(len(u)), more]), np.concatenate([one, other[more]])
+
+
+def step(paths: np.ndarray, coordinates: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The paths of nodes' children."""
+    return mix(paths.astype(np.uint64) * np.uint64(3) + (coordinates.astype(np.uint64) << np.uint64(20)) + mix(values.astype(np.uint64))).astype(np.int64)
 
 
-def step(path: int, coordinate: int, values: np.ndarray) -> np.ndarray:
-    """The paths of a node's children."""
-    return mix(np.uint64((path * 3 + (coordinate << 20)) & (2**64 - 1)) + values.astype(np.uint64)).astype(np.int64)
+def split(paths: np.ndarray, texts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, texts) one step down: text i, whose sketch is rows[texts[i]], lies in node paths[i]."""
+    of, c = drawn(paths)
+    return step(paths[of], c, rows[texts[of], c]), texts[of]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -136,11 +148,10 @@ def ties(path: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
         if len(at) <= SMALL:
             todo.append((node, at, depth + 1))
             continue
-        for c in drawn(node).tolist():
-            child = step(node, c, some[:, c])
-            order = np.argsort(child, kind="stable")
-            bounds = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
-            todo += [(int(child[order[s]]), at[order[s:e]], depth + 1) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if e - s > 1]
+        child, text = split(np.full(len(at), node), np.arange(len(at)), some)
+        order = np.argsort(child, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
+        todo += [(int(child[order[s]]), at[text[order[s:e]]], depth + 1) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if e - s > 1]
     return out
 
 
@@ -149,11 +160,8 @@ def _children(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, paths = _matrix(pdf["sketch"]), pdf["path"].to_numpy()
-            for p in np.unique(paths).tolist():
-                at = np.flatnonzero(paths == p)
-                for c in drawn(p).tolist():
-                    yield pd.DataFrame({"path": step(p, c, rows[at, c]), "id": pdf["id"].to_numpy()[at]})
+            paths, texts = split(pdf["path"].to_numpy(), np.arange(len(pdf)), _matrix(pdf["sketch"]))
+            yield pd.DataFrame({"path": paths, "id": pdf["id"].to_numpy()[texts]})
 
     return nodes.mapInPandas(run, "path long, id long")
 
@@ -167,14 +175,15 @@ def _shared(paths: DataFrame, texts: DataFrame) -> DataFrame:
 
 def run_round(texts: DataFrame, number: int, node_texts: int = NODE_TEXTS) -> DataFrame:
     """Ties (a, b) that `RUNS_PER_ROUND` runs over texts(id, sketch) find."""
-    roots = [1 + number * RUNS_PER_ROUND + r for r in range(RUNS_PER_ROUND)]
+    roots = mix(np.arange(1, RUNS_PER_ROUND + 1, dtype=np.uint64) + np.uint64(number * RUNS_PER_ROUND)).astype(np.int64)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = _matrix(pdf["sketch"])
-            for r in roots:
-                for c in drawn(r).tolist():
-                    yield pd.DataFrame({"path": step(r, c, rows[:, c]), "id": pdf["id"]})
+            rows, n = _matrix(pdf["sketch"]), len(pdf)
+            paths, texts = np.repeat(roots, n), np.tile(np.arange(n), len(roots))
+            for _ in range(FIRST_STEPS):
+                paths, texts = split(paths, texts, rows)
+            yield pd.DataFrame({"path": paths, "id": pdf["id"].to_numpy()[texts]})
 
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         found = ties(int(pdf["path"].iloc[0]), pdf["id"].to_numpy(), _matrix(pdf["sketch"]))
