@@ -57,7 +57,12 @@ class TrieEncoder:
         self.parts: dict[bytes, tuple[int, bytes, bytes]] = {}
         for (a, b), i in self.rank.items():
             self.parts.setdefault(a + b, (i, a, b))
-        self.longest = max(map(len, self.id_of))
+        # the longest token that ends with each pair of bytes
+        self.longest = [1] * 65536
+        for token in self.id_of:
+            if len(token) > 1:
+                at = token[-2] << 8 | token[-1]
+                self.longest[at] = max(self.longest[at], len(token))
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.edges: dict[tuple[bytes, int], list[tuple[int, bytes]]] = {}
@@ -109,7 +114,8 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(data) + 1):
-                for begin in range(end - longest if end > longest else 0, end):
+                reach = longest[data[end - 2] << 8 | data[end - 1]] if end > 1 else 1
+                for begin in range(end - reach if end > reach else 0, end):
                     token = data[begin:end]
                     if token in id_of:
                         if not begin:
@@ -152,11 +158,14 @@ class TrieEncoder:
         cut = [text.split(" ") for text in block]
         chunks, known = self.chunks, self.known
         new = {c for c in set().union(*cut) if c not in chunks}
-        words = {c: self.words.findall(" " + c) for c in new if c and not c[0].isspace() and not self._special(c)}
+        if self._special(" ".join(new)):
+            new = {c for c in new if not self._special(c)}
+        # a part of letters only is one word
+        words = {c: [" " + c] if c.isalpha() else self.words.findall(" " + c) for c in new if c and not c[0].isspace()}
         if missing := {w for found in words.values() for w in found if w not in known}:
             self.learn([*missing])
         for c, found in words.items():
-            chunks[c] = b"".join([known[w] for w in found])
+            chunks[c] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
         for text, parts in zip(block, cut, strict=True):
             try:
                 rest = b"".join(map(chunks.__getitem__, parts[1:]))
