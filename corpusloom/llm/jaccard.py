@@ -5,8 +5,8 @@ starts with all texts in one node and splits a node on coordinates drawn for it
 the mean): texts that agree on a drawn coordinate go on together. Nodes
 of at most `SMALL` texts are compared by brute force. In a larger node one text, the pivot, is compared with
 all others; those close to it leave the node, since whatever is similar to them is near enough the pivot to be
-tied to it, and the rest is split on. Runs are repeated, in rounds, until a round finds only ties that the
-earlier ones had found, up to the target recall. The ties' components then have their texts brought
+tied to it, and the rest is split on. Runs are repeated as often as the target recall takes for pairs at the
+least similarity. The ties' components then have their texts brought
 together once, and every pair in a component is verified exactly, in blocks where the component is large.
 
 Result: one row per document with class_id, the smallest doc_id of its connected group of verified links,
@@ -20,6 +20,7 @@ equality of texts and shingles is that of 64-bit hashes; an empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from .common import Words, clean_text, mix, whole_row, window_hashes, written
 from .graphs import block_pairs, by_group, components, local_roots, membership
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 128
-RUNS_PER_ROUND, ROUNDS, RECALL = 4, 8, 0.99
+#: Part of the pairs at the least similarity that all runs together find, and the steps down to where they meet.
+RECALL, STEPS_DOWN = 0.99, 4
 SMALL = 32
 #: Steps of a run before texts first meet: one coordinate of 16 bits tells too few of very many texts apart.
 FIRST_STEPS = 2
@@ -173,9 +175,21 @@ def _shared(paths: DataFrame, texts: DataFrame) -> DataFrame:
     return written(many.join(texts.select(F.col("id").alias("i"), "sketch"), F.col("id") == F.col("i")).drop("i"), "paths")
 
 
-def run_round(texts: DataFrame, number: int, node_texts: int = NODE_TEXTS) -> DataFrame:
-    """Ties (a, b) that `RUNS_PER_ROUND` runs over texts(id, sketch) find."""
-    roots = mix(np.arange(1, RUNS_PER_ROUND + 1, dtype=np.uint64) + np.uint64(number * RUNS_PER_ROUND)).astype(np.int64)
+def runs(recall: float = RECALL, steps: int = STEPS_DOWN, similarity: float = SIMILARITY) -> int:
+    """Runs that find a pair of so much similarity with the target probability, if it meets so many steps down.
+
+    In one run a pair goes on together along each coordinate drawn for its node, one or two of them.
+    """
+    more, lasts = 1 / SIMILARITY - 1, 1.0
+    for _ in range(steps):
+        lasts = (1 - more) * similarity * lasts + more * (1 - (1 - similarity * lasts) ** 2)
+    return math.ceil(math.log(1 - recall) / math.log(1 - lasts))
+
+
+def found_ties(texts: DataFrame, node_texts: int | None = None) -> DataFrame:
+    """Ties (a, b) that the runs over texts(id, sketch) find."""
+    node_texts = node_texts or NODE_TEXTS
+    roots = mix(np.arange(1, runs() + 1, dtype=np.uint64)).astype(np.int64)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -211,21 +225,8 @@ def run_round(texts: DataFrame, number: int, node_texts: int = NODE_TEXTS) -> Da
 
 
 def candidate_groups(texts: DataFrame) -> DataFrame:
-    """(id, component) of all texts tied to another, from as many rounds of runs as the target recall takes."""
-    edges = run_round(texts, 0)
-    groups = written(components(edges), "tied")
-    for r in range(1, ROUNDS):
-        more = run_round(texts, r)
-        of = lambda k, g=groups: g.select(F.col("id").alias(k), F.col("component").alias(f"{k}_c"))
-        known = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        n, again = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("a_c") == F.col("b_c")).cast("long")), F.lit(0))).first()
-        if again == n:
-            break
-        edges = edges.unionByName(more)
-        groups = written(components(edges), "tied")
-        if again >= RECALL * n:
-            break
-    return groups
+    """(id, component) of all texts tied to another by the runs that the target recall takes."""
+    return written(components(found_ties(texts)), "tied")
 
 
 def compared(pdf: pd.DataFrame) -> pd.DataFrame:
