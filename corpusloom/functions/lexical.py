@@ -51,9 +51,12 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Tokens without stopwords, or with them where nothing else is left; null counts as empty."""
-    raw = raw_tokens(F.coalesce(text, F.lit("")))
-    kept = F.filter(raw, lambda t: ~t.isin(*stopwords))
-    return F.when(F.size(kept) == 0, raw).otherwise(kept)
+    def chosen(raw: Column) -> Column:
+        kept = F.filter(raw, lambda t: ~t.isin(*stopwords))
+        return F.when(F.size(kept) == 0, raw).otherwise(kept)
+
+    # over an array of one, so that the words are extracted once
+    return F.transform(F.array(raw_tokens(F.coalesce(text, F.lit("")))), chosen)[0]
 
 
 def raw_tokens_sql(text: str) -> str:

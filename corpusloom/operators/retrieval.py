@@ -69,18 +69,20 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     Statistics are those of the scope. Terms asked twice count twice. Where fewer than k chunks hold a
     term, chunks with score 0 follow in order of id: the first k chunks of a scope are enough to fill up.
     """
-    sized = chunks.select("scope", "id", F.size("tokens").alias("len"), "tokens")
-    postings = sized.select("scope", "id", "len", F.explode("tokens").alias("term")).groupBy("scope", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    term = F.explode_outer("tokens").alias("term")
+    # one shuffle that the branches below share; a chunk without tokens keeps one row, of the empty term
+    counted = chunks.select("scope", "id", term).groupBy("scope", "id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf"))
+    sized = counted.groupBy("scope", "id").agg(F.sum("tf").alias("len"))
     stats = sized.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    df = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "scope")
+    df = counted.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "scope")
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = df.groupBy("scope").agg((EPSILON * F.avg("idf")).alias("floor"))
+    floor = df.groupBy("scope").agg((EPSILON * F.avg(F.when(F.col("term") != "", F.col("idf")))).alias("floor"))
     asked = questions.select("scope", "question", F.explode("tokens").alias("term")).groupBy("scope", "question", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = asked.join(df, ["scope", "term"]).join(floor, "scope")
     weights = weights.select("scope", "question", "term", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"))
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    found = postings.join(weights, ["scope", "term"]).groupBy("scope", "question", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    found = counted.join(weights, ["scope", "term"]).join(sized, ["scope", "id"]).groupBy("scope", "question", "id").agg(F.round(F.sum(part), 6).alias("score"))
     first = top(sized.select("scope", "id"), ["scope"], k, F.col("id")).select("scope", "id")
     spare = questions.select("scope", "question").join(first, "scope").withColumn("score", F.lit(0.0))
     spare = spare.join(found.select("scope", "question", "id"), ["scope", "question", "id"], "left_anti")
