@@ -6,7 +6,8 @@ the mean): texts that agree on a drawn coordinate go on together. Nodes
 of at most `SMALL` texts are compared by brute force. In a larger node one text, the pivot, is compared with
 all others; those close to it leave the node, since whatever is similar to them is near enough the pivot to be
 tied to it, and the rest is split on. Runs are repeated as often as the target recall takes for pairs at the
-least similarity. The ties' components then have their texts brought
+least similarity that meet as deep as nodes were split: texts whose nodes went deeper than the runs made so far
+cover go through more of them, until none goes deeper. The ties' components then have their texts brought
 together once, and every pair in a component is verified exactly, in blocks where the component is large.
 
 Result: one row per document with class_id, the smallest doc_id of its connected group of verified links,
@@ -32,7 +33,7 @@ from .common import Words, clean_text, mix, whole_row, window_hashes, written
 from .graphs import block_pairs, by_group, components, local_roots, membership
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 128
-#: Part of the pairs at the least similarity that all runs together find, and the steps down to where they meet.
+#: Part of the pairs at the least similarity that all runs together find, and the steps down that the first runs cover.
 RECALL, STEPS_DOWN = 0.99, 4
 SMALL = 32
 #: Steps of a run before texts first meet: one coordinate of 16 bits tells too few of very many texts apart.
@@ -118,13 +119,13 @@ def _matrix(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint16).reshape(-1, COORDINATES)
 
 
-def ties(path: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
-    """Of a node's texts: edges that connect what is tied, one fewer than texts at most.
+def ties(path: int, ids: np.ndarray, rows: np.ndarray, above: int = FIRST_STEPS) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the texts of a node so many steps down: edges that connect what is tied, one fewer than texts at most; steps down to where each was compared last.
 
     Only what the ties connect matters later, so a node whose texts are all connected already is not split
     on, and a group of very many near copies costs no more edges than it has texts.
     """
-    label, out = np.arange(len(ids)), []
+    label, out, deep = np.arange(len(ids)), [], np.full(len(ids), above)
 
     def join(members: np.ndarray) -> None:
         found = np.unique(label[members])
@@ -137,6 +138,7 @@ def ties(path: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
         node, at, depth = todo.pop()
         if len(at) < 2 or (label[at] == label[at[0]]).all():
             continue
+        deep[at] = np.maximum(deep[at], above + depth)
         some = rows[at]
         if len(at) <= SMALL or depth > 40:
             for i in range(len(at) - 1):
@@ -154,7 +156,7 @@ def ties(path: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
         order = np.argsort(child, kind="stable")
         bounds = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1], [True]]))
         todo += [(int(child[order[s]]), at[text[order[s:e]]], depth + 1) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if e - s > 1]
-    return out
+    return out, deep
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -186,10 +188,11 @@ def runs(recall: float = RECALL, steps: int = STEPS_DOWN, similarity: float = SI
     return math.ceil(math.log(1 - recall) / math.log(1 - lasts))
 
 
-def found_ties(texts: DataFrame, node_texts: int | None = None) -> DataFrame:
-    """Ties (a, b) that the runs over texts(id, sketch) find."""
+def found_ties(texts: DataFrame, made: int = 0, wanted: int | None = None, covered: int = STEPS_DOWN, node_texts: int | None = None) -> DataFrame:
+    """Ties (a, b, 0) that the runs over texts(id, sketch) after the first `made` find, and (id, id, steps down) of texts compared deeper than covered."""
     node_texts = node_texts or NODE_TEXTS
-    roots = mix(np.arange(1, runs() + 1, dtype=np.uint64)).astype(np.int64)
+    roots = mix(np.arange(made + 1, (wanted or runs()) + 1, dtype=np.uint64)).astype(np.int64)
+    schema = "a long, b long, steps int"
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,16 +202,24 @@ def found_ties(texts: DataFrame, node_texts: int | None = None) -> DataFrame:
                 paths, texts = split(paths, texts, rows)
             yield pd.DataFrame({"path": paths, "id": pdf["id"].to_numpy()[texts]})
 
-    def node(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = ties(int(pdf["path"].iloc[0]), pdf["id"].to_numpy(), _matrix(pdf["sketch"]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else None
+    def node(above: int):
+        def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
+            ids = pdf["id"].to_numpy()
+            found, steps = ties(int(pdf["path"].iloc[0]), ids, _matrix(pdf["sketch"]), above)
+            deep = np.flatnonzero(steps > covered)
+            rows = [(a, b, 0) for a, b in found] + [(int(ids[i]), int(ids[i]), int(steps[i])) for i in deep.tolist()]
+            return pd.DataFrame(rows, columns=["a", "b", "steps"]) if rows else None
+
+        return work
 
     nodes = _shared(texts.mapInPandas(start, "path long, id long"), texts)
-    found = by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node, "a long, b long", ["id"])
-    for _ in range(40):
+    found = by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS), schema, ["id"])
+    for r in range(41):
         large = nodes.filter(F.col("n") > node_texts)
         if large.isEmpty():
             break
+        if r == 40:
+            raise RuntimeError("nodes stay too large for a task")
         # a node too large for a task: compare all with its pivot, let the close ones go, split the rest
         pivots = large.groupBy("path").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("path", "id")).alias("pivot")).withColumnRenamed("path", "p")
 
@@ -218,15 +229,30 @@ def found_ties(texts: DataFrame, node_texts: int | None = None) -> DataFrame:
 
         compared = large.join(pivots, F.col("path") == F.col("p")).withColumn("near", likeness("sketch", "pivot.sketch"))
         compared = written(compared.select("path", "id", "sketch", F.col("pivot.id").alias("pivot"), "near"), "pivots")
-        found = found.unionByName(compared.filter((F.col("near") >= TIED) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        found = found.unionByName(compared.filter((F.col("near") >= TIED) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.lit(0).alias("steps")))
         nodes = _shared(_children(compared.filter(F.col("near") < CLOSE)), texts)
-        found = found.unionByName(by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node, "a long, b long", ["id"]))
+        found = found.unionByName(by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS + r + 1), schema, ["id"]))
     return written(found.distinct(), "ties")
 
 
 def candidate_groups(texts: DataFrame) -> DataFrame:
-    """(id, component) of all texts tied to another by the runs that the target recall takes."""
-    return written(components(found_ties(texts)), "tied")
+    """(id, component) of all texts tied to another by the runs that the target recall takes.
+
+    Of a pair whose texts were both compared deeper than the runs cover, more runs must keep both together; of any
+    other pair the runs made are enough, since one of its texts never went deeper.
+    """
+    made, covered, now, edges = 0, STEPS_DOWN, texts, None
+    while True:
+        wanted = runs(steps=covered)
+        found = found_ties(now, made, wanted, covered)
+        ties_only = found.filter("a <> b").select("a", "b")
+        edges = ties_only if edges is None else edges.unionByName(ties_only)
+        deep = found.filter("a = b")
+        deepest = deep.agg(F.max("steps")).first()[0]
+        if deepest is None:
+            return written(components(edges), "tied")
+        made, covered = wanted, deepest
+        now = written(texts.join(deep.select(F.col("a").alias("d")).distinct(), F.col("id") == F.col("d"), "left_semi"), "deep-texts")
 
 
 def compared(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -109,3 +109,33 @@ def test_estimate_is_close():
     rows = jaccard.signatures([" ".join(a), " ".join(b)])
     sa, sb = shingles(" ".join(a)), shingles(" ".join(b))
     assert abs(float(np.mean(rows[0] == rows[1])) - len(sa & sb) / len(sa | sb)) < 0.15
+
+
+def template_pairs(n: int) -> list[str]:
+    """2 * n texts that share a long passage, at a similarity of about 0.5; 2i and 2i + 1 are at 0.8 to 0.82."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    shared = [word() for _ in range(200)]
+    texts = []
+    for _ in range(n):
+        own = [word() for _ in range(100)]
+        near = list(own)
+        for i in range(28):
+            near[i] = word()
+        texts += [" ".join(shared + own), " ".join(shared + near)]
+    return texts
+
+
+def test_recall_in_deep_nodes(spark, monkeypatch):
+    """Texts that share a template part late, many steps down: the runs follow the depth."""
+    texts = template_pairs(300)
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    made = []
+    count = jaccard.runs
+    monkeypatch.setattr(jaccard, "runs", lambda *args, **named: made.append(count(*args, **named)) or made[-1])
+    rows = [(i, r.tobytes()) for i, r in enumerate(jaccard.signatures(texts))]
+    of = {r["id"]: r["component"] for r in jaccard.candidate_groups(spark.createDataFrame(rows, "id long, sketch binary")).collect()}
+    found = sum(i in of and of[i] == of.get(i + 1) for i in range(0, len(texts), 2))
+    assert made[-1] > count() and found >= jaccard.RECALL * len(texts) / 2
+    assert len(set(of.values())) > len(texts) / 10  # the template alone does not tie all
