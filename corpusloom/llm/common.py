@@ -1,10 +1,15 @@
-"""Helpers that the training-data operators share: scratch tables, text columns, word hashes."""
+"""Helpers that the training-data operators share: scratch tables, text columns, Arrow batches, word hashes."""
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +17,15 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_FALLBACK = "/tmp/corpusloom-scratch"
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local default where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a local session may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
 
 
@@ -29,6 +37,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(table: DataFrame) -> None:
+    """Remove the files of a table from `written` that nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def known(column: Column | str) -> list[Column]:
+    """A long column that may hold nulls as two that hold none, `_id` and `_unknown`: pandas makes floats of longs with nulls."""
+    c = F.col(column) if isinstance(column, str) else column
+    return [F.coalesce(c.cast("long"), F.lit(0)).alias("_id"), c.isNull().alias("_unknown")]
+
+
+def id_again(name: str = "doc_id") -> Column:
+    """The column that `known` took apart."""
+    return F.when(~F.col("_unknown"), F.col("_id")).alias(name)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run), after which the worker gives freed memory back: idle workers would keep it."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free_memory()
+
+    return df.mapInArrow(freed, schema)
+
+
+def free_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch whose texts have about so many bytes together (a longer text is one slice), with the texts."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
+        part = batch.slice(at, stop - at)
+        yield part, part.column(column).to_pylist()
+        at = stop
+
+
 def clean_text(docs: DataFrame, column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))
@@ -81,7 +135,7 @@ class Words:
     data; hash: its hash; first: index of each text's first word (one more entry than texts).
     """
 
-    def __init__(self, texts: list[str] | list[bytes], chunk: int = 4_000_000):
+    def __init__(self, texts: list[str] | list[bytes], chunk: int = 1_000_000):
         parts = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join([*parts, b""])
         raw = np.frombuffer(self.data, dtype=np.uint8)

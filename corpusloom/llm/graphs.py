@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import discarded, free_memory, mix, partitions, written
 
 ROUNDS = 60
 #: Bits of a membership filter: 8 MB, however many keys; too many keys only make it pass more.
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         under = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "k")
         joined = large.join(under, F.col("b") == F.col("k"))
         small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        discarded(before)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
@@ -58,41 +59,57 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: list[str] | None = None) -> DataFrame:
-    """Call work on all rows of each key combination, group after group within a task: no Python start-up per group.
+def by_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: list[str] | None = None, rows: int = 5_000) -> DataFrame:
+    """Call work on many groups (all rows of each key combination) at a time, of at least so many rows together.
 
     A group must fit one task: callers cut larger ones into blocks first (see `block_pairs`).
     """
     n = max(1, partitions(df.sparkSession))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        out, size = [], 0
+        held: list[pd.DataFrame] = []
+        have, wanted = 0, rows
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            new = np.zeros(len(pdf), dtype=bool)
-            for k in keys:
-                v = pdf[k].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            starts = [0, *np.flatnonzero(new).tolist()]
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if (got := work(pdf.iloc[s:e])) is not None and len(got):
-                    out.append(got)
-                    size += len(got)
-                if size > 20_000:
-                    yield pd.concat(out, ignore_index=True)
-                    out, size = [], 0
-            rest = pdf.iloc[starts[-1] :]
-        if rest is not None and (got := work(rest)) is not None and len(got):
-            out.append(got)
-        if out:
-            yield pd.concat(out, ignore_index=True)
+            held.append(pdf)
+            have += len(pdf)
+            if have < wanted:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            last = int(np.flatnonzero(_new_group(pdf, keys))[-1])
+            if last and (got := work(pdf.iloc[:last])) is not None and len(got):
+                yield got
+            held = [pdf.iloc[last:].reset_index(drop=True)]
+            have = len(pdf) - last
+            wanted = max(rows, 2 * have)
+        if held and (got := work(pd.concat(held, ignore_index=True))) is not None and len(got):
+            yield got
+        free_memory()
 
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInPandas(run, schema)
 
 
+def _new_group(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: list[str] | None = None) -> DataFrame:
+    """Call work on all rows of each key combination, group after group within a task: no Python start-up per group."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        starts = [*np.flatnonzero(_new_group(pdf, keys)).tolist(), len(pdf)]
+        out = [got for s, e in zip(starts[:-1], starts[1:], strict=True) if (got := work(pdf.iloc[s:e])) is not None and len(got)]
+        return pd.concat(out, ignore_index=True) if out else None
+
+    return by_groups(df, keys, each, schema, order)
+
+
 def block_pairs(df: DataFrame, group: str, member: str, block: int) -> DataFrame:
     """df with `_i`, `_j`: groups of more than `block` members are cut into blocks and every pair of blocks is one comparison.
 
@@ -106,41 +123,40 @@ def block_pairs(df: DataFrame, group: str, member: str, block: int) -> DataFrame
     return df.withColumn("_side", F.when(F.col("_own") == F.col("_i"), 0).otherwise(1)).drop("_blocks", "_own", "_other")
 
 
-def membership(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test of long keys that passes all of those given and few others, from a bitmap of `FILTER_BITS` bits."""
-    spark = keys.sparkSession
-    size = _CHUNK_BITS // 8
+class Members:
+    """A test of long keys that passes all of those given and few others: a bitmap of `FILTER_BITS` bits for use in Python tasks."""
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            b = pdf["bit"].to_numpy()
-            for c in np.unique(b // _CHUNK_BITS).tolist():
-                at = b[b // _CHUNK_BITS == c] % _CHUNK_BITS
-                flags = np.zeros(_CHUNK_BITS, dtype=np.uint8)
-                flags[at] = 1
-                packed = np.packbits(flags)
-                marks[c] = marks[c] | packed if c in marks else packed
-        yield pd.DataFrame({"chunk": [*marks], "bits": [m.tobytes() for m in marks.values()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, dtype=np.uint8)
-        for x in pdf["bits"]:
-            total |= np.frombuffer(x, dtype=np.uint8)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [total.tobytes()]})
-
-    place = F.pmod(F.xxhash64(F.lit(77), F.col(column)), F.lit(FILTER_BITS)).alias("bit")
-    each = keys.select(place).mapInPandas(bits, "chunk long, bits binary")
-    merged = each.groupBy("chunk").applyInPandas(merge, "chunk long, bits binary")
-    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        table[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(table.tobytes())
-
-    @F.pandas_udf("boolean")
-    def test(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        have = np.frombuffer(shared.value, dtype=np.uint8)[b >> 3]
-        return pd.Series((have >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1)
-
-    return lambda key: test(F.pmod(F.xxhash64(F.lit(77), key), F.lit(FILTER_BITS)))
+    def __init__(self, keys: DataFrame, column: str):
+        size = _CHUNK_BITS // 8
+
+        def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            marks: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                b = _places(pdf[column].to_numpy())
+                for c in np.unique(b // _CHUNK_BITS).tolist():
+                    flags = np.zeros(_CHUNK_BITS, dtype=np.uint8)
+                    flags[b[b // _CHUNK_BITS == c] % _CHUNK_BITS] = 1
+                    packed = np.packbits(flags)
+                    marks[c] = marks[c] | packed if c in marks else packed
+            yield pd.DataFrame({"chunk": [*marks], "bits": [m.tobytes() for m in marks.values()]})
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(size, dtype=np.uint8)
+            for x in pdf["bits"]:
+                total |= np.frombuffer(x, dtype=np.uint8)
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [total.tobytes()]})
+
+        each = keys.select(column).mapInPandas(bits, "chunk long, bits binary")
+        merged = each.groupBy("chunk").applyInPandas(merge, "chunk long, bits binary")
+        table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for r in merged.toLocalIterator():
+            table[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def have(self, keys: np.ndarray) -> np.ndarray:
+        b = _places(keys)
+        return (np.frombuffer(self.shared.value, dtype=np.uint8)[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)

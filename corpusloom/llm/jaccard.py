@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, mix, whole_row, window_hashes, written
-from .graphs import block_pairs, by_group, components, local_roots, membership
+from .common import Words, clean_text, id_again, known, mapped, mix, text_blocks, whole_row, window_hashes, written
+from .graphs import block_pairs, by_groups, components, local_roots
 
 SHINGLE, SIMILARITY, COORDINATES = 5, 0.8, 128
 #: Part of the pairs at the least similarity that all runs together find, and the steps down that the first runs cover.
@@ -105,14 +106,14 @@ def split(paths: np.ndarray, texts: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, id, some, sketch) of docs(doc_id, text): id is the text's hash; some: whether it has a word."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["text"].str.len().cumsum()
-            for _, block in pdf.groupby(sizes // _BLOCK, sort=True):
-                rows = signatures(block["text"].tolist())
-                yield pd.DataFrame({"doc_id": block["doc_id"].astype("Int64"), "id": block["id"], "some": rows.any(axis=1), "sketch": [r.tobytes() for r in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_blocks(batch, "text", _BLOCK):
+                rows = signatures(texts)
+                yield pa.record_batch([part.column("_id"), part.column("_unknown"), part.column("id"), pa.array(rows.any(axis=1)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["_id", "_unknown", "id", "some", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("id"), "text").mapInPandas(run, "doc_id long, id long, some boolean, sketch binary")
+    given = docs.select(*known("doc_id"), F.xxhash64("text").alias("id"), "text")
+    return mapped(given, run, "_id long, _unknown boolean, id long, some boolean, sketch binary").select(id_again(), "id", "some", "sketch")
 
 
 def _matrix(sketches: pd.Series) -> np.ndarray:
@@ -204,16 +205,19 @@ def found_ties(texts: DataFrame, made: int = 0, wanted: int | None = None, cover
 
     def node(above: int):
         def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
-            ids = pdf["id"].to_numpy()
-            found, steps = ties(int(pdf["path"].iloc[0]), ids, _matrix(pdf["sketch"]), above)
-            deep = np.flatnonzero(steps > covered)
-            rows = [(a, b, 0) for a, b in found] + [(int(ids[i]), int(ids[i]), int(steps[i])) for i in deep.tolist()]
+            paths, ids, sketch = pdf["path"].to_numpy(), pdf["id"].to_numpy(), _matrix(pdf["sketch"])
+            bounds = np.flatnonzero(np.concatenate([[True], paths[1:] != paths[:-1], [True]])).tolist()
+            rows: list[tuple[int, int, int]] = []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                found, steps = ties(int(paths[s]), ids[s:e], sketch[s:e], above)
+                rows += [(a, b, 0) for a, b in found]
+                rows += [(int(ids[s + i]), int(ids[s + i]), int(steps[i])) for i in np.flatnonzero(steps > covered).tolist()]
             return pd.DataFrame(rows, columns=["a", "b", "steps"]) if rows else None
 
         return work
 
     nodes = _shared(texts.mapInPandas(start, "path long, id long"), texts)
-    found = by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS), schema, ["id"])
+    found = by_groups(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS), schema, ["id"])
     for r in range(41):
         large = nodes.filter(F.col("n") > node_texts)
         if large.isEmpty():
@@ -231,7 +235,7 @@ def found_ties(texts: DataFrame, made: int = 0, wanted: int | None = None, cover
         compared = written(compared.select("path", "id", "sketch", F.col("pivot.id").alias("pivot"), "near"), "pivots")
         found = found.unionByName(compared.filter((F.col("near") >= TIED) & (F.col("id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.lit(0).alias("steps")))
         nodes = _shared(_children(compared.filter(F.col("near") < CLOSE)), texts)
-        found = found.unionByName(by_group(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS + r + 1), schema, ["id"]))
+        found = found.unionByName(by_groups(nodes.filter(F.col("n") <= node_texts), ["path"], node(FIRST_STEPS + r + 1), schema, ["id"]))
     return written(found.distinct(), "ties")
 
 
@@ -255,17 +259,37 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
         now = written(texts.join(deep.select(F.col("a").alias("d")).distinct(), F.col("id") == F.col("d"), "left_semi"), "deep-texts")
 
 
-def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact similarities of the texts of one or two blocks: of each text its links and the smallest text they connect it to."""
-    pdf = pdf.drop_duplicates("id") if not (pdf["_side"] == 1).any() else pdf.drop_duplicates(["id", "_side"])
+def compared(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """Exact similarities of the texts of some groups, each of one or two blocks: of each text its links and the smallest text they connect it to."""
     h, start = shingle_hashes(pdf["text"].tolist())
-    n, side = len(pdf), pdf["_side"].to_numpy()
-    sets = [np.unique(h[start[i] : start[i + 1]]) for i in range(n)]
-    size = np.array([len(s) for s in sets])
+    ids, side, group = pdf["id"].to_numpy(), pdf["_side"].to_numpy(), pdf[["component", "_i", "_j"]].to_numpy()
+    bounds = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1), [True]])).tolist()
+    out = []
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        at = s + np.sort(np.unique(np.stack([ids[s:e], side[s:e]], 1), axis=0, return_index=True)[1])
+        linked = _linked([np.unique(h[start[i] : start[i + 1]]) for i in at.tolist()])
+        if (side[at] == 1).any():
+            linked &= side[at][:, None] != side[at][None, :]
+        i, j = np.nonzero(linked)
+        if len(i):
+            root = local_roots(len(at), i, j)
+            low = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(low, root, ids[at])
+            links = linked.sum(axis=1)
+            some = links > 0
+            out.append(pd.DataFrame({"id": ids[at][some], "root": low[root][some], "links": links[some]}))
+    return pd.concat(out, ignore_index=True) if out else None
+
+
+def _linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Whether each two of the sets have the similarity, in whole numbers."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    if n == 2:
+        shared = int(np.isin(sets[0], sets[1], assume_unique=True).sum())
+        return np.array([[False, True], [True, False]]) & (5 * shared >= 4 * (size.sum() - shared) > 0)
     both = np.zeros((n, n), dtype=np.float32)
-    shingle = np.concatenate(sets)
     owner = np.repeat(np.arange(n), size)
-    _, column, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     some = count[column] > 1
     kept = np.cumsum(count > 1) - 1
     column, owner = kept[column[some]], owner[some]
@@ -278,18 +302,9 @@ def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         both += m @ m.T
     shared = np.rint(both).astype(np.int64)
     union = size[:, None] + size[None, :] - shared
-    # similarity of 0.8 or more, in whole numbers
     linked = (5 * shared >= 4 * union) & (union > 0)
     np.fill_diagonal(linked, False)
-    if (side == 1).any():
-        linked &= side[:, None] != side[None, :]
-    i, j = np.nonzero(linked)
-    root = local_roots(n, i, j)
-    ids = pdf["id"].to_numpy()
-    low = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(low, root, ids)
-    out = pd.DataFrame({"id": ids, "root": low[root], "links": linked.sum(axis=1)})
-    return out[out["links"] > 0]
+    return linked
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -302,10 +317,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = written(rows.groupBy("id").agg(F.min(place).alias("place"), F.max("some").alias("some"), F.min("sketch").alias("sketch")), "texts")
     groups = candidate_groups(texts.filter("some").select("id", "sketch"))
     wanted = groups.join(texts.select(F.col("id").alias("i"), F.col("place.doc_id").alias("first_id")), F.col("id") == F.col("i")).select(F.col("id").alias("w"), "component", "first_id")
-    test = membership(wanted.select("w"), "w")
-    some = docs.withColumn("id", F.xxhash64("text")).filter(test(F.col("id")))
-    brought = some.join(wanted, (F.col("id") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("component", "id", "text")
-    links = written(by_group(block_pairs(brought, "component", "id", BLOCK_TEXTS), ["component", "_i", "_j"], compared, "id long, root long, links long", ["id"]), "links")
+    brought = docs.withColumn("id", F.xxhash64("text")).join(wanted, (F.col("id") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("component", "id", "text")
+    pairs = block_pairs(brought, "component", "id", BLOCK_TEXTS)
+    links = written(by_groups(pairs, ["component", "_i", "_j"], compared, "id long, root long, links long", ["id"], 200), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("n_links")).withColumnRenamed("id", "l")
     classes = components(links.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "c")
     named = texts.select("id", "place").join(classes, F.col("id") == F.col("c"), "left").withColumn("class", F.coalesce("component", "id"))
@@ -316,21 +330,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each class: that with the smallest doc_id (of equal rows one). Rows that stay don't move,
-    but for those whose key a filter of bounded size takes for one that goes."""
+    """One row of each class: that with the smallest doc_id (of equal rows one)."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), clean_text(docs, text).alias("text"))
-    found = written(near_duplicates(plain), "near-duplicates")
-    going = found.filter(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text")))).select("doc_id", "id").distinct()
-    again = found.groupBy("doc_id", "id").count().filter("count > 1").select("doc_id", "id")
-    going, again = written(going, "going"), written(again, "again")
-    hashed = lambda d, i: F.xxhash64(F.coalesce(d, F.lit(-1)), i)
-    both = going.unionByName(again)
-    test = membership(both.select(hashed(F.col("doc_id"), F.col("id")).alias("k")), "k")
-    marked = docs.select(whole_row(docs), F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(clean_text(docs, text)).alias("hash"))
-    marked = marked.withColumn("maybe", test(hashed(F.col("key"), F.col("hash"))))
-    gone = going.select(F.col("doc_id").alias("gone_id"), F.col("id").alias("gone_hash"))
-    rest = marked.filter("maybe").join(gone, (F.col("hash") == F.col("gone_hash")) & F.col("key").eqNullSafe(F.col("gone_id")), "left_anti")
-    return marked.filter(~F.col("maybe")).select("row.*").unionByName(rest.dropDuplicates(["key", "hash"]).select("row.*"))
+    found = near_duplicates(plain)
+    stands = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text"))
+    # repeated rows are told by doc_id and text: as many verdicts as there are rows, all the same
+    told = found.groupBy("doc_id", "id").agg(F.max(stands).alias("stands"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not stands")
+    told = written(told.select(F.col("doc_id").alias("told_id"), F.col("id").alias("told_hash"), "stands"), "told")
+    given = docs.select(whole_row(docs), F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(clean_text(docs, text)).alias("hash"))
+    both = given.join(told, (F.col("hash") == F.col("told_hash")) & F.col("key").eqNullSafe(F.col("told_id")), "left")
+    again = both.filter("stands").dropDuplicates(["key", "hash"])
+    return both.filter(F.col("told_hash").isNull()).select("row.*").unionByName(again.select("row.*"))
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
