@@ -20,10 +20,11 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import clean_text, unused
+from .common import clean_text, mapped, unused
 
 #: Fixed value: the word pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -216,14 +217,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     given = unused(docs, "_text")
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in rest)).schema), f"`{ids}` binary"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value)
-        for pdf in batches:
-            out = pdf[rest].copy()
-            out[ids] = list(e.encode(pdf[given].tolist()))
-            yield out
+        for batch in batches:
+            new = pa.array(list(e.encode(batch.column(len(rest)).to_pylist())), pa.binary())
+            yield pa.record_batch([*batch.columns[: len(rest)], new], names=[*rest, ids])
 
-    return docs.select(*(f"`{c}`" for c in rest), clean_text(docs, text).alias(given)).mapInPandas(run, fields)
+    return mapped(docs.select(*(f"`{c}`" for c in rest), clean_text(docs, text).alias(given)), run, fields)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -232,14 +232,13 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
     rest = [c for c in encoded.columns if c.lower() not in (text.lower(), ids.lower())]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*(f"`{c}`" for c in rest)).schema), f"`{text}` string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value)
-        for pdf in batches:
-            out = pdf[rest].copy()
-            out[text] = [e.decode(x) for x in pdf[ids]]
-            yield out
+        for batch in batches:
+            new = pa.array([e.decode(x or b"") for x in batch.column(len(rest)).to_pylist()], pa.string())
+            yield pa.record_batch([*batch.columns[: len(rest)], new], names=[*rest, text])
 
-    return encoded.select(*(f"`{c}`" for c in [*rest, ids])).mapInPandas(run, fields)
+    return mapped(encoded.select(*(f"`{c}`" for c in [*rest, ids])), run, fields)
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -247,14 +246,14 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
     hexed = lambda b: hashlib.sha256(b).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value)
-        for pdf in batches:
+        for batch in batches:
             n, ids, decoded = [], [], []
-            for x in e.encode(pdf["text"].tolist()):
+            for x in e.encode(batch.column("text").to_pylist()):
                 n.append(len(x) // 4)
                 ids.append(hexed(x))
                 decoded.append(hexed(e.decode(x).encode("utf-8")))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", clean_text(docs).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text(docs).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

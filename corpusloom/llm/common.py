@@ -171,14 +171,14 @@ class Words:
         return window_hashes(self.hash, k), inside
 
 
-def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """Hash of every run of k consecutive word hashes (order counts)."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        out *= np.uint64(_BASE)
+        out *= np.uint64(base)
         out += hashes[j : j + n]
     return mix(out)
 

@@ -13,22 +13,26 @@ documents of any length are cut, never shortened; an empty table gives no pieces
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, TrieEncoder, read_vocabulary
-from .common import clean_text, unused, written
+from .common import clean_text, free_memory, mapped, text_blocks, unused, written
 
 CAPACITY, END = 2048, 0
 #: Pieces that one partition packs, on average; rounds of exchange at most.
 PARTITION_PIECES, ROUNDS = 20_000, 6
 #: A bin of a partition with a gap is given up if it has more than this part of its room left.
 SLACK = 0.005
+_BLOCK = 4_000_000
 
 
 class WholeTextEncoder:
@@ -40,16 +44,24 @@ class WholeTextEncoder:
     def __init__(self, vocabulary: str):
         import tiktoken
 
-        self.trie = TrieEncoder(vocabulary)
-        ranks = self.trie.id_of
-        in_order = [ranks[a + b] for (a, b), _ in sorted(self.trie.rank.items(), key=lambda x: x[1])]
-        self.native = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.trie.specials) if in_order == sorted(in_order) else None
+        self.vocabulary = vocabulary
+        trie = TrieEncoder(vocabulary)
+        in_order = [trie.id_of[a + b] for (a, b), _ in sorted(trie.rank.items(), key=lambda x: x[1])]
+        self.native = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=trie.id_of, special_tokens=trie.specials) if in_order == sorted(in_order) else None
+
+    @cached_property
+    def trie(self) -> TrieEncoder:
+        """Built when a text first needs it."""
+        return TrieEncoder(self.vocabulary)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
+            if self.native is None:
+                yield next(self.trie.encode([text]))
+                continue
             try:
                 yield self.native.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-            except (AttributeError, RuntimeError, ValueError):
+            except (RuntimeError, ValueError):
                 yield next(self.trie.encode([text]))
 
 
@@ -60,6 +72,8 @@ def _encoder(vocabulary: str) -> WholeTextEncoder:
     if vocabulary not in _encoders:
         _encoders.clear()
         _encoders[vocabulary] = WholeTextEncoder(vocabulary)
+        gc.collect()
+        free_memory()
     return _encoders[vocabulary]
 
 
@@ -77,21 +91,23 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     columns, given = [key, *(keep or [])], unused(docs, "_text")
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "piece int, start long, length long, ids_crc32 long", *(["ids binary"] if ids else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = _encoder(shared.value), np.array([END], dtype="<u4").tobytes()
-        for pdf in batches:
-            rows, of = [], []
-            for i, data in enumerate(e.encode(pdf[given].tolist())):
-                data += end
-                for p, (s, n) in enumerate(cuts(len(data) // 4)):
-                    part = data[4 * s : 4 * (s + n)]
-                    rows.append((p, s, n, zlib.crc32(part), *([part] if ids else [])))
-                    of.append(i)
-            out = pdf[columns].iloc[of].reset_index(drop=True)
-            more = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
-            yield pd.concat([out, more], axis=1)
-
-    return docs.select(*(f"`{c}`" for c in columns), clean_text(docs, text).alias(given)).mapInPandas(run, fields)
+        for batch in batches:
+            for block, texts in text_blocks(batch, given, _BLOCK):
+                rows, of = [], []
+                for i, data in enumerate(e.encode(texts)):
+                    data += end
+                    for p, (s, n) in enumerate(cuts(len(data) // 4)):
+                        part = data[4 * s : 4 * (s + n)]
+                        rows.append((p, s, n, zlib.crc32(part), part))
+                        of.append(i)
+                own = [block.column(c).take(pa.array(of, pa.int32())) for c in range(len(columns))]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if ids else [])]
+                more = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.record_batch([*own, *more], names=[*columns, "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
+
+    return mapped(docs.select(*(f"`{c}`" for c in columns), clean_text(docs, text).alias(given)), run, fields)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:

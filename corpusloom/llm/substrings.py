@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, partitions, window_hashes
+from .common import Words, clean_text, mix, partitions, window_hashes
 
 WINDOW = 50
 BLOCK = WINDOW // 2
@@ -34,6 +34,7 @@ BLOCK = WINDOW // 2
 GROUPS_PER_PARTITION = 4
 _LAST = np.iinfo(np.int64).max
 _PROBE_BITS = 32
+_CHECK, _CHECK_BASE = np.uint64(0xA0761D6478BD642F), 0xE7037ED1A0B428DB
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
@@ -68,11 +69,14 @@ class Group:
         self.doc = np.searchsorted(self.first, at, side="right") - 1
         self.aligned = self.whole & ((at - self.first[self.doc]) % BLOCK == 0) if len(at) else self.whole
 
-    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of each 50-word window that holds a hit block, a hit being a block's start."""
+    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, check) of each 50-word window that holds a hit block, a hit being a block's start.
+
+        Hash and check together are 128 bits: windows are equal if both are.
+        """
         n = len(self.words.hash) - WINDOW + 1
         if n <= 0 or not len(hits):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         near = np.zeros(n + WINDOW + 1, dtype=np.int32)
         np.add.at(near, np.maximum(hits - (WINDOW - BLOCK), 0), 1)
         np.add.at(near, hits + 1, -1)
@@ -80,7 +84,7 @@ class Group:
         end = self.first[self.doc[:n] + 1]
         wanted &= np.arange(n) + WINDOW <= end
         start = np.flatnonzero(wanted)
-        return start, window_hashes(self.words.hash, WINDOW)[start]
+        return start, window_hashes(self.words.hash, WINDOW)[start], window_hashes(mix(self.words.hash ^ _CHECK), WINDOW, _CHECK_BASE)[start]
 
 
 def _bits(ranges: int) -> int:
@@ -142,13 +146,21 @@ def _hit_positions(g: Group, found: pd.DataFrame, ranges: int) -> np.ndarray:
     return np.flatnonzero((keys[at] == short) & g.whole)
 
 
-def _first_ids(start: np.ndarray, hashes: np.ndarray, g: Group, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct window hashes and the smallest doc_id of the group that each starts in."""
+def _first_ids(start: np.ndarray, hashes: np.ndarray, checks: np.ndarray, g: Group, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows (hash, check) in ascending order and the smallest doc_id of the group that each starts in."""
     own = ids[g.doc[start]]
-    order = np.lexsort((own, hashes))
-    h, own = hashes[order], own[order]
-    keep = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
-    return h[keep], own[keep]
+    order = np.lexsort((own, checks, hashes))
+    h, c, own = hashes[order], checks[order], own[order]
+    keep = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, dtype=bool)
+    return h[keep], c[keep], own[keep]
+
+
+def _places(h: np.ndarray, c: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each window (hashes, checks) stands among the ascending ones (h, c), all of which are there."""
+    at = np.searchsorted(h, hashes)
+    while len(off := np.flatnonzero(c[at] != checks)):
+        at[off] += 1
+    return at
 
 
 def windows(ranges: int) -> Callable:
@@ -159,15 +171,15 @@ def windows(ranges: int) -> Callable:
         rows = []
         if len(docs) and len(found):
             g = Group(docs["text"].tolist())
-            h, own = _first_ids(*g.candidates(_hit_positions(g, found, ranges)), g, docs["_id"].to_numpy())
+            h, c, own = _first_ids(*g.candidates(_hit_positions(g, found, ranges)), g, docs["_id"].to_numpy())
             bounds = np.searchsorted((h >> np.uint64(64 - b)).astype(np.int64), np.arange((1 << b) + 1))
-            rows = [(r, int(docs["_group"].iloc[0]), pack(h[s:e]), planes(own[s:e])) for r, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
-        return pd.DataFrame(rows, columns=["range", "_group", "windows", "ids"])
+            rows = [(r, int(docs["_group"].iloc[0]), pack(h[s:e]), c[s:e].tobytes(), planes(own[s:e])) for r, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
+        return pd.DataFrame(rows, columns=["range", "_group", "windows", "checks", "ids"])
 
     return run
 
 
-WINDOWS = "range int, _group int, windows binary, ids binary"
+WINDOWS = "range int, _group int, windows binary, checks binary, ids binary"
 
 
 def first_places(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,37 +187,36 @@ def first_places(pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [unpack(x, np.uint64) for x in pdf["windows"]]
     sizes = np.array([len(x) for x in sets])
     value, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    ids = np.concatenate([from_planes(x, np.int64) for x in pdf["ids"]])
-    order = np.argsort(value, kind="stable")
-    value, of, ids = value[order], of[order], ids[order]
-    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    ids, check = np.concatenate([from_planes(x, np.int64) for x in pdf["ids"]]), np.frombuffer(b"".join(pdf["checks"]), dtype=np.uint64)
+    order = np.lexsort((check, value))
+    value, of, ids, check = value[order], of[order], ids[order], check[order]
+    start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (check[1:] != check[:-1])]))
     least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.concatenate([start, [len(value)]])))
     told = least < ids
-    value, of, least = value[told], of[told], least[told]
+    value, of, least, check = value[told], of[told], least[told], check[told]
     rows = []
     for i in np.unique(of).tolist():
         mine = of == i
-        rows.append((int(pdf["_group"].iloc[i]), pack(value[mine]), planes(least[mine])))
-    return pd.DataFrame(rows, columns=["_group", "windows", "ids"])
+        rows.append((int(pdf["_group"].iloc[i]), pack(value[mine]), check[mine].tobytes(), planes(least[mine])))
+    return pd.DataFrame(rows, columns=["_group", "windows", "checks", "ids"])
 
 
-PLACES = "_group int, windows binary, ids binary"
+PLACES = "_group int, windows binary, checks binary, ids binary"
 
 
 def covered(docs: pd.DataFrame, found: pd.DataFrame, places: pd.DataFrame, ranges: int) -> list[np.ndarray | None]:
     """Of each document of a group: which words go (None: none does)."""
     g, ids = Group(docs["text"].tolist()), docs["_id"].to_numpy()
-    start, hashes = g.candidates(_hit_positions(g, found, ranges))
+    start, hashes, checks = g.candidates(_hit_positions(g, found, ranges))
     out: list[np.ndarray | None] = [None] * len(docs)
     if not len(start):
         return out
-    h, least = _first_ids(start, hashes, g, ids)
+    h, c, least = _first_ids(start, hashes, checks, g, ids)
     if len(places):
         other = np.concatenate([unpack(x, np.uint64) for x in places["windows"]])
         theirs = np.concatenate([from_planes(x, np.int64) for x in places["ids"]])
-        at = np.searchsorted(h, other)
-        np.minimum.at(least, at, theirs)
-    gone = start[least[np.searchsorted(h, hashes)] < ids[g.doc[start]]]
+        np.minimum.at(least, _places(h, c, other, np.frombuffer(b"".join(places["checks"]), dtype=np.uint64)), theirs)
+    gone = start[least[_places(h, c, hashes, checks)] < ids[g.doc[start]]]
     marks = np.zeros(len(g.words.hash) + 1, dtype=np.int32)
     np.add.at(marks, gone, 1)
     np.add.at(marks, gone + WINDOW, -1)
@@ -227,8 +238,8 @@ def without_repeats(docs: DataFrame, finish: Callable[[pd.DataFrame, list], pd.D
     found = probe.groupBy("range").applyInPandas(anchors, ANCHORS)
     window = by.groupBy("_group").cogroup(found.groupBy("_group")).applyInPandas(windows(ranges), WINDOWS)
     place = window.groupBy("range").applyInPandas(first_places, PLACES)
-    told = found.select("_group", "range", F.col("hits").alias("windows"), F.lit(None).cast("binary").alias("ids"))
-    told = told.unionByName(place.select("_group", F.lit(-1).alias("range"), "windows", "ids"))
+    told = found.select("_group", "range", F.col("hits").alias("windows"), F.lit(None).cast("binary").alias("checks"), F.lit(None).cast("binary").alias("ids"))
+    told = told.unionByName(place.select("_group", F.lit(-1).alias("range"), "windows", "checks", "ids"))
 
     def last(part: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         if not len(part):

@@ -22,12 +22,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, written
+from .common import mapped, scratch_dir, written
 
 MIN_REVISIT = 100
 GZIP_LEVEL = 1
@@ -140,17 +142,27 @@ def _same():
     return Window.partitionBy("payload_digest").orderBy("page_id")
 
 
+class Planned(NamedTuple):
+    page_id: int | None
+    url: str
+    html: str | None
+    payload_bytes: int
+    payload_digest: str
+    record_type: str
+    refers_to: int | None
+
+
 def write_archives(planned: DataFrame, folder: str) -> DataFrame:
     """Write records as monolithic gzip archives, several a partition at most; one row per archive: path, records."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         from pyspark import TaskContext
 
         task = TaskContext.get()
         part, made = f"{task.partitionId():06d}-{task.taskAttemptId()}", []
-        rows = (r for pdf in batches for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False))
+        rows = (Planned(*(c[i].as_py() for c in batch.columns)) for batch in batches for i in range(len(batch)))
         more = next(rows, None)
         while more is not None:
             path, n = f"{root}/part-{part}-{len(made):04d}.warc.gz", 0
@@ -160,7 +172,7 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
                 pack, size = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31), 0
                 while more is not None and size < ARCHIVE_BYTES:
                     payload = (more.html or "").encode("utf-8", "surrogatepass")
-                    whole = record(more.record_type, None if more.page_id is None else int(more.page_id), more.url, payload, int(more.payload_bytes), more.payload_digest, None if more.refers_to is None else int(more.refers_to))
+                    whole = record(more.record_type, more.page_id, more.url, payload, more.payload_bytes, more.payload_digest, more.refers_to)
                     f.write(pack.compress(whole))
                     size, n = size + len(whole), n + 1
                     more = next(rows, None)
@@ -168,9 +180,9 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
 
             _put(store, path, fill)
             made.append((path, n))
-        yield pd.DataFrame(made, columns=["path", "records"])
+        yield pa.record_batch([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["path", "records"])
 
-    return planned.mapInPandas(run, "path string, records long")
+    return mapped(planned.select(*Planned._fields), run, "path string, records long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -210,11 +222,11 @@ RECORD = "page_id long, url string, html string, payload_bytes long, payload_dig
 def read_archives(normal: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Every record, read through its archive's index: each member is inflated alone and its payload checked."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
         number = lambda x: int(x) if x else None
-        for pdf in batches:
-            for path, index in zip(pdf["path"], pdf["index_path"], strict=True):
+        for batch in batches:
+            for path, index in zip(batch.column("path").to_pylist(), batch.column("index_path").to_pylist(), strict=True):
                 with store.open_input_stream(index, compression=None) as f:
                     places = [json.loads(x) for x in f.read().decode().splitlines()]
                 with store.open_input_stream(path, compression=None) as f:
@@ -233,16 +245,17 @@ def read_archives(normal: DataFrame, folder: str, payloads: bool = True) -> Data
                         rows.append((number(fields["x-page-id"]), fields["warc-target-uri"], html, n, digest, kind, number(fields.get("x-refers-to-page-id")), offset, length, path))
                         size += len(html or "")
                         if len(rows) >= 2000 or size > _CHUNK * 8:
-                            yield _frame(rows)
+                            yield _batch(rows)
                             rows, size = [], 0
-                    yield _frame(rows)
+                    yield _batch(rows)
 
-    return normal.mapInPandas(run, RECORD)
+    return mapped(normal, run, RECORD)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-    return df.astype({"page_id": "Int64", "refers_to": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    names, types = zip(*(x.split() for x in RECORD.split(", ")), strict=True)
+    return pa.record_batch([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
 
 
 def archived(pages: DataFrame) -> tuple[DataFrame, str]:
