@@ -4,8 +4,9 @@ All rows start in one node. Each round splits every node that stands for more th
 widest metadata dimension (range relative to the whole corpus), at the weighted quantile that gives each
 side the bytes of its share of shards. The quantile is found over all rows by refining a histogram of
 bytes; only histograms (shards x buckets sums) and node extents reach the driver, however many rows.
-Equal values are told apart by a hash drawn once per row and stored, so a cut can fall within a value
-that very many rows share, copies included.
+Names (language, source) count by their rank in the alphabet. Equal values are told apart by a hash of the row,
+and equal rows by a number drawn once and stored, so a cut can fall within a value that very many rows share, copies
+included: which of equal rows goes where is all that another file split could change.
 
 Defined edge cases: a null text has 16 bytes; null metadata is the smallest value; equal rows are placed one
 by one; input columns named shard or slot are replaced; a null weight is 0; with fewer rows than shards
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, whole_row, written
+from .common import clean_text, partitions, whole_row, written
 
 SHARDS, BUCKETS, OVERHEAD = 40, 4096, 16
 #: A cut is final once the bucket it falls in has at most this part of a shard's bytes.
@@ -27,13 +28,30 @@ _TIE = 32
 SLOT_ROWS = 50_000
 
 
-def _norm(value: Column) -> Column:
-    """Any metadata column as a long from 0 to 2^31 - 1."""
-    return F.coalesce(F.crc32(value.cast("string").cast("binary")).bitwiseAND(F.lit(2**31 - 1)), F.lit(0)).cast("long")
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the rank of a column's value among its distinct values as `name`; null is 0, others from 1 on.
+
+    The distinct values are sorted in ranges; only the ranges' counts reach the driver.
+    """
+    spark = rows.sparkSession
+    distinct = rows.select(F.col(f"`{column}`").cast("string").alias("v")).filter("v is not null").distinct()
+    number = F.monotonically_increasing_id()
+    ranges = distinct.repartitionByRange(max(1, partitions(spark)), "v").sortWithinPartitions("v")
+    ranges = written(ranges.select("v", F.shiftright(number, 33).cast("int").alias("part"), number.bitwiseAND(F.lit(2**33 - 1)).alias("at")), "ranks")
+    before, offsets = 1, []
+    for r in sorted(ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = F.broadcast(spark.createDataFrame(offsets, "p int, before long"))  # one row a range
+    ranks = ranges.join(starts, F.col("part") == F.col("p")).select("v", (F.col("before") + F.col("at")).alias(name))
+    both = rows.select(whole_row(rows), F.col(f"`{column}`").cast("string").alias("_v")).join(ranks, F.col("_v") == F.col("v"), "left")
+    return both.select(*(F.col(f"row.`{c}`").alias(c) for c in rows.columns), F.coalesce(name, F.lit(0)).alias(name))
 
 
 def _tie(rows: DataFrame) -> Column:
-    return F.xxhash64(*(f"`{c}`" for c in rows.columns), F.monotonically_increasing_id()).bitwiseAND(F.lit(2**_TIE - 1))
+    """20 bits of the row's content before 12 that tell equal rows apart."""
+    content, number = F.xxhash64(*(f"`{c}`" for c in rows.columns)), F.xxhash64(F.monotonically_increasing_id())
+    return F.shiftleft(content.bitwiseAND(F.lit(2**20 - 1)), 12).bitwiseOR(number.bitwiseAND(F.lit(2**12 - 1)))
 
 
 def kd_shards(rows: DataFrame, dims: list[str], weight: str = "size", shards: int | None = SHARDS, target: int | None = None) -> DataFrame:
@@ -119,7 +137,8 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     data = clean_text(docs).cast("binary")
     size = F.octet_length(data).cast("long") + OVERHEAD
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(data).alias("text_crc32"), _norm(docs["lang"]).alias("d_lang"), _norm(docs["source"]).alias("d_source"))
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(data).alias("text_crc32"), "lang", "source")
+    rows = ranked(ranked(rows, "lang", "d_lang"), "source", "d_source")
     rows = rows.withColumn("d_size", F.least(F.col("size"), F.lit(2**31 - 1))).withColumn("d_id", F.coalesce(F.col("doc_id").bitwiseAND(F.lit(2**31 - 1)), F.lit(0)))
     out = kd_shards(rows, ["d_source", "d_lang", "d_size", "d_id"])
     out = with_slots(out.select("doc_id", "size", "text_crc32", "shard"), ["doc_id", "text_crc32"])
