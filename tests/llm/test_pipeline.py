@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from conftest import SF, SF_SMALL
 
@@ -50,8 +52,9 @@ def test_empty(spark):
 
 def test_nulls_ties_and_long_texts(spark):
     """Null columns, repeated rows, empty and very long texts and ids above 2^53 through all stages."""
-    good = "The committee met on Tuesday, and its members agreed that the report should be written before the summer. " * 3
-    rows = [(2**53 + i, f"Number {i} of many reports is about subject {'abcdefghij'[i] * 3}. " + good.replace("report", f"paper{i}"), None, f"s{i}", 5) for i in range(8)]
+    rng = random.Random(1)
+    prose = lambda: " ".join(rng.choice(["river", "stone", "walked", "under", "quiet", "seven", "letters", "carried", "morning", "bread"]) + rng.choice(["", "s", "ed", "ing", ","]) for _ in range(90)) + "."
+    rows = [(2**53 + i, f"{prose()}\n{prose()}", None, f"s{i}", 5) for i in range(8)]
     rows += [(None, rows[0][1] + " and a half", "en", None, None), rows[3], rows[3], (9, None, None, None, None), (10, "", "en", "x", 0), (11, "word " * 60_000, "en", "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
