@@ -115,9 +115,12 @@ def cleaned(df, source: str = "text", target: str = "text", structure: bool = Fa
     text = normalised(F.col(source))
     if pdf:
         text = short_lines_merged(without_annotations(text))
-    df = df.withColumn("_lines", lines_of(text))
+    lines = "_lines"
+    while lines in {c.lower() for c in df.columns}:
+        lines = f"_{lines}"
+    df = df.withColumn(lines, lines_of(text))
     out = F.col(target) if structure else chinese_punctuation(merged(F.col(target)))
-    return df.withColumn(target, without_noise(F.col(source), "_lines")).withColumn(target, out).drop("_lines")
+    return df.withColumn(target, without_noise(F.col(source), lines)).withColumn(target, out).drop(lines)
 
 
 def quality_columns(lines: str, normal: str, mode: str = "balanced") -> dict[str, Column]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.operators import analytics, concepts, graph, learner, quiz, retrieval, text
+from corpusloom.operators import analytics, answers, concepts, graph, learner, quiz, retrieval, text
 from corpusloom.streaming import streams
 
-MODULES = (analytics, learner, retrieval, concepts, text, graph, quiz, streams)
+MODULES = (analytics, learner, retrieval, concepts, text, graph, quiz, answers, streams)
 FLAGSHIP = retrieval.bm25_topk
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,11 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: the cluster's shared checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusloom-shared"
+    """Where intermediate tables go: the cluster's shared checkpoint folder. Only a local session may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
