@@ -114,8 +114,9 @@ def _row(at: dict[int, int], shards: int, other: int) -> list[int]:
 
 
 def _at(values: list, column: str) -> Column:
-    """values[column], as a constant array."""
-    return F.get(F.array(*(F.lit(v) if isinstance(v, bool) else F.lit(v).cast("long") for v in values)), F.col(column))
+    """values[column], as a constant array; one expression, since a call into the JVM for each value took most of the driver's time."""
+    constants = ", ".join(str(v).lower() if isinstance(v, bool) else f"{v}L" for v in values)
+    return F.expr(f"get(array({constants}), `{column}`)")
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
