@@ -138,19 +138,59 @@ def session_page(spark: SparkSession, d: str) -> DataFrame:
     return page(s, 5, 10, F.desc("last_turn"), F.desc("conv_id"))
 
 
-RECENT, LINE, RECENT_BUDGET = 3, 60, 160
+# Messages looked at and kept whole; characters of a recent line, an older line, the recent block, the summary, the history; older lines.
+FETCHED, RECENT, LINE, OLDER_LINE, OLDER_LINES = 24, 6, 220, 90, 4
+RECENT_BUDGET, SUMMARY_BUDGET, HISTORY_BUDGET = 1600, 700, 2400
+RECENT_HEAD, OLDER_HEAD = "[Recent messages]", "[Earlier conversation summary]"
 
 
-@query(f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
-l AS (SELECT conv_id, turn, back, role || ': ' || (CASE WHEN length(t) > {LINE} THEN left(t, {LINE - 3}) || '...' ELSE t END) AS line FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM m))
-SELECT conv_id, string_agg(line, ' ' ORDER BY turn) FILTER (WHERE back <= {RECENT}) AS recent, count(*) FILTER (WHERE back > {RECENT}) AS older FROM l GROUP BY 1""")
+def shortened(text: Column, most: Column | int) -> Column:
+    """A text on one line, cut to at most so many characters, dots included."""
+    t, most = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), F.lit(most) if isinstance(most, int) else most
+    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, F.lit(1), most - 3)), F.lit("...")))
+
+
+def fitted(lines: Column, most: int) -> Column:
+    """Lines joined as long as they fit in so many characters; the first that does not is shortened, if at least seven are left."""
+
+    def add(state: Column, line: Column) -> Column:
+        so_far = state["text"]
+        start = F.when(so_far == "", so_far).otherwise(F.concat(so_far, F.lit("\n")))
+        whole, room = F.concat(start, line), most - F.char_length(start)
+        cut = F.when(room > 6, F.concat(start, shortened(line, room))).otherwise(so_far)
+        fits = F.char_length(whole) <= most
+        return F.when(state["full"] | (line == ""), state).otherwise(F.struct(F.when(fits, whole).otherwise(cut).alias("text"), (~fits).alias("full")))
+
+    return F.aggregate(lines, F.struct(F.lit("").alias("text"), F.lit(False).alias("full")), add, lambda s: s["text"])
+
+
+# The SQL leaves the budgets out: with these roles (at most nine characters) no block reaches its budget; tests/test_history.py has those that do.
+@query(rf"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS back FROM conversations QUALIFY back <= {FETCHED}),
+t AS (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, CASE WHEN back <= {RECENT} THEN {LINE} ELSE {OLDER_LINE} END AS most FROM m),
+l AS (SELECT *, trim(role || ': ' || CASE WHEN length(t) > most THEN rtrim(left(t, most - 3)) || '...' ELSE t END) AS line FROM t)
+SELECT conv_id, count(*) FILTER (WHERE back > {RECENT}) AS older, CASE WHEN count(*) > {RECENT} THEN '{OLDER_HEAD} messages=' || (count(*) FILTER (WHERE back > {RECENT})) || ', user=' || (count(*) FILTER (WHERE back > {RECENT} AND role = 'user'))
+|| ', assistant=' || (count(*) FILTER (WHERE back > {RECENT} AND role = 'assistant')) || ' ' || string_agg(line, ' ' ORDER BY back DESC) FILTER (WHERE back > {RECENT} AND back <= {RECENT + OLDER_LINES}) || ' ' ELSE '' END
+|| '{RECENT_HEAD} ' || string_agg(line, ' ' ORDER BY back DESC) FILTER (WHERE back <= {RECENT}) AS history FROM l GROUP BY 1""")
 def history_window(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation context: the most recent messages verbatim within a line budget, older ones counted."""
-    m = table(spark, d, "conversations").withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    t = F.trim(F.regexp_replace("text", r"\s+", " "))
-    line = F.concat_ws(": ", "role", F.when(F.char_length(t) > LINE, F.concat(F.substring(t, 1, LINE - 3), F.lit("..."))).otherwise(t))
-    kept = F.filter(F.array_sort(F.collect_list(F.struct("turn", "back", line.alias("line")))), lambda x: x["back"] <= RECENT)
-    return m.groupBy("conv_id").agg(F.array_join(F.transform(kept, lambda x: x["line"]), " ").alias("recent"), F.count_if(F.col("back") > RECENT).alias("older"))
+    """Conversation context of the last 24 messages: counts and the last lines of older ones, then the recent ones, each block in its budget.
+
+    No more than 24 messages of a conversation are collected.
+    """
+    by = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
+    m = table(spark, d, "conversations").withColumn("back", F.row_number().over(by)).filter(F.col("back") <= FETCHED)
+    old = F.col("back") > RECENT
+    line = F.trim(F.concat(F.coalesce("role", F.lit("")), F.lit(": "), shortened(F.col("text"), F.when(old, OLDER_LINE).otherwise(LINE))))
+    rows = m.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("place"), line.alias("line")))).alias("rows"),
+        F.count_if(old).alias("older"),
+        F.count_if(old & (F.col("role") == "user")).alias("asked"),
+        F.count_if(old & (F.col("role") == "assistant")).alias("answered"),
+    )
+    within = lambda low, high: F.transform(F.filter("rows", lambda x: x["place"].between(-high, -low)), lambda x: x["line"])
+    counts = F.format_string(f"{OLDER_HEAD} messages=%d, user=%d, assistant=%d", "older", "asked", "answered")
+    summary = F.when(F.col("older") > 0, fitted(F.concat(F.array(counts), within(RECENT + 1, RECENT + OLDER_LINES)), SUMMARY_BUDGET))
+    recent = F.concat(F.lit(f"{RECENT_HEAD}\n"), fitted(within(1, RECENT), RECENT_BUDGET))
+    return rows.select("conv_id", "older", shortened(F.concat_ws("\n", summary, recent), HISTORY_BUDGET).alias("history"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\w+')) ELSE 0 END AS n_words FROM conversations")

@@ -79,14 +79,27 @@ def repeated_edges(spark: SparkSession, d: str) -> DataFrame:
     return edge_keys(spark, d)
 
 
-@query(f"""WITH k AS ({_KEYS}), p AS (SELECT doc_id, source, text, regexp_extract(text, '^[^\\n]*') AS a FROM documents)
-SELECT doc_id, md5(CASE WHEN pages IS NOT NULL THEN regexp_replace(text, '^[^\\n]*\\n?', '') ELSE text END) AS text_md5 FROM p LEFT JOIN k ON p.source = k.source AND lower(regexp_replace(a, '\\s', '', 'g')) = k.key""")
+#: What is cut from both ends of a page, so that its first and last lines have text.
+_BLANKS = " \t\n\r"
+
+
+@query(rf"""WITH k AS ({_KEYS}), p AS (SELECT doc_id, source, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+e AS (SELECT *, lower(regexp_replace(regexp_extract(t, '^[^\n]*'), '\s', '', 'g')) AS a, lower(regexp_replace(regexp_extract(t, '[^\n]*$'), '\s', '', 'g')) AS b FROM p),
+f AS (SELECT e.*, x.pages IS NOT NULL AS first, y.pages IS NOT NULL AND contains(t, chr(10)) AS last FROM e LEFT JOIN k x ON e.source = x.source AND a = x.key LEFT JOIN k y ON e.source = y.source AND b = y.key),
+r AS (SELECT *, CASE WHEN first THEN regexp_replace(t, '^[^\n]*', '') ELSE t END AS u FROM f)
+SELECT doc_id, first::BIGINT + last::BIGINT AS removed, md5(trim(regexp_replace(CASE WHEN last THEN regexp_replace(u, '[^\n]*$', '') ELSE u END, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM r""")
 def edge_noise_removed(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without a first line that recurs in their source."""
-    docs = table(spark, d, "documents", "doc_id", "source", "text").withColumn("key", edge_key(F.regexp_extract("text", r"\A[^\n]*", 0)))
-    both = docs.join(edge_keys(spark, d), ["source", "key"], "left")
-    text = F.when(F.col("pages").isNotNull(), F.regexp_replace("text", r"\A[^\n]*\n?", "")).otherwise(F.col("text"))
-    return both.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
+    """Documents without their first and last lines where these recur in their source; how many lines went."""
+    docs = table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.btrim(F.coalesce("text", F.lit("")), F.lit(_BLANKS)).alias("t"))
+    docs = docs.withColumn("a", edge_key(F.regexp_extract("t", r"\A[^\n]*", 0))).withColumn("b", edge_key(F.regexp_extract("t", r"[^\n]*\z", 0)))
+    known = edge_keys(spark, d)
+    of = lambda k, name: known.select("source", F.col("key").alias(k), F.lit(True).alias(name))
+    both = docs.join(of("a", "first"), ["source", "a"], "left").join(of("b", "last"), ["source", "b"], "left")
+    first, last = F.coalesce("first", F.lit(False)), F.coalesce("last", F.lit(False)) & F.contains("t", F.lit("\n"))
+    without = F.when(first, F.regexp_replace("t", r"\A[^\n]*", "")).otherwise(F.col("t"))
+    left = F.when(last, F.regexp_replace(without, r"[^\n]*\z", "")).otherwise(without)
+    left = F.btrim(F.regexp_replace(left, r"\n{3,}", "\n\n"), F.lit(_BLANKS))
+    return both.select("doc_id", (first.cast("long") + last.cast("long")).alias("removed"), F.md5(left.cast("binary")).alias("text_md5"))
 
 
 _TAGS = r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->"
