@@ -6,16 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # List prefixes, trailing marks, and what a comparison key leaves out.
-PREFIX = r"^\s*(?:\d+\s*[.)、．]|[a-z]\s*[.)、．]|[（(]\s*[0-9一二三四五六七八九十百零]+\s*[)）]|[一二三四五六七八九十百零]+\s*[、.．])\s*"
+PREFIXES = [
+    r"^\s*\d+\s*[.)、．]\s*",
+    r"^\s*[A-Za-z]\s*[.)、．]\s*",
+    r"^\s*[（(]\s*[0-9一二三四五六七八九十百零]+\s*[)）]\s*",
+    r"^\s*[一二三四五六七八九十百零]+\s*[、.．]\s*",
+]
 TAIL = r"[。；;，,：:、 ]+$"
 LEFT_OUT = r"[\s\-_—·•、，,。；;：:()（）\[\]{}<>《》\"'“”‘’]+"
+# Prefixes as often as they come: one pattern of them all.
+_PREFIX = "^(?:" + "|".join(p.removeprefix("^") for p in PREFIXES) + ")+"
 _LETTER = r"0-9a-z㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 
 
 def plain(text: Column) -> Column:
     """Lower case, single spaces, no list prefixes however many, no trailing marks (NFKC is left to the caller)."""
     t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, f"^(?:{PREFIX[1:]})+", ""), TAIL, ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, _PREFIX, ""), TAIL, ""))
 
 
 def comparison_key(text: Column) -> Column:
@@ -28,9 +35,8 @@ def soft_key(text: Column) -> Column:
 
 
 def plain_sql(text: str) -> str:
-    prefix = PREFIX.replace("'", "''")[1:]
     t = f"trim(regexp_replace(lower(coalesce({text}, '')), '\\s+', ' ', 'g'))"
-    return f"trim(regexp_replace(regexp_replace({t}, '^(?:{prefix})+', ''), '{TAIL}', ''))"
+    return f"trim(regexp_replace(regexp_replace({t}, '{_PREFIX}', ''), '{TAIL}', ''))"
 
 
 def comparison_key_sql(text: str) -> str:

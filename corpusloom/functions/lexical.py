@@ -14,18 +14,43 @@ STOPWORDS = (
     "a an and are as at be by for from in is it of on or that the to with 与 且 了 于 以 们 但 你 其 和 在 将 就 并 并且 很 把 是 有 及 或 我 所以 等 而 被 让 该 这 这个 这些 那 那个 那些 都 通过 进行 以及"
 ).split()
 
-# Question classes (English and Chinese wording), as case-insensitive patterns.
+# Question classes (English and Chinese wording), as case-insensitive patterns, any of which tells the class.
 CLASSES = {
-    "summary": r"\b(summary|summari[sz]e|overview|recap|synopsis)\b|(总结|概括|归纳|梳理|总览|综述|提炼|概述)|(全文|整篇|本章|这一章|这章|本节|这节).{0,12}(讲了什么|主要内容|核心内容|重点)",
-    "compare": r"\b(compare|comparison|contrast|different(ce|ces)?|vs\.?|versus|similarit(y|ies))\b|(比较|对比|区别|差异|异同|不同点|相同点)",
-    "relation": r"\b(relation|relationship|related|association|interact(ion)?)\b|(关系|联系|关联|相互作用)",
-    "list": r"\b(list|enumerate|identify|examples?|types?|kinds?|categories?)\b|(列举|列出|有哪些|有什么|举例|类型|种类|类别|包括哪些)",
-    "steps": r"\b(steps?|procedure|process|workflow|how to)\b|(步骤|流程|过程|如何|怎么做|怎么计算|怎样)",
-    "causes": r"\b(causes?|reasons?|why|because)\b|(原因|为什么|成因|导致|引起)",
-    "pros_cons": r"\b(pros?\s+and\s+cons|advantages?|disadvantages?|strengths?|weaknesses?|trade[- ]?offs?)\b|(优缺点|利弊|优势|劣势|好处|坏处|取舍)",
+    "summary": [
+        r"\b(summary|summari[sz]e|overview|recap|synopsis)\b",
+        r"(总结|概括|归纳|梳理|总览|综述|提炼|总结一下|概述)",
+        r"(全文|整篇|本章|这一章|这章|本节|这节).{0,12}(讲了什么|主要内容|核心内容|重点)",
+    ],
+    "compare": [
+        r"\b(compare|comparison|contrast|different(?:ce|ces)?|vs\.?|versus|similarit(?:y|ies))\b",
+        r"(比较|对比|区别|差异|异同|不同点|相同点)",
+    ],
+    "relation": [
+        r"\b(relation|relationship|related|association|interact(?:ion)?)\b",
+        r"(关系|联系|关联|相互作用)",
+    ],
+    "list": [
+        r"\b(list|enumerate|identify|examples?|types?|kinds?|categories?)\b",
+        r"(列举|列出|有哪些|有什么|举例|类型|种类|类别|包括哪些)",
+    ],
+    "steps": [
+        r"\b(step(?:s)?|procedure|process|workflow|how to)\b",
+        r"(步骤|流程|过程|如何|怎么做|怎么计算|怎样)",
+    ],
+    "causes": [
+        r"\b(cause|causes|reason|reasons|why|because)\b",
+        r"(原因|为什么|成因|导致|引起)",
+    ],
+    "pros_cons": [
+        r"\b(pros?\s+and\s+cons|advantages?|disadvantages?|strengths?|weaknesses?|trade[- ]?offs?)\b",
+        r"(优缺点|利弊|优势|劣势|好处|坏处|取舍)",
+    ],
 }
 COMPLEX = ("compare", "relation", "list", "steps", "causes", "pros_cons")
-CONJUNCTIONS = r"\b(and|or|while|whereas|both)\b|(分别|同时|以及|并且|一方面|另一方面)"
+CONJUNCTIONS = [
+    r"(分别|同时|以及|并且|一方面|另一方面)",
+    r"\b(and|or|while|whereas|both)\b",
+]
 
 _WORD = r"[a-z0-9_]+|[一-鿿]"
 _SQL_WORD = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]"
@@ -80,8 +105,13 @@ def overlap_sql(a: str, b: str) -> str:
     return f"len(list_intersect({words(a)}, {words(b)}))"
 
 
+def any_of(patterns: list[str]) -> str:
+    """One case-insensitive pattern of several, for either engine."""
+    return "(?i)" + "|".join(patterns)
+
+
 def is_class(text: Column, name: str) -> Column:
-    return text.rlike(f"(?i){CLASSES[name]}")
+    return text.rlike(any_of(CLASSES[name]))
 
 
 def is_complex(text: Column) -> Column:
@@ -93,7 +123,7 @@ def is_complex(text: Column) -> Column:
 
 def is_multi_part(text: Column) -> Column:
     """Two marks that end a part, two that separate, or a conjunction."""
-    return (F.regexp_count(text, F.lit("[；;?？]")) >= 2) | (F.regexp_count(text, F.lit("[，,、；;]")) >= 2) | text.rlike(f"(?i){CONJUNCTIONS}")
+    return (F.regexp_count(text, F.lit("[；;?？]")) >= 2) | (F.regexp_count(text, F.lit("[，,、；;]")) >= 2) | text.rlike(any_of(CONJUNCTIONS))
 
 
 def is_medium(text: Column, rewritten: Column | bool = False) -> Column:
@@ -101,7 +131,7 @@ def is_medium(text: Column, rewritten: Column | bool = False) -> Column:
 
 
 def class_sql(text: str, name: str) -> str:
-    return f"regexp_matches({text}, '(?i){CLASSES[name]}')"
+    return f"regexp_matches({text}, '{any_of(CLASSES[name])}')"
 
 
 def complex_sql(text: str) -> str:
@@ -109,4 +139,4 @@ def complex_sql(text: str) -> str:
 
 
 def multi_part_sql(text: str) -> str:
-    return f"(len(regexp_extract_all({text}, '[；;?？]')) >= 2 OR len(regexp_extract_all({text}, '[，,、；;]')) >= 2 OR regexp_matches({text}, '(?i){CONJUNCTIONS}'))"
+    return f"(len(regexp_extract_all({text}, '[；;?？]')) >= 2 OR len(regexp_extract_all({text}, '[，,、；;]')) >= 2 OR regexp_matches({text}, '{any_of(CONJUNCTIONS)}'))"

@@ -141,29 +141,75 @@ def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     return where.join(found, "id").select("kb", "id", "component")
 
 
-# Phrases too general for a concept, and headings.
-GENERIC = ["overview", "summary", "introduction", "conclusion", "notes", "contents"]
-HEADING = r"^(?:chapter|section|part|unit|lesson)\s*\d+|^第.{1,4}[章节]"
-
-
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents),
-c AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, {keys.comparison_key_sql('line')} AS key FROM l),
-f AS (SELECT *, CASE WHEN key = '' THEN 'empty' WHEN length(t) < {MIN_TEXT} OR length(t) > {MAX_TEXT} THEN 'length' WHEN regexp_matches(lower(t), '{HEADING.replace("'", "''")}') THEN 'heading'
-WHEN length(t) <= 12 AND regexp_matches(lower(t), '{"|".join(GENERIC)}') THEN 'generic' ELSE 'kept' END AS verdict FROM c),
-r AS (SELECT *, CASE WHEN verdict = 'kept' AND row_number() OVER (PARTITION BY doc_id, key, verdict ORDER BY place) > 1 THEN 'duplicate' ELSE verdict END AS final FROM f)
+# Phrases too general for a concept, and what looks like a heading.
+GENERIC = "重要概念 核心概念 关键概念 关键知识点 核心知识点 相关知识点 主要内容 核心内容 重点内容 本节内容 知识点总结 学习目标".split()
+HEADINGS = [
+    r"^第[一二三四五六七八九十0-9]+[章节部分]",
+    r"^\d+(?:\.\d+){0,3}$",
+    r"^(引言|绪论|总结|小结|习题|参考文献)$",
+]
+#: Characters up to which a text that only holds such a phrase is as general as the phrase.
+GENERIC_CHARS = 12
+_FRONT, _BACK = r"^[\-\u2022\u00b7•·,，;；:：]+", "[，,；;。.!！?？：:]+$"
+_FRONT_SQL = _FRONT.replace(r"\u2022\u00b7", "")  # the other engine writes code points otherwise; both marks follow
+_CUT_END = "[ ，,；;。.!！?？：:]+$"
+
+
+def concept_text(line: Column) -> Column:
+    """A candidate's text: single spaces, no bullets before it, no marks after it."""
+    t = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, _FRONT, "")), _BACK, ""))
+
+
+def explanation_text(text: Column, explanation: Column) -> Column:
+    """An explanation of up to 80 characters, or null where it says no more than the concept itself."""
+    whole = F.trim(F.regexp_replace(explanation, r"\s+", " "))
+    cut = F.when(F.char_length(whole) > MAX_EXPLANATION, F.regexp_replace(F.substring(whole, 1, MAX_EXPLANATION), _CUT_END, "")).otherwise(whole)
+    a, b = keys.plain(text), keys.plain(cut)
+    same = (a != "") & ((a == b) | ((F.contains(b, a) | F.contains(a, b)) & (b != "") & (F.abs(F.char_length(a) - F.char_length(b)) <= 8)))
+    return F.when((cut != "") & ~same, cut)
+
+
+_LINES = r"SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents"
+_CONCEPT = f"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(coalesce(line, ''), '\\s+', ' ', 'g')), '{_FRONT_SQL}', '')), '{_BACK}', ''))"
+
+
+@query(f"""WITH c AS (SELECT doc_id, place, {_CONCEPT} AS t FROM ({_LINES})),
+p AS (SELECT *, {keys.plain_sql('t')} AS plain, {keys.comparison_key_sql('t')} AS key FROM c),
+f AS (SELECT *, CASE WHEN key = '' THEN 'empty' WHEN length(plain) < {MIN_TEXT} OR length(plain) > {MAX_TEXT} THEN 'length' WHEN regexp_matches(t, '{"|".join(HEADINGS)}') THEN 'heading'
+WHEN length(plain) <= {GENERIC_CHARS} AND regexp_matches(plain, '{"|".join(GENERIC)}') THEN 'generic' ELSE 'kept' END AS verdict FROM p),
+g AS (SELECT *, min(place) FILTER (WHERE verdict = 'kept') OVER (PARTITION BY doc_id, key) AS first_kept FROM f),
+r AS (SELECT *, CASE WHEN place > first_kept THEN 'duplicate' ELSE verdict END AS final FROM g)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE final = 'empty') AS empty, count(*) FILTER (WHERE final = 'length') AS length, count(*) FILTER (WHERE final = 'heading') AS heading,
 count(*) FILTER (WHERE final = 'generic') AS generic, count(*) FILTER (WHERE final = 'duplicate') AS duplicate, count(*) FILTER (WHERE final = 'kept') AS kept FROM r GROUP BY 1""")
 def keypoint_postprocess(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as candidate concepts: why each goes, counted per document (the strict mode's diagnostics)."""
+    """Lines as candidate concepts: why each goes, counted per document (the strict mode's diagnostics).
+
+    A candidate whose key was kept before is a duplicate whatever else it is; one without a key is empty.
+    """
     lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    t, low = F.trim(F.regexp_replace("line", r"\s+", " ")), F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))
-    n = F.char_length(t)
-    verdict = F.when(F.col("key") == "", "empty").when((n < MIN_TEXT) | (n > MAX_TEXT), "length").when(low.rlike(HEADING), "heading").when((n <= 12) & low.rlike("|".join(GENERIC)), "generic").otherwise("kept")
-    judged = lines.withColumn("key", keys.comparison_key(F.col("line"))).withColumn("verdict", verdict)
-    per_key = judged.groupBy("doc_id", "key", "verdict").agg(F.count(F.lit(1)).alias("n"))
-    kept = F.col("verdict") == "kept"
-    count = lambda name: F.sum(F.when(F.col("verdict") == name, F.col("n")).otherwise(0)).alias(name)
-    return per_key.groupBy("doc_id").agg(F.sum("n").alias("lines"), *(count(x) for x in ("empty", "length", "heading", "generic")), F.sum(F.when(kept, F.col("n") - 1).otherwise(0)).alias("duplicate"), F.count_if(kept).alias("kept"))
+    return postprocessed(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), *(F.count_if(F.col("verdict") == x).alias(x) for x in VERDICTS))
+
+
+VERDICTS = ("empty", "length", "heading", "generic", "duplicate", "kept")
+
+
+def postprocessed(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, place, line) with the text of the candidate and its verdict.
+
+    The first kept place of a key comes from an aggregate with map-side combining, so a line that one text
+    repeats a million times is one row of the shuffle; only kept keys are joined back.
+    """
+    t = lines.withColumn("t", concept_text(F.col("line")))
+    t = t.withColumn("plain", keys.plain(F.col("t"))).withColumn("key", keys.comparison_key(F.col("t")))
+    n = F.char_length("plain")
+    heading = F.col("t").rlike("|".join(HEADINGS))
+    generic = (n <= GENERIC_CHARS) & F.col("plain").rlike("|".join(GENERIC))
+    own = F.when(F.col("key") == "", "empty").when((n < MIN_TEXT) | (n > MAX_TEXT), "length").when(heading, "heading").when(generic, "generic").otherwise("kept")
+    judged = t.withColumn("verdict", own)
+    first = judged.filter("verdict = 'kept'").groupBy("doc_id", "key").agg(F.min("place").alias("first_kept"))
+    out = judged.join(first, ["doc_id", "key"], "left")
+    return out.withColumn("verdict", F.when(F.col("place") > F.col("first_kept"), "duplicate").otherwise(F.col("verdict"))).select("doc_id", "place", "line", "t", "verdict")
 
 
 QUERIES: dict[str, Callable] = catalogue.queries
