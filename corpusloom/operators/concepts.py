@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import keys
 from corpusloom.operators.components import connected
+from corpusloom.operators.ordering import followers
+from corpusloom.operators.retrieval import squared_distance
 from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import table
 
@@ -19,7 +21,7 @@ catalogue = Catalogue()
 query = catalogue.query
 
 # Thresholds of merging and post-processing.
-MIN_KEY, MIN_JACCARD = 4, 0.45
+MIN_KEY, MIN_JACCARD, MAX_DISTANCE = 4, 0.45, 0.22
 MIN_TEXT, MAX_TEXT, MAX_EXPLANATION = 4, 40, 80
 
 
@@ -88,7 +90,8 @@ SELECT DISTINCT e.kb, x.representative AS from_id, y.representative AS to_id FRO
 def collapse_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges between consecutive points, moved to representatives; loops and repeats go."""
     p = points(spark, d).select("kb", "doc_id")
-    edges = p.withColumn("b", F.lead("doc_id").over(Window.partitionBy("kb").orderBy("doc_id"))).filter("b is not null").withColumnRenamed("doc_id", "a")
+    after = followers(p, "kb", "doc_id", ["doc_id"], 1, "doc_id")
+    edges = after.select("kb", F.col("doc_id").alias("a"), F.col("_next")[0]["doc_id"].alias("b")).filter("b is not null")
     m = member_map(spark, d)
     of = lambda k, name: m.select(F.col("doc_id").alias(k), F.col("representative").alias(name))
     return edges.join(of("a", "from_id"), "a").join(of("b", "to_id"), "b").filter("from_id <> to_id").select("kb", "from_id", "to_id").distinct()
@@ -141,6 +144,73 @@ def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     return where.join(found, "id").select("kb", "id", "component")
 
 
+def semantic_pairs(pairs: DataFrame, vectors: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
+    """Of pairs(kb, a, b, similarity) of concepts that pass the text gate, those whose vectors(id, vector) are close; with their distance.
+
+    The gate comes first: it is a join on rare bigrams, where a search for the nearest vectors of every concept would
+    compare each with all others of its base. A search for six neighbours would only lose some of these pairs.
+    """
+    of = lambda k: vectors.select(F.col("id").alias(k), F.col("vector").alias(f"{k}_vector"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("distance", F.round(squared_distance(F.col("a_vector"), F.col("b_vector")), 6))
+    return both.filter(F.col("distance") <= most).select("kb", "a", "b", "similarity", "distance")
+
+
+#: The distance of the query on the test tables, whose vectors have nothing to do with their texts.
+QUERY_DISTANCE = 2.0
+_SEMANTIC = f"""SELECT kb, a, b, similarity, distance FROM (SELECT p.*, round(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda v: (v[1] - v[2]) * (v[1] - v[2]))), 6) AS distance
+FROM ({_PAIRS}) p JOIN embeddings x ON p.a = x.vec_id JOIN embeddings y ON p.b = y.vec_id) WHERE distance <= {QUERY_DISTANCE}"""
+
+
+def _semantic(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return semantic_pairs(near_pairs(spark, d), vectors, QUERY_DISTANCE)
+
+
+@query(_SEMANTIC)
+def semantic_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of concepts alike in text and in vector."""
+    return _semantic(spark, d)
+
+
+@query(f"""WITH RECURSIVE p AS ({_SEMANTIC}), e AS (SELECT kb, a, b FROM p UNION SELECT kb, b, a FROM p), t AS (SELECT kb, a AS id, a AS c FROM e UNION SELECT t.kb, e.b, t.c FROM t JOIN e ON t.id = e.a)
+SELECT kb, id, min(c) AS component FROM t GROUP BY 1, 2""")
+def semantic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Connected groups of concepts alike in text and in vector."""
+    pairs = _semantic(spark, d)
+    where = pairs.select("kb", F.explode(F.array("a", "b")).alias("id")).distinct()
+    return where.join(connected(pairs.select("a", "b")), "id").select("kb", "id", "component")
+
+
+def representative_of(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """asked(kb, text) with the representative that each text means, or null.
+
+    members(kb, concept, doc_id, representative). Best way of matching first: the representative's own text, a member's,
+    their comparison keys, their soft keys; of equals the smallest representative.
+    """
+    ways = [F.trim, keys.comparison_key, keys.soft_key]
+    each = lambda text: F.array(*(F.struct(F.lit(i).alias("way"), f(text).alias("key")) for i, f in enumerate(ways)))
+    own = (F.col("doc_id") != F.col("representative")).cast("int")
+    known = members.select("kb", own.alias("other"), "representative", F.explode(each(F.col("concept"))).alias("k")).select("kb", "k.way", "k.key", "other", "representative")
+    known = known.filter("key <> ''").groupBy("kb", "way", "key").agg(F.min(F.struct("other", "representative")).alias("m"))
+    wanted = asked.select("kb", "text").distinct()
+    tried = wanted.withColumn("k", F.explode(each(F.col("text")))).select("kb", "text", "k.way", "k.key")
+    best = tried.join(known, ["kb", "way", "key"]).groupBy("kb", "text").agg(F.min(F.struct("way", "m.other", "m.representative")).alias("best"))
+    return asked.join(best, ["kb", "text"], "left").withColumn("representative", F.col("best.representative")).drop("best")
+
+
+@query(f"""WITH m AS (SELECT p.kb, p.concept, m.doc_id, m.representative, (m.doc_id <> m.representative)::INT AS other FROM ({_MEMBERS}) m JOIN ({_POINTS}) p USING (doc_id)),
+k AS (SELECT kb, other, representative, unnest([0, 1, 2]) AS way, unnest([trim(concept), {keys.comparison_key_sql('concept')}, {keys.comparison_key_sql('concept')}]) AS key FROM m),
+a AS (SELECT doc_id, source AS kb, upper({_HEAD}) || '.' AS text FROM documents WHERE doc_id % 100 = 0),
+t AS (SELECT doc_id, kb, unnest([0, 1, 2]) AS way, unnest([trim(text), {keys.comparison_key_sql('text')}, {keys.comparison_key_sql('text')}]) AS key FROM a)
+SELECT a.doc_id, min_by(k.representative, struct_pack(w := k.way, o := k.other, r := k.representative)) AS representative FROM a LEFT JOIN t USING (doc_id) LEFT JOIN k ON t.kb = k.kb AND t.way = k.way AND t.key = k.key AND k.key <> '' GROUP BY 1""")
+def concept_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The representatives of concepts asked for in capitals with a full stop: every document whose id is divisible by 100, against all."""
+    p = points(spark, d)
+    members = member_map(spark, d).join(p.select("doc_id", "concept"), "doc_id")
+    asked = p.filter("doc_id % 100 = 0").select("doc_id", "kb", F.concat(F.upper("concept"), F.lit(".")).alias("text"))
+    return representative_of(asked, members).select("doc_id", "representative")
+
+
 # Phrases too general for a concept, and what looks like a heading.
 GENERIC = "重要概念 核心概念 关键概念 关键知识点 核心知识点 相关知识点 主要内容 核心内容 重点内容 本节内容 知识点总结 学习目标".split()
 HEADINGS = [

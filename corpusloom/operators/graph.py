@@ -1,8 +1,8 @@
 """Concept graph and learning path: rule edges, an acyclic graph, order, depth, stages, minutes, modules.
 
-A concept is a line of a document (text from its first 60 characters, level from its length); the knowledge
-base is the document's source. What is sequential by nature (greedy edge choice, topological order) runs per
-document, which is bounded by one text; all else is joins, windows and aggregates.
+A concept is a line of a document; the knowledge base is the document's source. What is sequential by nature (greedy
+edge choice, topological order) runs per document, which is bounded by one text; all else, edges between documents
+included, is joins, windows and aggregates.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical as lx
+from corpusloom.operators.ordering import followers
 from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import table
 
@@ -24,7 +25,8 @@ query = catalogue.query
 
 # Confidences, cues, degrees, stage cuts, minutes.
 STRONG, MEDIUM, LIGHT = 0.55, 0.46, 0.38
-BASIC, ADVANCED = "定义|概念|基础|术语|简介|入门|原理|introduction|basic|definition", "应用|算法|推导|案例|实现|实践|优化|综合|advanced|application|example"
+BASIC, ADVANCED = "定义|概念|基础|术语|简介|入门|原理", "应用|算法|推导|案例|实现|实践|优化|综合"
+NEAR_DOCUMENTS = 3
 MAX_OUT, MAX_IN = 4, 3
 STAGES = ["foundation", "intermediate", "advanced", "application"]
 CUTS = {"beginner": (0.45, 0.7, 0.88), "intermediate": (0.3, 0.6, 0.82), "advanced": (0.2, 0.5, 0.78)}
@@ -57,15 +59,18 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, place, text, n): the lines with text of every document, numbered."""
     lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     t = F.trim(F.regexp_replace("line", r"\s+", " "))
-    return lines.select("doc_id", "place", F.substring(t, 1, 60).alias("text"), F.char_length(t).alias("n")).filter("n > 0")
+    return lines.select("doc_id", "place", t.alias("text"), F.char_length(t).alias("n")).filter("n > 0")
 
 
-_POINTS = r"""SELECT doc_id, place, substring(t, 1, 60) AS text, length(t) AS n FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS place,
+_POINTS = r"""SELECT doc_id, place, t AS text, length(t) AS n FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS place,
 trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) > 0"""
 
 
 def edges_of(p: DataFrame) -> DataFrame:
-    """(doc_id, from_place, to_place, confidence): each point with the next two of its document, the best rule per pair."""
+    """(doc_id, from_place, to_place, confidence, rank): each point with the next two of its document, the best rule per pair.
+
+    rank: 1 for numbers, 2 for a basic and an advanced point, 3 for shared words; of equally sure rules the first.
+    """
     by = Window.partitionBy("doc_id").orderBy("place")
     pairs = None
     for offset in (1, 2):
@@ -76,16 +81,19 @@ def edges_of(p: DataFrame) -> DataFrame:
     numbered = F.when(a < b, F.when(b - a <= 1, STRONG).otherwise(MEDIUM))
     cue = F.when((shared >= 2) & F.col("left").rlike(BASIC) & F.col("right").rlike(ADVANCED), STRONG)
     local = F.when((F.col("offset") == 1) & (shared >= 2), MEDIUM).when((F.col("offset") == 2) & (shared >= 3), LIGHT)
-    return pairs.withColumn("confidence", F.greatest(numbered, cue, local)).filter("confidence is not null").select("doc_id", "from_place", "to_place", "confidence")
+    pairs = pairs.withColumn("numbered", numbered).withColumn("cue", cue).withColumn("confidence", F.greatest("numbered", "cue", local)).filter("confidence is not null")
+    rank = F.when(F.col("numbered") == F.col("confidence"), 1).when(F.col("cue") == F.col("confidence"), 2).otherwise(3)
+    return pairs.select("doc_id", "from_place", "to_place", "confidence", rank.alias("rank"))
 
 
 _NUMBER = lambda t: f"coalesce(try_cast(nullif(regexp_extract({t}, '^\\s*第\\s*(\\d{{1,9}})\\s*[章节篇条]', 1), '') AS INT), try_cast(nullif(regexp_extract({t}, '^\\s*(\\d{{1,9}})\\s*[.、)\\-:]', 1), '') AS INT))"
 _EDGES = f"""WITH p AS ({_POINTS}), q AS (SELECT doc_id, place AS a, text AS l, unnest([lead(place) OVER w, lead(place, 2) OVER w]) AS b, unnest([lead(text) OVER w, lead(text, 2) OVER w]) AS r, unnest([1, 2]) AS o
 FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
 s AS (SELECT *, {lx.overlap_sql('l', 'r')} AS shared, {_NUMBER('l')} AS x, {_NUMBER('r')} AS y FROM q WHERE b IS NOT NULL)
-SELECT doc_id, a AS from_place, b AS to_place, greatest(CASE WHEN x < y THEN CASE WHEN y - x <= 1 THEN 0.55::DOUBLE ELSE 0.46::DOUBLE END END,
-CASE WHEN shared >= 2 AND regexp_matches(l, '{BASIC}') AND regexp_matches(r, '{ADVANCED}') THEN 0.55::DOUBLE END,
-CASE WHEN o = 1 AND shared >= 2 THEN 0.46::DOUBLE WHEN o = 2 AND shared >= 3 THEN 0.38::DOUBLE END) AS confidence FROM s WHERE confidence IS NOT NULL"""
+SELECT doc_id, a AS from_place, b AS to_place, greatest(n, c, w) AS confidence, CASE WHEN n = confidence THEN 1 WHEN c = confidence THEN 2 ELSE 3 END AS rank FROM (SELECT *,
+CASE WHEN x < y THEN CASE WHEN y - x <= 1 THEN 0.55::DOUBLE ELSE 0.46::DOUBLE END END AS n,
+CASE WHEN shared >= 2 AND regexp_matches(l, '{BASIC}') AND regexp_matches(r, '{ADVANCED}') THEN 0.55::DOUBLE END AS c,
+CASE WHEN o = 1 AND shared >= 2 THEN 0.46::DOUBLE WHEN o = 2 AND shared >= 3 THEN 0.38::DOUBLE END AS w FROM s) WHERE confidence IS NOT NULL"""
 
 
 @query(_EDGES)
@@ -93,12 +101,40 @@ def rule_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges_of(points(spark, d))
 
 
+def cross_edges(p: DataFrame) -> DataFrame:
+    """(kb, from_doc, from_place, to_doc, to_place, confidence) of p(kb, doc_id, place, text): weak edges between documents.
+
+    Points stand in one order per base, by document and place. A numbered or basic point leads to those of the next
+    three that belong to another document and share two words with it. Only the first three and last three points of
+    a document can be part of such a pair: where points between them are left out, six of one document remain.
+    """
+    by = Window.partitionBy("doc_id")
+    edge = p.withColumn("_first", F.row_number().over(by.orderBy("place"))).withColumn("_last", F.row_number().over(by.orderBy(F.desc("place"))))
+    edge = edge.filter((F.col("_first") <= NEAR_DOCUMENTS) | (F.col("_last") <= NEAR_DOCUMENTS)).select("kb", "doc_id", "place", "text")
+    after = followers(edge, "kb", "doc_id", ["doc_id", "place"], NEAR_DOCUMENTS, "doc_id", "place", "text")
+    leads = order_number(F.col("text")).isNotNull() | F.col("text").rlike(BASIC)
+    pairs = after.filter(leads).select("kb", F.col("doc_id").alias("from_doc"), F.col("place").alias("from_place"), "text", F.explode("_next").alias("to")).filter("to.doc_id <> from_doc")
+    pairs = pairs.filter(lx.overlap(F.col("text"), F.col("to.text")) >= 2)
+    return pairs.select("kb", "from_doc", "from_place", F.col("to.doc_id").alias("to_doc"), F.col("to.place").alias("to_place"), F.lit(LIGHT).alias("confidence"))
+
+
+@query(f"""WITH p AS (SELECT d.source AS kb, doc_id, place, (place + 1) || '. ' || t.text AS text FROM ({_POINTS}) t JOIN documents d USING (doc_id)),
+q AS (SELECT *, unnest([lead(doc_id) OVER w, lead(doc_id, 2) OVER w, lead(doc_id, 3) OVER w]) AS y, unnest([lead(place) OVER w, lead(place, 2) OVER w, lead(place, 3) OVER w]) AS b,
+unnest([lead(text) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w]) AS r FROM p WINDOW w AS (PARTITION BY kb ORDER BY doc_id, place))
+SELECT kb, doc_id AS from_doc, place AS from_place, y AS to_doc, b AS to_place, 0.38::DOUBLE AS confidence FROM q WHERE y <> doc_id AND {lx.overlap_sql('text', 'r')} >= 2""")
+def cross_document_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between the documents of a base, of points numbered by their places (the test texts carry no numbers)."""
+    kbs = table(spark, d, "documents", "doc_id", "source").withColumnRenamed("source", "kb")
+    p = points(spark, d).join(kbs, "doc_id")
+    return cross_edges(p.withColumn("text", F.concat((F.col("place") + 1).cast("string"), F.lit(". "), F.col("text"))))
+
+
 def acyclic(edges: list[tuple], max_out: int = MAX_OUT, max_in: int = MAX_IN) -> list[tuple]:
-    """Edges (confidence, a, b) taken best first while degrees allow and no cycle closes."""
+    """Pairs of edges (confidence, rank, a, b), surest first, then by rank, while degrees allow and no cycle closes."""
     out: dict[int, set[int]] = {}
     into: dict[int, int] = {}
     kept = []
-    for c, a, b in sorted(set(edges), key=lambda e: (-e[0], e[1], e[2])):
+    for _, _, a, b in sorted(set(edges), key=lambda e: (-e[0], *e[1:])):
         if a == b or b in out.get(a, ()) or len(out.get(a, ())) >= max_out or into.get(b, 0) >= max_in:
             continue
         todo, seen = [b], {b}
@@ -111,7 +147,7 @@ def acyclic(edges: list[tuple], max_out: int = MAX_OUT, max_in: int = MAX_IN) ->
             continue
         out.setdefault(a, set()).add(b)
         into[b] = into.get(b, 0) + 1
-        kept.append((c, a, b))
+        kept.append((a, b))
     return kept
 
 
@@ -156,10 +192,37 @@ def bounded_insert(anchor: list, order: list, edges: list[tuple]) -> list:
     return out
 
 
+def modules(steps: list[int], links: list[tuple[int, int]]) -> dict[int, int]:
+    """Module of each item, from 0: connected parts in order of their first step, large ones cut; one module where nothing is linked."""
+    if not links:
+        return dict.fromkeys(steps, 0)
+    root = {x: x for x in steps}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    parts: dict[int, list[int]] = {}
+    for x in steps:
+        parts.setdefault(find(x), []).append(x)
+    out: dict[int, int] = {}
+    n = 0
+    for part in parts.values():
+        size = len(part) if len(part) <= MODULE else MODULE_PART
+        for i, x in enumerate(part):
+            out[x] = n + i // size
+        n += -(-len(part) // size)
+    return out
+
+
 def paths(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, place, step, depth, prerequisites, dependents) of every point, from the greedy acyclic graph of its document."""
     p = points(spark, d)
-    e = edges_of(p).select("doc_id", F.struct("confidence", "from_place", "to_place").alias("e"))
+    e = edges_of(p).select("doc_id", F.struct("confidence", "rank", "from_place", "to_place").alias("e"))
     nodes = p.groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias("nodes"))  # the lines of one document
     graphs = nodes.join(e.groupBy("doc_id").agg(F.collect_list("e").alias("edges")), "doc_id", "left")
 
@@ -167,20 +230,21 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc_id, places, found in zip(pdf["doc_id"], pdf["nodes"], pdf["edges"], strict=True):
-                kept = acyclic([(x["confidence"], x["from_place"], x["to_place"]) for x in (found if found is not None else [])])
-                links = [(a, b) for _, a, b in kept]
+                links = acyclic([(x["confidence"], x["rank"], x["from_place"], x["to_place"]) for x in (found if found is not None else [])])
                 into: dict[int, list[int]] = {}
                 outs: dict[int, int] = {}
                 for a, b in links:
                     into.setdefault(b, []).append(a)
                     outs[a] = outs.get(a, 0) + 1
                 depth: dict[int, int] = {}
-                for step, x in enumerate(topological(list(places), links), 1):
+                steps = topological(list(places), links)
+                module = modules(steps, links)
+                for step, x in enumerate(steps, 1):
                     depth[x] = 1 + max((depth[y] for y in into.get(x, ())), default=-1)
-                    rows.append((doc_id, x, step, depth[x], len(into.get(x, ())), outs.get(x, 0)))
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "step", "depth", "prerequisites", "dependents"])
+                    rows.append((doc_id, x, step, depth[x], len(into.get(x, ())), outs.get(x, 0), module[x]))
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "step", "depth", "prerequisites", "dependents", "module"])
 
-    return graphs.mapInPandas(order, "doc_id long, place int, step int, depth int, prerequisites int, dependents int")
+    return graphs.mapInPandas(order, "doc_id long, place int, step int, depth int, prerequisites int, dependents int, module int")
 
 
 @query()
@@ -219,9 +283,8 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     p = p.withColumn("difficulty", difficulty(F.col("n"), F.col("prerequisites"), F.col("dependents"))).withColumn("importance", importance(F.col("mastery"), F.col("prerequisites"), F.col("dependents")))
     deepest = F.max("depth").over(Window.partitionBy("doc_id"))
     p = p.withColumn("stage", stage(F.col("depth"), deepest, F.col("difficulty")))
-    p = p.withColumn("minutes", minutes(F.col("stage"), F.col("difficulty"), F.col("n"), F.col("mastery")))
-    many = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    return p.withColumn("module", F.when(many > MODULE, F.floor((F.col("step") - 1) / MODULE_PART)).otherwise(0).cast("int"))
+    return p.withColumn("minutes", minutes(F.col("stage"), F.col("difficulty"), F.col("n"), F.col("mastery")))
+    return p
 
 
 @query()
@@ -243,6 +306,23 @@ def module_rollup(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).groupBy("doc_id", "module").agg(F.count(F.lit(1)).alias("items"), F.sum("minutes").alias("minutes"), F.max_by("place", F.struct("importance", -F.col("step"))).alias("milestone"))
 
 
+@query()
+def path_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of each path: items, completed ones and their share, minutes, stages, modules, the first stage with open items."""
+    i, done = items(spark, d), F.col("mastery") >= 0.7
+    number = F.array_position(F.array(*(F.lit(x) for x in STAGES)), F.col("stage"))
+    open_stage = F.min(F.when(~done, F.struct(number.alias("n"), F.col("stage").alias("stage"))))["stage"]
+    return i.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(done).alias("completed"),
+        F.round(F.avg(done.cast("double")), 4).alias("completion"),
+        F.sum("minutes").alias("minutes"),
+        F.countDistinct("stage").alias("stages"),
+        F.countDistinct("module").alias("modules"),
+        F.coalesce(open_stage, F.lit("completed")).alias("current_stage"),
+    )
+
+
 @query(f"""WITH e AS ({_EDGES}), m AS (SELECT doc_id, place, (n % 101) / 100.0 AS mastery FROM ({_POINTS}))
 SELECT m.doc_id, m.place FROM m WHERE NOT EXISTS (SELECT 1 FROM e JOIN m x ON e.doc_id = x.doc_id AND e.from_place = x.place WHERE e.doc_id = m.doc_id AND e.to_place = m.place AND x.mastery < 0.6)""")
 def unlocked(spark: SparkSession, d: str) -> DataFrame:

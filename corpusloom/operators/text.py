@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning as cl
 from corpusloom.functions.lexical import nfkc
+from corpusloom.operators.ordering import ranked
 from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import table
 
@@ -156,8 +157,7 @@ def chunk_manifest(spark: SparkSession, d: str) -> DataFrame:
 SELECT source, doc_id FROM r WHERE n <= {SAMPLE} OR list_contains(list_transform(range(0, {SAMPLE}), lambda x: x * n // {SAMPLE}), i)""")
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
     """Fifteen documents of each source at even distances (a sampling operator)."""
-    by = Window.partitionBy("source")
-    r = table(spark, d, "documents", "doc_id", "source").withColumn("i", F.row_number().over(by.orderBy("doc_id")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
+    r = ranked(table(spark, d, "documents", "doc_id", "source"), "source", "doc_id").withColumnRenamed("_place", "i").withColumnRenamed("_many", "n")
     places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE - 1)), lambda x: F.floor(x * F.col("n") / SAMPLE))
     return r.filter((F.col("n") <= SAMPLE) | F.array_contains(places, F.col("i").cast("long"))).select("source", "doc_id")
 

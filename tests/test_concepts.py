@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import concepts
+from corpusloom.operators.ordering import followers, ranked
 
 
 def test_strict_reasons(spark):
@@ -19,3 +20,29 @@ def test_explanations(spark):
     rows = [("Matrix", None), ("Matrix", " "), ("Matrix", "matrix."), ("Matrix", "a matrix"), ("Matrix", "a table of numbers with rows"), ("Matrix", "x" * 100), ("Matrix", "y" * 78 + "., and more")]
     df = spark.createDataFrame(rows, "t string, e string").select(concepts.explanation_text(F.col("t"), F.col("e")).alias("x"))
     assert [r["x"] for r in df.collect()] == [None, None, None, None, "a table of numbers with rows", "x" * 80, "y" * 78]
+
+
+def test_semantic_pairs_need_near_vectors(spark):
+    pairs = spark.createDataFrame([("k", 1, 2, 0.5), ("k", 1, 3, 0.9), ("k", 2, 4, 0.6)], "kb string, a long, b long, similarity double")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.3, 1.0]), (3, [1.0, 0.0])], "id long, vector array<float>")
+    assert [(r["a"], r["b"], r["distance"]) for r in concepts.semantic_pairs(pairs, vectors).collect()] == [(1, 2, 0.09)]
+
+
+def test_lookup_takes_the_best_way(spark):
+    members = spark.createDataFrame([("k", "矩阵的秩", 1, 1), ("k", "矩阵 秩", 5, 1), ("k", "矩阵秩", 3, 3), ("j", "Rank", 2, 2)], "kb string, concept string, doc_id long, representative long")
+    asked = spark.createDataFrame([("k", "矩阵秩"), ("k", "矩阵 秩"), ("k", "1. 矩阵的秩。"), ("k", "rank"), ("j", "rank"), ("j", None)], "kb string, text string")
+    got = {(r["kb"], r["text"]): r["representative"] for r in concepts.representative_of(asked, members).collect()}
+    assert got == {("k", "矩阵秩"): 3, ("k", "矩阵 秩"): 1, ("k", "1. 矩阵的秩。"): 1, ("k", "rank"): None, ("j", "rank"): 2, ("j", None): None}
+
+
+def test_places_and_followers_across_blocks(spark):
+    ids = [0, 1, 2, 3, 4095, 4096, 9000, 9001, 9002, 9003, 9004, 30000, 40000, 40001]
+    df = spark.createDataFrame([("a", i) for i in ids] + [(None, i) for i in ids[:3]], "g string, i long")
+    r = {x["i"]: (x["_place"], x["_many"]) for x in ranked(df, "g", "i").filter("g = 'a'").collect()}
+    assert r == {i: (n, len(ids)) for n, i in enumerate(ids)}
+    rows = followers(df, "g", "i", ["i"], 3, "i").collect()
+    assert len(rows) == len(ids) + 3
+    for x in rows:
+        line = ids if x["g"] else ids[:3]
+        after = line[line.index(x["i"]) + 1 :][:3]
+        assert [y and y["i"] for y in x["_next"]] == after + [None] * (3 - len(after))

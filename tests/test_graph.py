@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph
 
-EDGES = st.lists(st.tuples(st.sampled_from([0.38, 0.46, 0.55]), st.integers(0, 8), st.integers(0, 8)), max_size=40)
+EDGES = st.lists(st.tuples(st.sampled_from([0.38, 0.46, 0.55]), st.integers(1, 3), st.integers(0, 8), st.integers(0, 8)), max_size=40)
 
 
 @settings(max_examples=200, deadline=None)
 @given(EDGES)
 def test_acyclic_with_bounded_degrees_and_order(edges):
-    kept = graph.acyclic(edges)
-    links = [(a, b) for _, a, b in kept]
+    links = graph.acyclic(edges)
     assert len(set(links)) == len(links)
     assert all(sum(x == a for x, _ in links) <= 4 for a in range(9)) and all(sum(y == b for _, y in links) <= 3 for b in range(9))
     for rank in (None, lambda x: -x):
@@ -27,7 +30,7 @@ def test_acyclic_with_bounded_degrees_and_order(edges):
 @settings(max_examples=100, deadline=None)
 @given(EDGES, st.sets(st.integers(0, 8)))
 def test_insert_keeps_old_order(edges, old):
-    links = [(a, b) for _, a, b in graph.acyclic(edges)]
+    links = graph.acyclic(edges)
     order = graph.topological(list(range(9)), links)
     anchor = [x for x in order if x in old]
     out = graph.bounded_insert(anchor, order, links)
@@ -43,3 +46,33 @@ def test_numbers(spark):
     texts = ["3. x", "第12章 y", "二十三、z", "一百零五、q", "十、a", "none", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(graph.order_number(F.col("t")).alias("n"))
     assert [r["n"] for r in df.collect()] == [3, 12, 23, 105, 10, None, None]
+
+
+def test_surer_rule_first_then_rank():
+    assert graph.acyclic([(0.46, 3, 1, 2), (0.46, 1, 2, 1)]) == [(2, 1)]
+    assert graph.acyclic([(0.46, 1, 2, 1), (0.55, 3, 1, 2)]) == [(1, 2)]
+
+
+def test_modules_by_connected_part():
+    assert graph.modules([3, 1, 2], []) == {3: 0, 1: 0, 2: 0}
+    assert graph.modules([1, 5, 2, 6], [(1, 2), (5, 6)]) == {1: 0, 2: 0, 5: 1, 6: 1}
+    chain = graph.modules(list(range(9)) + [20], [(i, i + 1) for i in range(8)])
+    assert [chain[i] for i in range(9)] == [0] * 6 + [1] * 3 and chain[20] == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cross_edges_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(kb, doc, place, rng.choice(["1. ", "基础 ", ""]) + " ".join(rng.choices(words, k=3))) for kb in ("x", "y") for doc in rng.sample(range(3 * 4096), 25) for place in range(rng.choice([1, 1, 2, 4, 9]))]
+    rows = [(kb, doc + (20000 if kb == "y" else 0), place, text) for kb, doc, place, text in rows]
+    want = set()
+    for kb in ("x", "y"):
+        line = sorted(r for r in rows if r[0] == kb)
+        for i, (_, doc, place, text) in enumerate(line):
+            for _, doc2, place2, text2 in line[i + 1 : i + 4]:
+                shared = set(re.findall("[a-z0-9]+|[一-鿿]", text)) & set(re.findall("[a-z0-9]+|[一-鿿]", text2))
+                if doc2 != doc and len(shared) >= 2 and text[0] in "1基":
+                    want.add((kb, doc, place, doc2, place2))
+    got = graph.cross_edges(spark.createDataFrame(rows, "kb string, doc_id long, place int, text string")).collect()
+    assert want and {tuple(r)[:5] for r in got} == want and len(got) == len(want)
