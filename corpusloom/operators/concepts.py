@@ -200,14 +200,14 @@ def representative_of(asked: DataFrame, members: DataFrame) -> DataFrame:
 
 @query(f"""WITH m AS (SELECT p.kb, p.concept, m.doc_id, m.representative, (m.doc_id <> m.representative)::INT AS other FROM ({_MEMBERS}) m JOIN ({_POINTS}) p USING (doc_id)),
 k AS (SELECT kb, other, representative, unnest([0, 1, 2]) AS way, unnest([trim(concept), {keys.comparison_key_sql('concept')}, {keys.comparison_key_sql('concept')}]) AS key FROM m),
-a AS (SELECT doc_id, source AS kb, upper({_HEAD}) || '.' AS text FROM documents WHERE doc_id % 100 = 0),
+a AS (SELECT doc_id, source AS kb, upper({_HEAD}) || '。' AS text FROM documents WHERE doc_id % 100 = 0),
 t AS (SELECT doc_id, kb, unnest([0, 1, 2]) AS way, unnest([trim(text), {keys.comparison_key_sql('text')}, {keys.comparison_key_sql('text')}]) AS key FROM a)
 SELECT a.doc_id, min_by(k.representative, struct_pack(w := k.way, o := k.other, r := k.representative)) AS representative FROM a LEFT JOIN t USING (doc_id) LEFT JOIN k ON t.kb = k.kb AND t.way = k.way AND t.key = k.key AND k.key <> '' GROUP BY 1""")
 def concept_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The representatives of concepts asked for in capitals with a full stop: every document whose id is divisible by 100, against all."""
+    """The representatives of concepts asked for in capitals with a mark at the end: every document whose id is divisible by 100, against all."""
     p = points(spark, d)
     members = member_map(spark, d).join(p.select("doc_id", "concept"), "doc_id")
-    asked = p.filter("doc_id % 100 = 0").select("doc_id", "kb", F.concat(F.upper("concept"), F.lit(".")).alias("text"))
+    asked = p.filter("doc_id % 100 = 0").select("doc_id", "kb", F.concat(F.upper("concept"), F.lit("。")).alias("text"))
     return representative_of(asked, members).select("doc_id", "representative")
 
 
