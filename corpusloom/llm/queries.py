@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, lines, packing, quality, secrets, sharding, substrings, warc
+from . import audit, bpe, fingerprint, jaccard, lines, merkle, packing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op3_chosen_path_join": jaccard.op3_chosen_path_join,
@@ -15,9 +15,13 @@ QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op11_merkle": merkle.op11_merkle,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 ORACLES = {
     "op10_warc": warc.ORACLE,
     "op4_quality_rules": quality.oracle(),
+    "op11_merkle": merkle.oracle(),
+    "op13_filter_audit": audit.ORACLE,
 }
