@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, fingerprint, jaccard, lines, merkle, packing, quality, secrets, sharding, substrings, warc
+from . import audit, bpe, fingerprint, jaccard, lines, merkle, packing, quality, scoring, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op3_chosen_path_join": jaccard.op3_chosen_path_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op11_merkle": merkle.op11_merkle,
+    "op12_ngram_scores": scoring.op12_ngram_scores,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 
