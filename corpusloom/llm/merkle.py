@@ -75,14 +75,18 @@ def _step(place: Column, preimage: Column) -> Column:
 PATH = "array<struct<at:int,preimage:string>>"
 
 
-def with_paths(nodes: DataFrame, parents: list[DataFrame], top: DataFrame) -> DataFrame:
+def with_paths(nodes: DataFrame, parents: list[DataFrame], top: DataFrame | None) -> DataFrame:
     """nodes (tree, _place, _many, digest, ...) with `path`, the steps from a node's parent to the root, and the `tree_root` they pass.
 
-    top has (tree, tree_root, above): the path of each tree's root. Paths go down a level at a time.
+    top has (tree, tree_root, above): the path of each tree's root (None: nothing is above). Paths go down a level at a time.
     """
     path = None
     for below in [*reversed(parents), nodes]:
-        roots = below.filter("_many = 1").join(top.withColumnRenamed("tree", "_tree"), F.col("tree").eqNullSafe(F.col("_tree"))).drop("_tree").withColumnRenamed("above", "path")
+        roots = below.filter("_many = 1")
+        if top is None:
+            roots = roots.withColumn("tree_root", F.col("digest")).withColumn("path", F.array().cast(PATH))
+        else:
+            roots = roots.join(top.withColumnRenamed("tree", "_tree"), F.col("tree").eqNullSafe(F.col("_tree"))).drop("_tree").withColumnRenamed("above", "path")
         if path is None:
             now = roots
         else:
@@ -116,9 +120,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     tops = placed(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("name"), "digest"), "tree", ["name"])
     above = levels(tops.select("tree", "_place", "_many", "digest"))
     root = (above[-1] if above else tops).select("digest").first()
-    spark = leaves.sparkSession
-    none = spark.range(1).select(F.lit(0).alias("tree"), F.lit(root and root["digest"]).alias("tree_root"), F.lit(None).cast(PATH).alias("above")).withColumn("above", F.coalesce("above", F.array().cast(PATH)))
-    up = with_paths(tops, above, none).select(F.col("name").alias("tree"), F.col("digest").alias("tree_root"), F.col("path").alias("above"))
+    up = with_paths(tops, above, None).select(F.col("name").alias("tree"), F.col("digest").alias("tree_root"), F.col("path").alias("above"))
     out = with_paths(sorted_leaves, parents, written(up, "tops"))
     return out.withColumnRenamed("tree_root", "subroot").withColumn("root", F.lit(root and root["digest"]).cast("string"))
 

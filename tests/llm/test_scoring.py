@@ -12,6 +12,7 @@ import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import scoring, trie
 
@@ -102,15 +103,15 @@ def close(got, want):
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
         assert a[5] == pytest.approx(b[5], abs=1e-6, rel=1e-9)
-        assert abs(a[6] - b[6]) <= 0.0006 * b[2] + 1e-9  # three quantised numbers a token
+        assert abs(a[6] - b[6]) <= 0.0008 * b[2] + 1e-9  # quantised numbers of each order
 
 
 def crc(i) -> bool:
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize(("block", "shard", "split"), [(16 << 20, 32 << 20, 1 << 21), (300, 1500, 5)])
-def test_plain_model(spark, tmp_path, monkeypatch, block, shard, split):
+@pytest.mark.parametrize(("order", "block", "shard", "split"), [(2, 8 << 20, 16 << 20, 1 << 20), (3, 8 << 20, 16 << 20, 1 << 20), (2, 300, 1500, 5), (3, 300, 1500, 5), (4, 700, 3000, 9)])
+def test_plain_model(spark, monkeypatch, order, block, shard, split):
     """Null ids and texts, repeated rows, one word that is a third of all, a long text, many blocks and shards, contexts dealt over shards."""
     for name, value in (("BLOCK_BYTES", block), ("SHARD_BYTES", shard), ("SPLIT_COUNT", split)):
         monkeypatch.setattr(scoring, name, value)
@@ -118,8 +119,9 @@ def test_plain_model(spark, tmp_path, monkeypatch, block, shard, split):
     words = ["the", "The", "ÄB", "a\x1cb", *(f"w{i}" for i in range(60))]
     texts = [" ".join("the" if rng.random() < 0.33 else words[int(x)] for x in rng.integers(0, len(words), int(n))) for n in rng.integers(0, 60, 80)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (None, "the w1 w2"), (81, ""), (81, ""), (1 << 60, " \t\n"), (95, "the w3 " * 2000), (2, texts[2])]
-    spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, block long, shard string").write.parquet(str(tmp_path / "documents.parquet"))
-    close([tuple(r) for r in scoring.op12_ngram_scores(spark, str(tmp_path)).collect()], plain(rows, scoring.ORDER, crc))
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, block long, shard string")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    close([tuple(r) for r in scoring.scored(docs, held, order).collect()], plain(rows, order, crc))
 
 
 def test_query(spark):
@@ -143,8 +145,6 @@ def test_sums_to_one():
 
 def test_nothing_to_train_on(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     got = sorted(map(tuple, scoring.scored(docs, F.lit(True)).collect()))
     assert got == [(1, True, 3, 0, 0, 0.0, 0.0), (2, True, 1, 0, 0, 0.0, 0.0)]
     assert scoring.scored(docs.limit(0), F.lit(True)).count() == 0
