@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical as lx
+from corpusloom.operators import learner
 from corpusloom.operators.ordering import followers
 from corpusloom.plans.catalogue import Catalogue
+from corpusloom.sources import versions
 from corpusloom.sources.tables import table
 
 catalogue = Catalogue()
@@ -32,6 +34,7 @@ STAGES = ["foundation", "intermediate", "advanced", "application"]
 CUTS = {"beginner": (0.45, 0.7, 0.88), "intermediate": (0.3, 0.6, 0.82), "advanced": (0.2, 0.5, 0.78)}
 MINUTES = (8, 14, 22, 30)
 MODULE, MODULE_PART = 8, 6
+MAX_SHIFT = 2
 NUMERALS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 
 
@@ -173,22 +176,30 @@ def topological(nodes: list[int], edges: list[tuple[int, int]], rank=None) -> li
     return out + sorted(set(nodes) - set(out))
 
 
-def bounded_insert(anchor: list, order: list, edges: list[tuple]) -> list:
-    """The anchor's order with new items between their prerequisites and dependents; the same items leave it as it is."""
-    if set(anchor) == set(order):
-        return list(anchor)
-    present = set(order)
-    out = [x for x in anchor if x in present]
+def bounded_insert(anchor: list, order: list, edges: list[tuple], shift: int = MAX_SHIFT) -> list:
+    """The anchor's order with new items, in topological order, where that order has them: after their prerequisites, before their dependents.
+
+    An item of the anchor that has moved by `shift` places already is not moved further, unless prerequisites and
+    dependents leave no other place. The same items leave the anchor as it is.
+    """
+    present, step = set(order), {x: i for i, x in enumerate(order)}
+    out = list(dict.fromkeys(x for x in anchor if x in present))
+    if not out or len(out) == len(present):
+        return out or list(order)
+    home = {x: i for i, x in enumerate(out)}
     before: dict = {}
     after: dict = {}
     for a, b in edges:
         before.setdefault(b, set()).add(a)
         after.setdefault(a, set()).add(b)
-    for x in (y for y in order if y not in set(out)):
+    for x in (y for y in order if y not in home):
         place = {y: i for i, y in enumerate(out)}
         low = max((place[y] + 1 for y in before.get(x, ()) if y in place), default=0)
-        high = min((place[y] for y in after.get(x, ()) if y in place), default=len(out))
-        out.insert(high if high >= low else low, x)
+        high = max(low, min((place[y] for y in after.get(x, ()) if y in place), default=len(out)))
+        moved = max((place[y] + 1 for y, i in home.items() if place[y] - i >= shift), default=0)
+        wanted = sum(step[y] < step[x] for y in out)
+        floor = max(low, moved) if max(low, moved) <= high else low
+        out.insert(min(max(wanted, floor), high), x)
     return out
 
 
@@ -252,9 +263,10 @@ def topo_order(spark: SparkSession, d: str) -> DataFrame:
     return paths(spark, d)
 
 
-def difficulty(n: Column, pre: Column, out: Column) -> Column:
+def difficulty(n: Column, pre: Column, out: Column, explained: Column) -> Column:
+    """From the lengths of text and explanation, prerequisites and dependents."""
     one = lambda x: F.least(x, F.lit(1.0))
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), 0.18 + 0.34 * one(n / 80) + 0.24 * one(pre / 3) + 0.1 * one(out / 4))), 3)
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), 0.18 + 0.34 * one(n / 80) + 0.24 * one(pre / 3) + 0.14 * one(explained / 120) + 0.1 * one(out / 4))), 3)
 
 
 def importance(mastery: Column, pre: Column, out: Column) -> Column:
@@ -268,23 +280,29 @@ def stage(depth: Column, deepest: Column, hard: Column, ability: str = "intermed
     return F.when(c < low, STAGES[0]).when(c < mid, STAGES[1]).when(c < high, STAGES[2]).otherwise(STAGES[3])
 
 
-def minutes(stage_name: Column, hard: Column, n: Column, mastery: Column) -> Column:
+def minutes(stage_name: Column, hard: Column, n: Column, mastery: Column, explained: Column) -> Column:
     base = F.lit(MINUTES[3])
     for s, m in zip(STAGES[:3], MINUTES[:3], strict=True):
         base = F.when(stage_name == s, m).otherwise(base)
-    raw = base + F.least(F.floor(n / 20), F.lit(4)) + F.bround(6 * hard, 0)
+    raw = base + F.least(F.floor(n / 20), F.lit(4)) + F.least(F.floor(explained / 60), F.lit(4)) + F.bround(6 * hard, 0)
     return F.greatest(F.lit(5), F.bround(raw * (1 - F.least(F.lit(0.55), 0.45 * mastery)), 0).cast("int"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Path items: steps with difficulty, importance, mastery, stage, minutes, whether they are unlocked, and their module."""
-    p = paths(spark, d).join(points(spark, d).select("doc_id", "place", "n"), ["doc_id", "place"])
+    """Path items: steps with difficulty, importance, mastery, stage, minutes, module, and whether they are milestones; a line's explanation is the next one.
+
+    Milestones are the last step of each stage and the item of each module that matters most.
+    """
+    explained = F.coalesce(F.lead("n").over(Window.partitionBy("doc_id").orderBy("place")), F.lit(0))
+    p = paths(spark, d).join(points(spark, d).select("doc_id", "place", "n", explained.alias("explained")), ["doc_id", "place"])
     p = p.withColumn("mastery", (F.col("n") % 101) / 100.0)
-    p = p.withColumn("difficulty", difficulty(F.col("n"), F.col("prerequisites"), F.col("dependents"))).withColumn("importance", importance(F.col("mastery"), F.col("prerequisites"), F.col("dependents")))
+    p = p.withColumn("difficulty", difficulty(F.col("n"), F.col("prerequisites"), F.col("dependents"), F.col("explained"))).withColumn("importance", importance(F.col("mastery"), F.col("prerequisites"), F.col("dependents")))
     deepest = F.max("depth").over(Window.partitionBy("doc_id"))
     p = p.withColumn("stage", stage(F.col("depth"), deepest, F.col("difficulty")))
-    return p.withColumn("minutes", minutes(F.col("stage"), F.col("difficulty"), F.col("n"), F.col("mastery")))
-    return p
+    p = p.withColumn("minutes", minutes(F.col("stage"), F.col("difficulty"), F.col("n"), F.col("mastery"), F.col("explained"))).drop("explained")
+    last = F.col("step") == F.max("step").over(Window.partitionBy("doc_id", "stage"))
+    best = F.row_number().over(Window.partitionBy("doc_id", "module").orderBy(F.desc("importance"), "step")) == 1
+    return p.withColumn("milestone", last | best)
 
 
 @query()
@@ -292,11 +310,44 @@ def path_items(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d)
 
 
+@query()
+def anchored_order(spark: SparkSession, d: str) -> DataFrame:
+    """Paths whose lines of under 20 characters are new: the order of the others is kept, the new ones are put in."""
+    p = paths(spark, d).join(points(spark, d).select("doc_id", "place", "n"), ["doc_id", "place"])
+    return anchored(p.select("doc_id", "place", "step"), edges_of(points(spark, d)), p.filter("n >= 20").select("doc_id", "place", "step"))
+
+
+def anchored(steps: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(doc_id, place, shown): where each point of a path (doc_id, place, step) is shown, given the saved order of earlier ones."""
+    ordered = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "place"))), lambda x: x["place"]).alias(name))
+    links = edges.groupBy("doc_id").agg(F.collect_list(F.struct("from_place", "to_place")).alias("links"))
+    whole = ordered(steps, "order").join(ordered(anchors, "anchor"), "doc_id", "left").join(links, "doc_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for doc_id, order, anchor, found in zip(pdf["doc_id"], pdf["order"], pdf["anchor"], pdf["links"], strict=True):
+                pairs = [(x["from_place"], x["to_place"]) for x in (found if found is not None else [])]
+                shown = bounded_insert([] if anchor is None else list(anchor), list(order), pairs)
+                rows += [(doc_id, x, i) for i, x in enumerate(shown, 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "shown"])
+
+    return whole.mapInPandas(run, "doc_id long, place int, shown int")
+
+
+def saved_order(steps: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """The order to show, from the anchors kept at a path; they are written anew only if the order has changed."""
+    old = versions.current(steps.sparkSession, path)
+    shown = anchored(steps, edges, steps.limit(0) if old is None else old.withColumnRenamed("shown", "step"))
+    versions.publish(shown, path)
+    return versions.current(steps.sparkSession, path)
+
+
 @query()
 def stage_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Stages in their fixed order: items, minutes, share mastered, the milestone (last step)."""
+    """Stages in their fixed order: items, minutes, share mastered, the milestone (the last of their items that is one: the last step)."""
     s = items(spark, d).groupBy("doc_id", "stage")
-    out = s.agg(F.count(F.lit(1)).alias("items"), F.sum("minutes").alias("minutes"), F.round(F.avg((F.col("mastery") >= 0.7).cast("double")), 3).alias("mastered"), F.max_by("place", "step").alias("milestone"))
+    out = s.agg(F.count(F.lit(1)).alias("items"), F.sum("minutes").alias("minutes"), F.round(F.avg((F.col("mastery") >= learner.MASTERED).cast("double")), 3).alias("mastered"), F.max_by("place", F.when(F.col("milestone"), F.col("step"))).alias("milestone"))
     return out.withColumn("position", F.array_position(F.array(*(F.lit(x) for x in STAGES)), F.col("stage")).cast("int"))
 
 
@@ -309,7 +360,7 @@ def module_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def path_summary(spark: SparkSession, d: str) -> DataFrame:
     """Of each path: items, completed ones and their share, minutes, stages, modules, the first stage with open items."""
-    i, done = items(spark, d), F.col("mastery") >= 0.7
+    i, done = items(spark, d), F.col("mastery") >= learner.MASTERED
     number = F.array_position(F.array(*(F.lit(x) for x in STAGES)), F.col("stage"))
     open_stage = F.min(F.when(~done, F.struct(number.alias("n"), F.col("stage").alias("stage"))))["stage"]
     return i.groupBy("doc_id").agg(

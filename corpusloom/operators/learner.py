@@ -18,7 +18,8 @@ QUERIES, ORACLES = catalogue.queries, catalogue.oracles
 
 # Weights and thresholds of the mastery model.
 QUIZ_ALPHA, STUDY_ALPHA = 0.15, 0.10
-MASTERED, WEAK, UNLOCK, STUDY_STOP = 0.7, 0.3, 0.6, 0.8
+MASTERED, STABLE, UNLOCK, WEAK = 0.8, 0.7, 0.6, 0.3
+DIFFICULTY_WEIGHT = {"easy": 0.8, "hard": 1.2}  # others: 1
 WEAK_LIMIT = 10
 
 
@@ -57,49 +58,49 @@ def mastery_fold(spark: SparkSession, d: str) -> DataFrame:
     return quiz_mastery(spark, d)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'),
 f AS (SELECT user_id, n, 0.1::DOUBLE AS m FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n,
-CASE WHEN m >= 0.8 THEN m ELSE floor((0.1::DOUBLE + 0.9::DOUBLE * m) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+CASE WHEN m >= {MASTERED} THEN m ELSE floor((0.1::DOUBLE + 0.9::DOUBLE * m) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
 SELECT user_id, arg_max(m, n) AS mastery, max(n) AS steps FROM f GROUP BY 1""")
 def study_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Mastery from study steps alone; steps no longer count from 0.8 on."""
+    """Mastery from study steps alone; steps no longer count once it is mastered."""
     log = events_log(spark, d).filter("event_type = 'view'")
-    step = lambda acc, s: F.when(acc >= STUDY_STOP, acc).otherwise(ema(acc, F.lit(1.0), STUDY_ALPHA))
+    step = lambda acc, s: F.when(acc >= MASTERED, acc).otherwise(ema(acc, F.lit(1.0), STUDY_ALPHA))
     return log.groupBy("user_id").agg(folded(log, ["user_id"], ["ts", "event_id"], F.lit(1.0), step, F.lit(0.0)).alias("mastery"), F.count(F.lit(1)).alias("steps"))
 
 
 def priority(m: Column, attempts: Column) -> Column:
-    return F.when(m >= MASTERED, "completed").when(m < WEAK, "high").when(m < MASTERED, "medium").otherwise("low")
+    return F.when(m >= MASTERED, "completed").when(m < WEAK, "high").when(m < STABLE, "medium").otherwise("low")
 
 
 def action(m: Column, attempts: Column) -> Column:
     return F.when(m >= MASTERED, "review").when(attempts == 0, "quiz").when(m < WEAK, "study").otherwise("quiz")
 
 
-@query(_FOLD + """SELECT user_id, m AS mastery, CASE WHEN m >= 0.7 THEN 'completed' WHEN m < 0.3 THEN 'high' ELSE 'medium' END AS priority,
-CASE WHEN m >= 0.7 THEN 'review' WHEN m < 0.3 THEN 'study' ELSE 'quiz' END AS action FROM (SELECT user_id, arg_max(m, n) AS m FROM f GROUP BY 1)""")
+@query(_FOLD + f"""SELECT user_id, m AS mastery, CASE WHEN m >= {MASTERED} THEN 'completed' WHEN m < {WEAK} THEN 'high' WHEN m < {STABLE} THEN 'medium' ELSE 'low' END AS priority,
+CASE WHEN m >= {MASTERED} THEN 'review' WHEN m < {WEAK} THEN 'study' ELSE 'quiz' END AS action FROM (SELECT user_id, arg_max(m, n) AS m FROM f GROUP BY 1)""")
 def mastery_labels(spark: SparkSession, d: str) -> DataFrame:
     """Priority and next action of each learner's concept."""
     m = quiz_mastery(spark, d)
     return m.select("user_id", "mastery", priority(F.col("mastery"), F.col("attempts")).alias("priority"), action(F.col("mastery"), F.col("attempts")).alias("action"))
 
 
-@query("""SELECT c_nationkey AS kb_id, floor(10000.0 * sum(CASE WHEN m >= 0.7 THEN 2 WHEN m >= 0.3 THEN 1 ELSE 0 END) / (2 * count(*)) + 0.5) / 10000 AS completion,
-floor(10000.0 * count(*) FILTER (WHERE m >= 0.7) / count(*) + 0.5) / 10000 AS mastered, floor(10.0 * sum(p) / count(*) + 0.5) / 10000 AS average
+@query(f"""SELECT c_nationkey AS kb_id, floor(10000.0 * sum(CASE WHEN m >= {MASTERED} THEN 2 WHEN m >= {WEAK} THEN 1 ELSE 0 END) / (2 * count(*)) + 0.5) / 10000 AS completion,
+floor(10000.0 * count(*) FILTER (WHERE m >= {STABLE}) / count(*) + 0.5) / 10000 AS stable, floor(10.0 * sum(p) / count(*) + 0.5) / 10000 AS average
 FROM (SELECT c_nationkey, round(greatest(0, least(10000, c_acctbal)) / 10)::BIGINT AS p, round(greatest(0, least(10000, c_acctbal)) / 10)::BIGINT / 1000.0 AS m FROM customer) GROUP BY 1""")
 def completion(spark: SparkSession, d: str) -> DataFrame:
-    """Completion (weights 1, 0.5, 0), share mastered and average of a base's concepts (account balances as levels)."""
+    """Completion (weights 1, 0.5, 0), share that is stable and average of a base's concepts (account balances as levels)."""
     p = F.round(F.greatest(F.lit(0.0), F.least(F.lit(10000.0), F.col("c_acctbal"))) / 10).cast("long")
     c = table(spark, d, "customer", "c_nationkey", "c_acctbal").withColumn("p", p).withColumn("m", F.col("p") / F.lit(1000.0))
     n, m = F.count(F.lit(1)), F.col("m")
     weight = F.sum(F.when(m >= MASTERED, 2).when(m >= WEAK, 1).otherwise(0))
     share = lambda a, b, scale=10000.0: F.floor(F.lit(scale) * a / b + 0.5) / 10000
-    return c.groupBy(F.col("c_nationkey").alias("kb_id")).agg(share(weight, 2 * n).alias("completion"), share(F.count_if(m >= MASTERED), n).alias("mastered"), share(F.sum("p"), n, 10.0).alias("average"))
+    return c.groupBy(F.col("c_nationkey").alias("kb_id")).agg(share(weight, 2 * n).alias("completion"), share(F.count_if(m >= STABLE), n).alias("stable"), share(F.sum("p"), n, 10.0).alias("average"))
 
 
 @query(f"""SELECT c_nationkey AS kb_id, concept, mastery, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY mastery, attempts DESC, concept) AS n FROM
 (SELECT c_nationkey, c_mktsegment || (c_custkey % 40) AS concept, min(greatest(0, c_acctbal) / 10000) AS mastery, sum(c_custkey % 4)::BIGINT AS attempts FROM customer GROUP BY ALL)
-WHERE mastery < 0.3 AND NOT (attempts = 0 AND mastery = 0)) WHERE n <= {WEAK_LIMIT}""")
+WHERE mastery < {WEAK} AND NOT (attempts = 0 AND mastery = 0)) WHERE n <= {WEAK_LIMIT}""")
 def weak_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The ten weakest concepts of each base: lowest mastery, then most attempts, then text; untouched ones left out."""
     concept = F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string"))
@@ -113,14 +114,22 @@ def weak_concepts(spark: SparkSession, d: str) -> DataFrame:
 # -- profile -----------------------------------------------------------------------------------
 
 
-def profile_step(acc: Column, x: Column) -> Column:
-    """One attempt with accuracy x: recent accuracy, low streak, frustration, theta, attempts and ability, 4 decimals each."""
+def difficulty_weight(label: Column) -> Column:
+    """How much an attempt at a quiz of that difficulty moves theta."""
+    weight = F.lit(1.0)
+    for name, w in DIFFICULTY_WEIGHT.items():
+        weight = F.when(F.lower(F.trim(label)) == name, w).otherwise(weight)
+    return weight
+
+
+def profile_step(acc: Column, x: Column, weight: Column) -> Column:
+    """One attempt with accuracy x at a quiz of a weight: recent accuracy, low streak, frustration, theta (4 decimals), attempts and ability."""
     first = acc["n"] == 0
-    recent = F.when(first, x).otherwise(half_up(0.7 * acc["recent"] + 0.3 * x))
+    recent = F.when(first, x).otherwise(0.7 * acc["recent"] + 0.3 * x)
     low = F.when(x < 0.3, acc["low"] + 1).when(x < 0.5, F.greatest(F.lit(0), acc["low"] - 1)).otherwise(F.lit(0))
     change = F.when(x < 0.3, 0.15).when(x < 0.5, 0.05).otherwise(-0.05)
-    frustration = half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["frustration"] + change)))
-    move = F.least(F.lit(0.25), F.greatest(F.lit(-0.25), (x - 0.6) - 0.15 * frustration))
+    frustration = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["frustration"] + change))
+    move = F.least(F.lit(0.25), F.greatest(F.lit(-0.25), (x - 0.6) * weight - 0.15 * frustration))
     theta = half_up(F.least(F.lit(2.0), F.greatest(F.lit(-2.0), acc["theta"] + move)))
     n = acc["n"] + 1
     up = (n >= 3) & (recent >= 0.8)
@@ -134,19 +143,20 @@ def plan_of(ability: Column, frustration: Column, recent: Column) -> Column:
     return F.when((ability == 0) | (frustration > 0.7), "0.8/0.2/0.0").when(ability == 2, "0.1/0.4/0.5").when(recent < 0.5, "0.5/0.4/0.1").otherwise("0.3/0.5/0.2")
 
 
+_DAY_WEIGHT = "CASE WHEN count(*) >= 3 THEN 1.2 WHEN count(*) = 1 THEN 0.8 ELSE 1.0 END::DOUBLE"
 _H = lambda x: f"(floor(({x}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE)"
 
 
 def _profile_sql() -> str:
     change = "CASE WHEN e.x < 0.3 THEN 0.15 WHEN e.x < 0.5 THEN 0.05 ELSE -0.05 END::DOUBLE"
-    fr = _H(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, f.frustration + {change}))")
-    recent = f"CASE WHEN f.n = 0 THEN e.x ELSE {_H('0.7::DOUBLE * f.recent + 0.3::DOUBLE * e.x')} END"
-    return f"""WITH RECURSIVE a AS (SELECT user_id, CAST(ts AS DATE) AS day, 1.0::DOUBLE * count(*) FILTER (WHERE event_type = 'purchase') / count(*) AS x FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
+    fr = f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, f.frustration + {change}))"
+    recent = f"CASE WHEN f.n = 0 THEN e.x ELSE 0.7::DOUBLE * f.recent + 0.3::DOUBLE * e.x END"
+    return f"""WITH RECURSIVE a AS (SELECT user_id, CAST(ts AS DATE) AS day, 1.0::DOUBLE * count(*) FILTER (WHERE event_type = 'purchase') / count(*) AS x, {_DAY_WEIGHT} AS w FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
 e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM a),
 f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0.5::DOUBLE AS recent, 0 AS low, 0.0::DOUBLE AS frustration, 0.0::DOUBLE AS theta, 1 AS ability FROM e
-UNION ALL SELECT user_id, n, recent, low, frustration, {_H("least(2.0::DOUBLE, greatest(-2.0::DOUBLE, theta + least(0.25::DOUBLE, greatest(-0.25::DOUBLE, (x - 0.6::DOUBLE) - 0.15::DOUBLE * frustration))))")},
+UNION ALL SELECT user_id, n, recent, low, frustration, {_H("least(2.0::DOUBLE, greatest(-2.0::DOUBLE, theta + least(0.25::DOUBLE, greatest(-0.25::DOUBLE, (x - 0.6::DOUBLE) * w - 0.15::DOUBLE * frustration))))")},
 CASE WHEN n >= 3 AND recent >= 0.8 THEN least(2, ability + 1) WHEN n >= 3 AND recent <= 0.4 AND ability = 2 THEN 1 ELSE ability END FROM
-(SELECT e.user_id, f.n + 1 AS n, {recent} AS recent, CASE WHEN e.x < 0.3 THEN f.low + 1 WHEN e.x < 0.5 THEN greatest(0, f.low - 1) ELSE 0 END AS low, {fr} AS frustration, f.theta, f.ability, e.x
+(SELECT e.user_id, f.n + 1 AS n, {recent} AS recent, CASE WHEN e.x < 0.3 THEN f.low + 1 WHEN e.x < 0.5 THEN greatest(0, f.low - 1) ELSE 0 END AS low, {fr} AS frustration, f.theta, f.ability, e.x, e.w
 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.n + 1))
 SELECT user_id, n AS attempts, recent AS recent_accuracy, low AS low_streak, frustration, theta, ability,
 CASE WHEN ability = 0 OR frustration > 0.7 THEN '0.8/0.2/0.0' WHEN ability = 2 THEN '0.1/0.4/0.5' WHEN recent < 0.5 THEN '0.5/0.4/0.1' ELSE '0.3/0.5/0.2' END AS plan
@@ -155,11 +165,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back
 
 @query(_profile_sql())
 def profile_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Learner profiles (ability 0 beginner, 1 intermediate, 2 advanced) from daily quiz accuracies, with their difficulty plan."""
+    """Learner profiles (ability 0 beginner, 1 intermediate, 2 advanced) from daily quizzes (three answers or more: hard; one: easy), with their difficulty plan."""
+    return profiles(spark, d)
+
+
+def profiles(spark: SparkSession, d: str) -> DataFrame:
     log = events_log(spark, d).filter(F.col("event_type").isin("purchase", "error"))
-    daily = log.groupBy("user_id", F.to_date("ts").alias("day")).agg((F.lit(1.0) * F.count_if(F.col("event_type") == "purchase") / F.count(F.lit(1))).alias("x"))
+    daily = log.groupBy("user_id", F.to_date("ts").alias("day")).agg((F.lit(1.0) * F.count_if(F.col("event_type") == "purchase") / F.count(F.lit(1))).alias("x"), F.count(F.lit(1)).alias("n"))
+    label = F.when(F.col("n") >= 3, "hard").when(F.col("n") == 1, "easy").otherwise("medium")
+    daily = daily.withColumn("w", difficulty_weight(label))
     start = F.struct(F.lit(0).alias("n"), F.lit(0.5).alias("recent"), F.lit(0).alias("low"), F.lit(0.0).alias("frustration"), F.lit(0.0).alias("theta"), F.lit(1).alias("ability"))
-    p = daily.groupBy("user_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("day", "x"))), start, lambda acc, e: profile_step(acc, e["x"])).alias("p"))
+    p = daily.groupBy("user_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("day", "x", "w"))), start, lambda acc, e: profile_step(acc, e["x"], e["w"])).alias("p"))
     return p.select(
         "user_id",
         F.col("p.n").cast("long").alias("attempts"),

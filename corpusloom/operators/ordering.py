@@ -45,3 +45,18 @@ def followers(df: DataFrame, by: str, ident: str, order: list[str], n: int, *pay
     placed = placed.withColumn("_tail", F.col("_next")[n - 1].isNull())
     edges = placed.filter("_head or _tail").withColumn("_next", nexts(whole)).filter("_tail")
     return placed.filter("not _tail").unionByName(edges).drop("_block", "_row", "_head", "_tail")
+
+
+def numbered(df: DataFrame, by: str, order: list[str], folder: str) -> DataFrame:
+    """df with _place (from 0, in the order, within its group): one sort by ranges, written to the folder.
+
+    The windows see one row per group and range, whatever the groups' sizes. Order must tell the rows of a group apart.
+    """
+    kept = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", F.monotonically_increasing_id())
+    kept.write.parquet(folder)
+    kept = df.sparkSession.read.schema(kept.schema).parquet(folder).withColumn("_range", F.shiftright("_at", 33))
+    spans = kept.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_in")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_by").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("_before", before)
+    both = kept.join(spans, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_in")))
+    return both.withColumn("_place", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_range", "_by", "_in", "_first", "_rows", "_before")

@@ -361,16 +361,22 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(snippet(F.col("text"), "their").cast("binary")).alias("snippet_md5"))
 
 
+#: Citation marks, sources by number and by page and chunk (these in either case).
+MARKS = [r"\[\d{1,3}\]", r"\bp\.\d+\s*c\.\d+\b"]
+_TIDY = [(r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"[ \t\n]+([，。！？；,.;!?])", "$1")]
+
+
 def without_markers(text: Column) -> Column:
     """Answers without citation marks such as [2] or p.3 c.1, spaces tidied."""
-    steps = [(r"\[\d+\]", ""), (r"\bp\.\s*\d+\s+c\.\s*\d+\b", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"[ \t\n]+([，。！？；,.;!?])", "$1")]
-    for pattern, new in steps:
+    for pattern in MARKS:
+        text = F.regexp_replace(text, f"(?i){pattern}", "")
+    for pattern, new in _TIDY:
         text = F.regexp_replace(text, pattern, new)
     return text
 
 
 _STRIPPED = "text"
-for _p, _n in [(r"\[\d+\]", ""), (r"\bp\.\s*\d+\s+c\.\s*\d+\b", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"[ \t\n]+([，。！？；,.;!?])", r"\1")]:
+for _p, _n in [*((f"(?i){m}", "") for m in MARKS), *((p, n.replace("$1", r"\1")) for p, n in _TIDY)]:
     _STRIPPED = f"regexp_replace({_STRIPPED}, '{_p}', '{_n}', 'g')"
 
 

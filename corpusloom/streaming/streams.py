@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.operators import learner
+from corpusloom.operators import learner, retrieval
 from corpusloom.operators.text import chunks_of
 from corpusloom.plans.catalogue import Catalogue
 from corpusloom.sources.tables import shared_folder, table
@@ -26,7 +26,7 @@ query = catalogue.query
 FILES_PER_BATCH = 64
 WINDOW, LATENESS = "1 day", "1 hour"
 _CARRY = 24
-_MARKER = re.compile(r"\[\d+\]")
+_MARKER = re.compile("|".join(retrieval.MARKS), re.IGNORECASE)
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, files: int = FILES_PER_BATCH) -> DataFrame:
@@ -107,19 +107,29 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 def without_markers(deltas: Iterator[str]) -> Iterator[str]:
     """An answer's pieces without citation marks, marks that two pieces share included; at most 24 characters wait."""
-    held = ""
+    held, seen = "", 0  # of what is held the first character may be known already: words are told apart by it
     for piece in deltas:
-        held = _MARKER.sub("", held + piece)
-        open_at = held.rfind("[", max(0, len(held) - _CARRY))
-        cut = open_at if open_at >= 0 and re.fullmatch(r"\[\d*", held[open_at:]) else len(held)
-        if cut:
-            yield held[:cut]
-        held = held[cut:]
-    if held:
-        yield held
-
-
-@query("SELECT conv_id, md5(regexp_replace(string_agg(text, '' ORDER BY turn), '\\[\\d+\\]', '', 'g')) AS text_md5 FROM conversations GROUP BY 1")
+        held += piece
+        cut = max(seen, len(held) - _CARRY)
+        cut = min([cut, *(m.start() for m in _MARKER.finditer(held, seen) if m.start() < cut < m.end())])
+        if out := _between(held, seen, cut):
+            yield out
+        held, seen = held[max(0, cut - 1) :], min(1, cut)
+    if out := _between(held, seen, len(held)):
+        yield out
+
+
+def _between(text: str, start: int, stop: int) -> str:
+    """Part of a text without the marks in it."""
+    out = []
+    for m in _MARKER.finditer(text, start):
+        if m.end() <= stop:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return "".join(out) + text[start:stop]
+
+
+@query(f"SELECT conv_id, md5(regexp_replace(string_agg(text, '' ORDER BY turn), '(?i){'|'.join(retrieval.MARKS)}', '', 'g')) AS text_md5 FROM conversations GROUP BY 1")
 def delta_markers(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as streams of messages, without citation marks."""
     m = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pieces"))
