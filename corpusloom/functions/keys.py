@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # List prefixes, trailing marks, and what a comparison key leaves out.
 PREFIXES = [
@@ -19,9 +23,15 @@ _PREFIX = "^(?:" + "|".join(p.removeprefix("^") for p in PREFIXES) + ")+"
 _LETTER = r"0-9a-z㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Texts in the compatibility form, such as full-width letters as plain ones; Spark has no function for it."""
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
 def plain(text: Column) -> Column:
-    """Lower case, single spaces, no list prefixes however many, no trailing marks (NFKC is left to the caller)."""
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    """NFKC, lower case, single spaces, no list prefixes however many, no trailing marks."""
+    t = F.trim(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"\s+", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(t, _PREFIX, ""), TAIL, ""))
 
 

@@ -203,32 +203,6 @@ def message_sources(spark: SparkSession, d: str) -> DataFrame:
 # -- recommendations ---------------------------------------------------------------------------
 
 
-def status_of(blocked: Column, attempts_n: Column, score: Column, mastery: Column) -> Column:
-    """blocked / ready_for_practice / needs_practice / ready_for_challenge / on_track, first that holds."""
-    return F.when(blocked, "blocked").when(attempts_n == 0, "ready_for_practice").when(score < 0.6, "needs_practice").when((score >= 0.8) & (mastery >= 0.7), "ready_for_challenge").otherwise("on_track")
-
-
-_BY_DOC = """SELECT c_custkey AS doc_id, count(l_orderkey) AS attempts, coalesce(floor(100.0 * sum(round(100 * l_discount)::BIGINT) / count(l_orderkey) + 0.5) / 1000, 0) AS avg_score, coalesce(min(round(100 * l_tax)::BIGINT), 0) / 10.0 AS mastery
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"""
-
-
-@query(f"""SELECT *, round(least(100, greatest(0, 40 * (1 - avg_score) + 40 * (1 - mastery) + least(20, 2 * attempts))), 1) AS urgency,
-CASE WHEN mastery < 0.01 AND attempts > 60 THEN 'blocked' WHEN attempts = 0 THEN 'ready_for_practice' WHEN avg_score < 0.6 THEN 'needs_practice'
-WHEN avg_score >= 0.8 AND mastery >= 0.7 THEN 'ready_for_challenge' ELSE 'on_track' END AS status FROM ({_BY_DOC})""")
-def recommendation_status(spark: SparkSession, d: str) -> DataFrame:
-    """Per document: attempt statistics, status and urgency (clamped 0 to 100, one decimal)."""
-    docs = table(spark, d, "customer", "c_custkey")
-    done = table(spark, d, "lineitem", "l_orderkey", "l_discount", "l_tax").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    stats = docs.join(done, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_custkey").alias("doc_id")).agg(
-        F.count("l_orderkey").alias("attempts"),
-        F.coalesce(F.floor(F.lit(100.0) * F.sum(F.round(100 * F.col("l_discount")).cast("long")) / F.count("l_orderkey") + 0.5) / 1000, F.lit(0.0)).alias("avg_score"),
-        (F.coalesce(F.min(F.round(100 * F.col("l_tax")).cast("long")), F.lit(0)) / 10.0).alias("mastery"),
-    )
-    n, score, mastery = F.col("attempts"), F.col("avg_score"), F.col("mastery")
-    urgency = 40 * (1 - score) + 40 * (1 - mastery) + F.least(F.lit(20), 2 * n)
-    return stats.withColumn("urgency", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), urgency)), 1)).withColumn("status", status_of((mastery < 0.01) & (n > 60), n, score, mastery))
-
-
 @query("""SELECT user_id, type, priority, value FROM (SELECT user_id, event_type AS type, (event_id % 7)::BIGINT AS priority, value,
 row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 7 DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def best_action_per_type(spark: SparkSession, d: str) -> DataFrame:

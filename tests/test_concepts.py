@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import keys
 from corpusloom.operators import concepts
 from corpusloom.operators.ordering import followers, ranked
 
@@ -46,3 +47,9 @@ def test_places_and_followers_across_blocks(spark):
         line = ids if x["g"] else ids[:3]
         after = line[line.index(x["i"]) + 1 :][:3]
         assert [y and y["i"] for y in x["_next"]] == after + [None] * (3 - len(after))
+
+
+def test_keys_in_compatibility_form(spark):
+    """Full-width letters, ligatures and superscripts compare as plain ones."""
+    df = spark.createDataFrame([("Ｍａｔｒｉｘ　Ａ",), ("１．ﬁeld²",), ("Matrix A",), (None,)], "t string")
+    assert [r["k"] for r in df.select(keys.comparison_key(F.col("t")).alias("k")).collect()] == ["matrixa", "field2", "matrixa", ""]
