@@ -193,13 +193,6 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "older", shortened(F.concat_ws("\n", summary, recent), HISTORY_BUDGET).alias("history"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\w+')) ELSE 0 END AS n_words FROM conversations")
-def message_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Messages with what was parsed out of assistant turns only."""
-    m = table(spark, d, "conversations")
-    return m.select("conv_id", "turn", F.when(F.col("role") == "assistant", F.regexp_count("text", F.lit(r"\w+"))).otherwise(0).alias("n_words"))
-
-
 # -- recommendations ---------------------------------------------------------------------------
 
 
@@ -224,21 +217,3 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Quizzes that remain when the documents of one base go: an anti-join, not row deletes."""
     gone = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id"))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("quiz_id"), F.col("o_custkey").alias("doc_id")).join(gone, "doc_id", "left_anti")
-
-
-@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
-def lenient_json(spark: SparkSession, d: str) -> DataFrame:
-    """A field of a JSON text; what does not parse counts as missing."""
-    return table(spark, d, "events", "event_id", "props").select("event_id", F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS bigint)"), F.lit(0)).alias("k"))
-
-
-@query("""SELECT c_custkey AS user_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'fast' END, CASE WHEN c_nationkey % 2 = 0 THEN 'deep' END, 'balanced') AS preset,
-coalesce(CASE WHEN c_custkey % 5 = 0 THEN 7 END, CASE coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'fast' END, CASE WHEN c_nationkey % 2 = 0 THEN 'deep' END, 'balanced') WHEN 'fast' THEN 3 WHEN 'balanced' THEN 4 ELSE 6 END) AS k FROM customer""")
-def settings_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Effective settings: defaults under user under base settings; a preset fills what is unset."""
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
-    kb = F.when(F.col("c_custkey") % 3 == 0, "fast")
-    user = F.when(F.col("c_nationkey") % 2 == 0, "deep")
-    preset = F.coalesce(kb, user, F.lit("balanced"))
-    k = F.coalesce(F.when(F.col("c_custkey") % 5 == 0, 7), F.when(preset == "fast", 3).when(preset == "balanced", 4).otherwise(6))
-    return c.select(F.col("c_custkey").alias("user_id"), preset.alias("preset"), k.alias("k"))
