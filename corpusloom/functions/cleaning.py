@@ -110,6 +110,19 @@ def short_lines_merged(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)(?<=^\S{1,2})\n+(?=\S{1,2}$)", "")
 
 
+def once(df, columns: dict[str, Column]):
+    """df with columns that are computed once a row.
+
+    A generator stands between them and their uses: without it filters and projections repeat them, inside lambdas once for every element.
+    """
+    name = "_once"
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in columns}]
+    rows = df.select(*kept, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias(name))
+    return rows.select(*kept, *(F.col(f"{name}.`{k}`").alias(k) for k in columns))
+
+
 def cleaned(df, source: str = "text", target: str = "text", structure: bool = False, pdf: bool = False):
     """df with the cleaned text. structure: lines stay as they are broken; pdf: annotations and short lines too."""
     text = normalised(F.col(source))
@@ -118,7 +131,7 @@ def cleaned(df, source: str = "text", target: str = "text", structure: bool = Fa
     lines = "_lines"
     while lines in {c.lower() for c in df.columns}:
         lines = f"_{lines}"
-    df = df.withColumn(lines, lines_of(text))
+    df = once(df, {lines: lines_of(text)})
     out = F.col(target) if structure else chinese_punctuation(merged(F.col(target)))
     return df.withColumn(target, without_noise(F.col(source), lines)).withColumn(target, out).drop(lines)
 

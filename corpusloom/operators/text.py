@@ -49,8 +49,8 @@ s AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(1, 0.35::DOUBLE +
 SELECT doc_id, n AS lines, round(score, 6) AS score, visible <= 3 OR (single >= 0.48 AND n >= 3) OR (short >= 0.8 AND mean < 6 AND n >= 3) OR (noise >= 0.5 AND n >= 2) OR score < 0.18 AS low FROM s""")
 def fragment_quality(spark: SparkSession, d: str) -> DataFrame:
     """Score and verdict of every document as a fragment."""
-    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", cl.normalised(F.col("text")).alias("normal"))
-    docs = docs.withColumn("lines", cl.lines_of(F.col("normal")))
+    docs = cl.once(table(spark, d, "documents", "doc_id", "text"), {"normal": cl.normalised(F.col("text"))}).drop("text")
+    docs = cl.once(docs, {"lines": cl.lines_of(F.col("normal"))})
     q = cl.quality_columns("lines", "normal")
     return docs.select("doc_id", F.size("lines").alias("n"), q["score"].alias("score"), q["low"].alias("low")).withColumnRenamed("n", "lines")
 
