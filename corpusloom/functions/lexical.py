@@ -53,6 +53,7 @@ CONJUNCTIONS = [
 ]
 
 _WORD = r"[a-z0-9_]+|[一-鿿]"
+_LONG_WORD = r"[a-z0-9_]{2,}|[一-鿿]"
 _SQL_WORD = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]"
 
 
@@ -70,8 +71,7 @@ def normalised(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Words of ASCII letters, digits and underscores, single ideographs; words of one character are dropped."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1))
-    return F.filter(words, lambda t: (F.length(t) > 1) | t.rlike("[^a-z0-9_]"))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({_LONG_WORD})"), F.lit(1))
 
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:

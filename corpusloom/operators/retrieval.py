@@ -6,6 +6,7 @@ and a salt; ranks carry a total order, and Spark limits each question's rows bef
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical as lx
+from corpusloom.functions.cleaning import once
 from corpusloom.plans.catalogue import Catalogue
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import shared_folder, table
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -63,16 +65,23 @@ def top(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again, so that what uses it twice does not compute it twice."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(scope, question, rank, id, score): the k best chunks(scope, id, tokens) for questions(scope, question, tokens).
 
     Statistics are those of the scope. Terms asked twice count twice. Where fewer than k chunks hold a
     term, chunks with score 0 follow in order of id: the first k chunks of a scope are enough to fill up.
     """
-    term = F.explode_outer("tokens").alias("term")
-    # one shuffle that the branches below share; a chunk without tokens keeps one row, of the empty term
-    counted = chunks.select("scope", "id", term).groupBy("scope", "id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf"))
-    sized = counted.groupBy("scope", "id").agg(F.sum("tf").alias("len"))
+    # the postings are written once: counts, lengths and scores all read them; a chunk without tokens keeps one row, of the empty term
+    counted = chunks.select("scope", "id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term")).groupBy("scope", "id", "len", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf"))
+    counted = stored(counted, "postings")
+    sized = counted.groupBy("scope", "id").agg(F.first("len").alias("len"))
     stats = sized.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     df = counted.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "scope")
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -82,12 +91,15 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     weights = weights.select("scope", "question", "term", "avgdl", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"))
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    found = counted.join(weights, ["scope", "term"]).join(sized, ["scope", "id"]).groupBy("scope", "question", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    found = counted.join(weights, ["scope", "term"]).groupBy("scope", "question", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    best = stored(top(found, ["scope", "question"], k, F.desc("score"), F.col("id")), "best")
+    # questions that found fewer than k chunks
+    full = best.groupBy("scope", "question").agg(F.count(F.lit(1)).alias("have")).filter(F.col("have") >= k)
     first = top(sized.select("scope", "id"), ["scope"], k, F.col("id")).select("scope", "id")
-    spare = questions.select("scope", "question").join(first, "scope").withColumn("score", F.lit(0.0))
-    spare = spare.join(found.select("scope", "question", "id"), ["scope", "question", "id"], "left_anti")
-    best = top(found.unionByName(spare), ["scope", "question"], k, F.desc("score"), F.col("id"))
-    return best.select("scope", "question", "rank", "id", "score")
+    spare = questions.select("scope", "question").join(full, ["scope", "question"], "left_anti").join(first, "scope").withColumn("score", F.lit(0.0))
+    spare = spare.join(best.select("scope", "question", "id"), ["scope", "question", "id"], "left_anti")
+    filled = top(best.drop("rank").unionByName(spare), ["scope", "question"], k, F.desc("score"), F.col("id"))
+    return filled.select("scope", "question", "rank", "id", "score")
 
 
 def _bm25_sql(chunks: str, questions: str, k: int) -> str:
@@ -105,7 +117,8 @@ bm25 AS (SELECT scope, question, rank, id, score FROM ranked WHERE rank <= {k})"
 
 
 def documents_as_chunks(spark: SparkSession, d: str, scope: Column) -> DataFrame:
-    return table(spark, d, "documents").select(scope.alias("scope"), F.col("doc_id").alias("id"), lx.tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, d, "documents", "doc_id", "source", "text").select(scope.alias("scope"), F.col("doc_id").alias("id"), "text")
+    return once(docs, {"tokens": lx.tokens(F.col("text"))}).drop("text")
 
 
 def _doc_chunks(scope: str) -> str:

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A parquet table, pruned to the given columns."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if {"text", "html"} & set(columns) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: texts in few files would leave most cores without work. Tables in many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def where_equal(df: DataFrame, conditions: Mapping[str, object]) -> DataFrame:
