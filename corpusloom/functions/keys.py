@@ -48,9 +48,10 @@ def comparison_key_sql(text: str) -> str:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters; a single character stands for itself."""
-    n = F.char_length(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.array_distinct(F.when(n > 0, pairs).otherwise(F.array().cast("array<string>")))
+    # over an array of one, so that the characters are told apart once; a substring by its place would count from the start each time
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))
+    found = F.transform(F.array(F.split(text, "")), lambda c: F.when(F.size(c) > 1, pairs(c)).otherwise(F.filter(c, lambda x: x != "")))[0]
+    return F.array_distinct(found)
 
 
 def bigrams_sql(text: str) -> str:

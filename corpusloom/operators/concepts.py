@@ -26,11 +26,11 @@ MIN_TEXT, MAX_TEXT, MAX_EXPLANATION = 4, 40, 80
 
 
 def head(text: Column) -> Column:
-    """The first line that is not blank, up to 60 characters."""
-    return F.substring(F.regexp_extract(F.coalesce(text, F.lit("")), r"([^\s][^\n]*)", 1), 1, 60)
+    """The first line that is not blank."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"([^\s][^\n]*)", 1)
 
 
-_HEAD = r"substring(regexp_extract(coalesce(text, ''), '([^\s][^\n]*)', 1), 1, 60)"
+_HEAD = r"regexp_extract(coalesce(text, ''), '([^\s][^\n]*)', 1)"
 _POINTS = f"SELECT doc_id, source AS kb, {_HEAD} AS concept, n_chars, lang, text FROM documents"
 
 
@@ -117,8 +117,15 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     often = each.groupBy("kb", "gram").agg(F.count(F.lit(1)).alias("n"))
     order = each.join(often, ["kb", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("kb", "id").orderBy("n", "gram")))
     order = order.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("kb", "id")))
-    prefix = order.filter(F.col("place") <= F.col("size") - F.ceil(F.lit(MIN_JACCARD) * F.col("size")) + 1).select("kb", "gram", "id")
-    pairs = prefix.select("kb", "gram", F.col("id").alias("a")).join(prefix.select("kb", "gram", F.col("id").alias("b")), ["kb", "gram"]).filter("a < b").select("kb", "a", "b").distinct()
+    prefix = order.filter(F.col("place") <= F.col("size") - F.ceil(F.lit(MIN_JACCARD) * F.col("size")) + 1).select("kb", "gram", "id", "place", "size")
+    side = lambda k: prefix.select("kb", "gram", F.col("id").alias(k), F.col("place").alias(f"{k}_at"), F.col("size").alias(f"{k}_n"))
+    met = side("a").join(side("b"), ["kb", "gram"])
+    # sizes that can reach the limit, and enough left behind the shared bigram
+    share = MIN_JACCARD / (1 + MIN_JACCARD) * (F.col("a_n") + F.col("b_n"))
+    left = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    before = F.least(F.col("a_at"), F.col("b_at")) - 1
+    fits = (F.least("a_n", "b_n") >= MIN_JACCARD * F.greatest("a_n", "b_n")) & (before + left >= share - 1e-9)
+    pairs = met.filter(F.col("a") < F.col("b")).filter(fits).select("kb", "a", "b").distinct()
     of = lambda k: sets.select("kb", F.col("id").alias(k), F.col("grams").alias(f"{k}_grams"))
     both = pairs.join(of("a"), ["kb", "a"]).join(of("b"), ["kb", "b"])
     return both.select("kb", "a", "b", F.round(keys.jaccard(F.col("a_grams"), F.col("b_grams")), 6).alias("similarity")).filter(F.col("similarity") >= MIN_JACCARD)
