@@ -180,7 +180,8 @@ def bounded_insert(anchor: list, order: list, edges: list[tuple], shift: int = M
     """The anchor's order with new items, in topological order, where that order has them: after their prerequisites, before their dependents.
 
     An item of the anchor that has moved by `shift` places already is not moved further, unless prerequisites and
-    dependents leave no other place. The same items leave the anchor as it is.
+    dependents leave no other place. Where a later item comes too late for both, it follows its prerequisites. The same
+    items leave the anchor as it is.
     """
     present, step = set(order), {x: i for i, x in enumerate(order)}
     out = list(dict.fromkeys(x for x in anchor if x in present))
