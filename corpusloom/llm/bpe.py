@@ -28,8 +28,8 @@ from .common import clean_text, mapped, unused
 
 #: Fixed value: the word pattern of the byte-level tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and token pairs remembered per Python worker; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+#: Words of a generation and token pairs remembered per Python worker; beyond them a new generation begins, and pairs start afresh.
+REMEMBERED, PAIRS = 250_000, 500_000
 BLOCK_CHARACTERS = 1_000_000
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are kept as native unsigned 32-bit integers"
 
@@ -44,7 +44,8 @@ def byte_alphabet() -> dict[str, int]:
 class TrieEncoder:
     """Encodes words with a byte-level vocabulary and ranked merges."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         import regex
 
         spec = json.loads(vocabulary)
@@ -70,6 +71,9 @@ class TrieEncoder:
         self.adjacent: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        # the generation before: what is still in use moves on, the rest goes with the next change
+        self.old_known: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def edge(self, token: bytes, right: int) -> list[tuple[int, bytes]]:
         """What stands at one end of a token while it is merged: (rank of the merge that consumes it, symbol), first to last."""
@@ -106,7 +110,7 @@ class TrieEncoder:
     def learn(self, words: list[str]) -> None:
         """Visit the trie of these distinct words depth first and remember every word's ids."""
         id_of, longest, adjacent = self.id_of, self.longest, self.adjacent
-        if len(adjacent) > REMEMBERED:
+        if len(adjacent) > PAIRS:
             adjacent.clear()
         path, last = b"", [b""]  # the current trie path and the state of each of its prefixes
         for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
@@ -153,18 +157,21 @@ class TrieEncoder:
 
     def _block(self, block: list[str]) -> Iterator[bytes]:
         """A text falls apart before every single space that a non-space follows; the parts recur, so their ids are kept."""
-        if len(self.chunks) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.chunks.clear()
+        if len(self.chunks) > self.remembered:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.known) > self.remembered:
+            self.old_known, self.known = self.known, {}
         cut = [text.split(" ") for text in block]
-        chunks, known = self.chunks, self.known
+        chunks, known, old = self.chunks, self.known, self.old_chunks
         new = {c for c in set().union(*cut) if c not in chunks}
+        kept = new & old.keys()
+        chunks.update((c, old[c]) for c in kept)
+        new -= kept
         if self._special(" ".join(new)):
             new = {c for c in new if not self._special(c)}
         # a part of letters only is one word
         words = {c: [" " + c] if c.isalpha() else self.words.findall(" " + c) for c in new if c and not c[0].isspace()}
-        if missing := {w for found in words.values() for w in found if w not in known}:
-            self.learn([*missing])
+        self._look_up({w for found in words.values() for w in found if w not in known})
         for c, found in words.items():
             chunks[c] = known[found[0]] if len(found) == 1 else b"".join([known[w] for w in found])
         for text, parts in zip(block, cut, strict=True):
@@ -174,6 +181,13 @@ class TrieEncoder:
             except KeyError:
                 yield self._whole(text)
 
+    def _look_up(self, missing: set[str]) -> None:
+        """Make the ids of words known, from the generation before or anew."""
+        kept = missing & self.old_known.keys()
+        self.known.update((w, self.old_known[w]) for w in kept)
+        if missing := missing - kept:
+            self.learn([*missing])
+
     def _special(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
@@ -185,8 +199,7 @@ class TrieEncoder:
                 out.append(array("I", [self.specials[part]]).tobytes())
                 continue
             found = self.words.findall(part)
-            if missing := {w for w in found if w not in self.known}:
-                self.learn([*missing])
+            self._look_up({w for w in found if w not in self.known})
             out += map(self.known.__getitem__, found)
         return b"".join(out)
 
@@ -195,9 +208,9 @@ class TrieEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> TrieEncoder:
+def encoder(vocabulary: str, remembered: int = REMEMBERED) -> TrieEncoder:
     """One encoder per vocabulary and Python worker."""
-    return TrieEncoder(vocabulary)
+    return TrieEncoder(vocabulary, remembered)
 
 
 def read_vocabulary(path: str | None = None) -> str:
@@ -247,7 +260,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
     hexed = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(shared.value)
+        e = encoder(shared.value, 2 * REMEMBERED)  # nothing else runs in these workers
         for batch in batches:
             n, ids, decoded = [], [], []
             for x in e.encode(batch.column("text").to_pylist()):

@@ -75,3 +75,11 @@ def test_operator_edges(spark):
     assert bpe.encode(docs.limit(0), VOCABULARY).count() == 0
     clash = docs.withColumnRenamed("_text2", "_text")
     assert bpe.encode(clash, VOCABULARY).count() == 4
+
+
+def test_few_words_remembered(monkeypatch):
+    """Generations that change with every block give the same ids."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARACTERS", 40)
+    vocabulary = bpe.read_vocabulary()
+    texts = [f"the cat number {i} sat, on the mat {i % 7} don't  again\n" * (1 + i % 3) for i in range(60)] + ["", " ", "x"]
+    assert list(bpe.TrieEncoder(vocabulary, 3).encode(texts)) == list(bpe.TrieEncoder(vocabulary).encode(texts))
