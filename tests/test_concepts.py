@@ -53,3 +53,15 @@ def test_keys_in_compatibility_form(spark):
     """Full-width letters, ligatures and superscripts compare as plain ones."""
     df = spark.createDataFrame([("Ｍａｔｒｉｘ　Ａ",), ("１．ﬁeld²",), ("Matrix A",), (None,)], "t string")
     assert [r["k"] for r in df.select(keys.comparison_key(F.col("t")).alias("k")).collect()] == ["matrixa", "field2", "matrixa", ""]
+
+
+def test_lookup_in_capitals_as_its_sql(spark, duck, tmp_path):
+    """Letters whose full capitals are several letters (ß as SS) are found again."""
+    heads = ["Die Straße ist naß", "ŉ ǰ ΐ ﬁ ᾀ ᾳ", "Größe ß", None, "", "plain words", "𐐨 ß 漢字"]
+    rows = [(100 * i, h and f"{h}\nmore", "en", "a", 5) for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(concepts.ORACLES["concept_lookup"]).fetchall())
+    assert sorted(tuple(r) for r in concepts.concept_lookup(spark, str(tmp_path)).collect()) == want
+    assert [x[1] for x in want] == [0, 100, 200, None, None, 500, 600]
