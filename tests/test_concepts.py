@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import keys
@@ -65,3 +66,26 @@ def test_lookup_in_capitals_as_its_sql(spark, duck, tmp_path):
     want = sorted(con.execute(concepts.ORACLES["concept_lookup"]).fetchall())
     assert sorted(tuple(r) for r in concepts.concept_lookup(spark, str(tmp_path)).collect()) == want
     assert [x[1] for x in want] == [0, 100, 200, None, None, 500, 600]
+
+
+def test_shared_bigrams_dense_and_rare(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(concepts, "WIDTH", 3)
+    monkeypatch.setattr(concepts, "TILE", 4)
+    for letters in ("ab", "abcdefghij", "".join(map(chr, range(0x1F600, 0x1F640)))):
+        a, b = ([{"".join(rng.choice(list(letters), 2)) for _ in range(9)} for _ in range(n)] for n in (11, 6))
+        got, n, m = concepts.shared_counts(["".join(x) for x in a], ["".join(x) for x in b])
+        assert got.tolist() == [[len(x & y) for y in b] for x in a] and n.tolist() == [len(x) for x in a] and m.tolist() == [len(y) for y in b]
+    assert concepts.shared_counts(["abcd"], ["efgh"])[0].tolist() == [[0]]
+
+
+def test_common_bigrams_are_not_met_pair_by_pair(spark, duck, monkeypatch):
+    """However many pairs share their bigrams, a set is shuffled once a block of its base; in small blocks all results are as the SQL's."""
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(concepts, "BLOCK", 3)
+    for name in ("bigram_jaccard_pairs", "merged_clusters", "semantic_gate", "semantic_clusters"):
+        assert sorted(map(tuple, concepts.QUERIES[name](spark, small).collect())) == sorted(duck(small).execute(concepts.ORACLES[name]).fetchall())
+    rows = [("k", i, "abcdefgh" * 3 + chr(0x4E00 + i)) for i in range(200)]
+    pairs = concepts._compared(spark.createDataFrame(rows, "kb string, id long, key string").coalesce(1), False)
+    assert pairs.count() == 200 * 199 // 2
+    assert "explode(grams" not in pairs._jdf.queryExecution().toString()
