@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from corpusloom.operators import concepts, learner, retrieval
 from corpusloom.plans.catalogue import Catalogue
@@ -15,7 +18,6 @@ QUERIES, ORACLES = catalogue.queries, catalogue.oracles
 
 #: Nearest vectors looked at, and how near they have to be.
 NEAREST, MOST = 3, 1.0
-GRAM = 3
 
 
 def bare(text: Column) -> Column:
@@ -23,37 +25,66 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_\s]", "")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct pieces of n characters."""
-    size = F.char_length(text)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(size >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+#: Pieces of k characters, of w in a row the one with the least hash, by which needles of k + w - 1 characters or more are looked for.
+KINDS = [(1, 1), (2, 1), (3, 1), (4, 2), (6, 5)]
+_LEAST = [k + w - 1 for k, w in KINDS]
+_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+
+
+def marks(text: str, kind: int) -> np.ndarray:
+    """Hashes of the pieces that stand for a text: a text that contains a needle, long enough for the kind, has all marks of the needle."""
+    k, w = KINDS[kind]
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(c) < k + w - 1:
+        return np.zeros(0, dtype=np.int64)
+    h = np.full(len(c) - k + 1, kind, dtype=np.uint64)
+    for i in range(k):
+        h = (h ^ c[i : len(c) - k + 1 + i]) * _MIX[0]
+        h ^= h >> np.uint64(29)
+    h = h * _MIX[1]
+    h ^= h >> np.uint64(32)
+    least = h[: len(h) - w + 1]
+    for i in range(1, w):
+        least = np.minimum(least, h[i : len(h) - w + 1 + i])
+    return np.unique(least).view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _marks(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    """Marks of each text, of all kinds whose bits are set."""
+    return pd.Series([np.concatenate([np.zeros(0, dtype=np.int64), *(marks(t, i) for i in range(len(KINDS)) if k >> i & 1)]) for t, k in zip(texts, kinds, strict=True)], dtype=object)
 
 
 def containing(asked: DataFrame, points: DataFrame) -> DataFrame:
     """(id, point) of asked(id, scope, needle) and points(scope, point, text): all points of the scope whose text contains the needle.
 
-    A needle is looked for under its rarest piece of three characters in that scope (a shorter one under itself), so pieces that many
-    points share bring candidates only for needles without a rarer one. An empty needle is in every text and finds nothing here.
+    A needle is looked for under its rarest mark in that scope, so pieces that many points share bring candidates only for needles
+    without a rarer one. Texts are marked only for lengths of needles that their scope asks for; marks move without the
+    texts, which meet the needles once, by point. An empty needle is in every text and finds nothing here.
     """
-    asked = asked.filter("needle <> ''").withColumn("n", F.least(F.lit(GRAM), F.char_length("needle")))
-    wanted = None
-    for n in range(1, GRAM + 1):
-        one = asked.filter(F.col("n") == n).select("id", "scope", "needle", F.explode(_grams(F.col("needle"), n)).alias("gram"))
-        wanted = one if wanted is None else wanted.unionByName(one)
-    held = points.select("scope", "point", "text", F.explode(F.array_distinct(F.concat(*(_grams(F.col("text"), n) for n in range(1, GRAM + 1))))).alias("gram"))
-    held = held.join(wanted.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")
-    df = held.groupBy("scope", "gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = wanted.join(df, ["scope", "gram"], "left").groupBy("id", "scope", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
-    rarest = rarest.filter("g.df > 0").select("id", "scope", "needle", F.col("g.gram").alias("gram"))
-    return held.join(rarest, ["scope", "gram"]).filter(F.contains("text", F.col("needle"))).select("id", "point")
+    n = F.char_length("needle")
+    kind = F.lit(0)
+    for i, least in enumerate(_LEAST):
+        kind = F.when(n >= least, 1 << i).otherwise(kind)
+    asked = asked.filter("needle <> '' and scope is not null").withColumn("kind", kind)
+    key = F.xxhash64("scope", "mark").alias("key")
+    wanted = asked.select("id", "scope", "needle", F.explode(_marks("needle", "kind")).alias("mark")).select("id", "scope", "needle", key)
+    kinds = asked.groupBy("scope").agg(F.bit_or("kind").alias("kinds"))
+    held = points.join(kinds, "scope").select("scope", "point", F.explode(_marks(F.coalesce("text", F.lit("")), "kinds")).alias("mark")).select("scope", "point", key)
+    df = held.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    tried = wanted.select("id", "scope", F.xxhash64("needle").alias("of"), "key").join(df, "key", "left")
+    rarest = tried.groupBy("id", "scope", "of").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("g")).filter("g.df > 0")
+    rarest = asked.select("id", "scope", "needle", F.xxhash64("needle").alias("of")).join(rarest, ["id", "scope", "of"]).select("id", "scope", "needle", F.col("g.key").alias("key"))
+    met = held.join(rarest, ["scope", "key"]).select("scope", "point", "id", "needle")
+    return met.join(points.select("scope", "point", "text"), ["scope", "point"]).filter(F.contains("text", F.col("needle"))).select("id", "point")
 
 
 def by_text(asked: DataFrame, points: DataFrame) -> DataFrame:
     """(id, point, way) of asked(id, scope, focus): the first point with that very text, else the first whose bare text is or contains the bare focus."""
     texts = points.select("scope", "point", "text")
     same = asked.select("id", "scope", F.trim("focus").alias("text")).filter("text <> ''").join(texts, ["scope", "text"]).select("id", "point", F.lit(1).alias("way"))
-    inside = containing(asked.select("id", "scope", bare(F.col("focus")).alias("needle")), texts.select("scope", "point", bare(F.col("text")).alias("text")))
+    rest = asked.join(same.select("id").distinct(), "id", "left_anti")  # where the very text is found, none that contains it counts
+    inside = containing(rest.select("id", "scope", bare(F.col("focus")).alias("needle")), texts.select("scope", "point", bare(F.col("text")).alias("text")))
     found = same.unionByName(inside.withColumn("way", F.lit(2))).groupBy("id").agg(F.min(F.struct("way", "point")).alias("b"))
     return found.select("id", "b.point", F.when(F.col("b.way") == 1, "exact").otherwise("contains").alias("way"))
 

@@ -36,3 +36,14 @@ def test_by_vector(spark):
     points = spark.createDataFrame([("k", i, [float(i) / 4, 0.0]) for i in range(8)], "scope string, id long, vector array<float>")
     asked = spark.createDataFrame([("k", 100, [0.0, 0.0]), ("k", 101, [9.0, 0.0])], "scope string, id long, target array<float>")
     assert sorted(map(tuple, study.by_vector(asked, points).collect())) == [(100, 0, 1), (100, 1, 2), (100, 2, 3)]
+
+
+def test_containing_long_needles_moves_marks_not_texts(spark):
+    """Needles of every length up to the whole text, and texts much longer than what is shuffled of them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcd", k=n)) for n in (3, 8, 12, 40, 400)] * 3 + ["漢字😀" * 9]
+    points = [("x", i, t) for i, t in enumerate(texts)]
+    asked = [(i, "x", (t := rng.choice(texts))[(a := rng.randrange(len(t))) : a + rng.randint(1, 30)]) for i in range(80)]
+    found = study.containing(spark.createDataFrame(asked, "id long, scope string, needle string"), spark.createDataFrame(points, "scope string, point long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(i, p) for i, _, n in asked for _, p, text in points if n in text}
+    assert len(study.marks("abcd" * 5000, 4)) <= 4 and len(study.marks("".join(rng.choices("abcd", k=4000)), 4)) < 1800
