@@ -3,9 +3,8 @@
 Lines with a word are normalised (lower case, digits as 0, punctuation as space). Equal ones are copies. Different
 lines are similar if their words' edit similarity is at least `SIMILARITY`. They meet on pigeonhole blocks of their
 words: runs of `GRAM` words, of which an edit spoils `GRAM` at most. All runs being put in one order, each line meets
-others on its first ones: on all that the similarity takes (the q-gram lemma) up to `MEET`, which no pair within
-two edits misses; pairs with more edits share one of their first `MEET` runs by the chance that min-hashes have, at
-least 0.99 where 15 % of the words are exchanged. The order puts runs that are frequent in a sample last. (A SimHash
+others on its first ones: on all that the similarity takes (the q-gram lemma), so no similar pair is missed, however
+many edits it has. (`MEET`, where a caller sets it, stops at so many runs and misses some pairs.) The order puts runs that are frequent in a sample last. (A SimHash
 of 64 bits cannot tell these pairs: see the README for its measured recall.) Lines that meet form candidate groups
 unless their lengths or the parities of their words' counts rule the similarity out; in the groups the edit similarity
 of the words is verified. Of each connected group of lines the first occurrence (by doc_id, text hash, line) stays and
@@ -32,10 +31,10 @@ from .graphs import Members, block_pairs, by_group, by_groups, components, local
 
 SIMILARITY, GRAM = 0.85, 3
 #: Runs that a line meets others on at most; None: as many as the lemma takes, however long the line.
-MEET: int | None = 7
+MEET: int | None = None
 BLOCK_LINES = 1000
 #: Runs of words that meet in one part, on average about, and characters that have one such run.
-PART_RUNS, RUN_CHARS = 500_000, 30
+PART_RUNS, RUN_CHARS = 500_000, 12
 #: Frequent runs that the order puts last at most, and the part of the texts that is asked for them.
 FREQUENT, SAMPLE = 50_000, 32
 #: Bytes of text that one task normalises and hashes at a time.
@@ -251,7 +250,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 lanes, start = sketched(w.hash, first, last)
                 found.append((met, taken(lanes, start[line], np.diff(start)[line])))
                 held += len(met)
-                if held > 500_000:
+                if held > 300_000:
                     yield packed(found)
                     found, held, seen = [], 0, seen[:0]
         if held:

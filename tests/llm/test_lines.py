@@ -200,3 +200,16 @@ def test_no_similar_pair_is_ruled_out(monkeypatch):
         assert set(key[line == 0].tolist()) & set(key[line == 1].tolist())
         p = lines.parities(w.hash, first, last, 2)
         assert lines.possible(np.array([len(a)]), p[:1], np.array([len(b)]), p[1:])[0]
+
+
+def test_no_similar_pair_of_long_lines_is_missed():
+    """As the operator is called: all pairs with as many edits as the similarity allows meet, not most of them."""
+    missed = 0
+    for seed in range(4):
+        w = Words([" ".join(x) for x in near_pairs(seed, (30, 60, 100), 250)])
+        line, key = lines.first_runs(w, w.first[:-1], w.first[1:], lines.Order(np.zeros(0, dtype=np.uint64)))
+        own = [set() for _ in range(len(w.first) - 1)]
+        for i, k in zip(line.tolist(), key.tolist(), strict=True):
+            own[i].add(k)
+        missed += sum(not a & b for a, b in zip(own[::2], own[1::2], strict=True))
+    assert missed == 0
