@@ -91,12 +91,16 @@ def distinct_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guarded(results: DataFrame, points: DataFrame, unlocked: DataFrame) -> DataFrame:
-    """results(point, ...) with `reason`: missing_binding without a known point, locked if the point is not unlocked, else null."""
+    """results(point, ...) with `reason`: missing_binding without a known point, locked if the point is not unlocked, else null.
+
+    Results without a point, often a large part, join nothing: their one key would bring them all to one task.
+    """
     known = points.select(F.col("point").alias("k")).distinct()
     free = unlocked.select(F.col("point").alias("u")).distinct()
-    both = results.join(known, F.col("point") == F.col("k"), "left").join(free, F.col("point") == F.col("u"), "left")
-    named = F.when(F.col("point").isNull(), "missing_binding").when(F.col("u").isNull(), "locked").when(F.col("k").isNull(), "missing_binding")
-    return both.withColumn("reason", named).drop("k", "u")
+    none = results.filter("point is null").withColumn("reason", F.lit("missing_binding"))
+    both = results.filter("point is not null").join(known, F.col("point") == F.col("k"), "left").join(free, F.col("point") == F.col("u"), "left")
+    named = F.when(F.col("u").isNull(), "locked").when(F.col("k").isNull(), "missing_binding")
+    return both.withColumn("reason", named).drop("k", "u").unionByName(none)
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_partkey END AS point, l_discount, l_tax FROM lineitem),
