@@ -59,6 +59,15 @@ def edge_key(line: Column) -> Column:
     return F.lower(F.regexp_replace(line, r"\s", ""))
 
 
+def first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
+def last_line(text: Column) -> Column:
+    """What follows the last line feed, found from the end: a pattern that ends there is tried from every character of every line."""
+    return F.substring_index(text, "\n", -1)
+
+
 _EDGES = """SELECT doc_id, source, list_distinct([regexp_extract(text, '^[^\\n]*'), regexp_extract(text, '[^\\n]*$')]) AS es FROM documents"""
 _KEYS = f"""SELECT source, lower(regexp_replace(e, '\\s', '', 'g')) AS key, count(DISTINCT doc_id) AS pages FROM (SELECT source, doc_id, unnest(es) AS e FROM ({_EDGES}))
 WHERE length(regexp_replace(e, '\\s', '', 'g')) BETWEEN 2 AND 26 AND NOT regexp_matches(e, '^\\s*(第?\\s*\\d{{1,4}}\\s*页?|[0-9]{{1,4}})\\s*$') GROUP BY 1, 2 HAVING pages >= 2"""
@@ -66,7 +75,7 @@ WHERE length(regexp_replace(e, '\\s', '', 'g')) BETWEEN 2 AND 26 AND NOT regexp_
 
 def edge_keys(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "source", "text")
-    first, last = F.regexp_extract("text", r"\A[^\n]*", 0), F.regexp_extract("text", r"[^\n]*\z", 0)
+    first, last = first_line(F.col("text")), last_line(F.col("text"))
     edges = docs.select("source", "doc_id", F.explode(F.array_distinct(F.array(first, last))).alias("e"))
     n = F.char_length(F.regexp_replace("e", r"\s", ""))
     edges = edges.filter((n >= 2) & (n <= 26) & ~F.col("e").rlike(r"^\s*(第?\s*\d{1,4}\s*页?|[0-9]{1,4})\s*$"))
@@ -92,13 +101,15 @@ SELECT doc_id, first::BIGINT + last::BIGINT AS removed, md5(trim(regexp_replace(
 def edge_noise_removed(spark: SparkSession, d: str) -> DataFrame:
     """Documents without their first and last lines where these recur in their source; how many lines went."""
     docs = table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", F.btrim(F.coalesce("text", F.lit("")), F.lit(_BLANKS)).alias("t"))
-    docs = docs.withColumn("a", edge_key(F.regexp_extract("t", r"\A[^\n]*", 0))).withColumn("b", edge_key(F.regexp_extract("t", r"[^\n]*\z", 0)))
+    docs = docs.withColumn("a", edge_key(first_line(F.col("t")))).withColumn("b", edge_key(last_line(F.col("t"))))
     known = edge_keys(spark, d)
     of = lambda k, name: known.select("source", F.col("key").alias(k), F.lit(True).alias(name))
     both = docs.join(of("a", "first"), ["source", "a"], "left").join(of("b", "last"), ["source", "b"], "left")
     first, last = F.coalesce("first", F.lit(False)), F.coalesce("last", F.lit(False)) & F.contains("t", F.lit("\n"))
-    without = F.when(first, F.regexp_replace("t", r"\A[^\n]*", "")).otherwise(F.col("t"))
-    left = F.when(last, F.regexp_replace(without, r"[^\n]*\z", "")).otherwise(without)
+    # both cuts by length: the last line, where it goes, follows a line feed, which stays
+    start = F.when(first, F.char_length(first_line(F.col("t")))).otherwise(0)
+    end = F.char_length("t") - F.when(last, F.char_length(last_line(F.col("t")))).otherwise(0)
+    left = F.substring("t", start + 1, end - start)
     left = F.btrim(F.regexp_replace(left, r"\n{3,}", "\n\n"), F.lit(_BLANKS))
     return both.select("doc_id", (first.cast("long") + last.cast("long")).alias("removed"), F.md5(left.cast("binary")).alias("text_md5"))
 
