@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical as lx
+from corpusloom.functions.cleaning import once
 from corpusloom.operators import learner
 from corpusloom.operators.ordering import followers
 from corpusloom.plans.catalogue import Catalogue
@@ -60,7 +61,8 @@ def order_number(text: Column) -> Column:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, place, text, n): the lines with text of every document, numbered."""
-    lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # whole texts are dealt by document, once for all windows and groups over a document's lines
+    lines = table(spark, d, "documents", "doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     t = F.trim(F.regexp_replace("line", r"\s+", " "))
     return lines.select("doc_id", "place", t.alias("text"), F.char_length(t).alias("n")).filter("n > 0")
 
@@ -69,24 +71,26 @@ _POINTS = r"""SELECT doc_id, place, t AS text, length(t) AS n FROM (SELECT doc_i
 trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) > 0"""
 
 
-def edges_of(p: DataFrame) -> DataFrame:
-    """(doc_id, from_place, to_place, confidence, rank): each point with the next two of its document, the best rule per pair.
+def edges_of(p: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, *keep, from_place, to_place, confidence, rank): each point with the next two of its document, the best rule per pair.
 
     rank: 1 for numbers, 2 for a basic and an advanced point, 3 for shared words; of equally sure rules the first.
+    What the rules look at is computed once a point, before the points meet.
     """
+    text = F.col("text")
+    p = once(p.select("doc_id", *keep, "place", "text"), {"words": lx.words(text), "number": order_number(text), "basic": text.rlike(BASIC), "advanced": text.rlike(ADVANCED)})
     by = Window.partitionBy("doc_id").orderBy("place")
-    pairs = None
-    for offset in (1, 2):
-        one = p.select("doc_id", F.col("place").alias("from_place"), F.col("text").alias("left"), F.lead("place", offset).over(by).alias("to_place"), F.lead("text", offset).over(by).alias("right"), F.lit(offset).alias("offset"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    pairs = pairs.filter("to_place is not null").withColumn("shared", lx.overlap(F.col("left"), F.col("right")))
-    a, b, shared = order_number(F.col("left")), order_number(F.col("right")), F.col("shared")
+    row = F.struct("place", "words", "number", "advanced")
+    pairs = p.select("doc_id", *keep, F.col("place").alias("from_place"), "words", "number", "basic", F.array(*(F.lead(row, i).over(by) for i in (1, 2))).alias("next"))
+    pairs = pairs.select("doc_id", *keep, "from_place", "words", "number", "basic", F.posexplode("next").alias("offset", "to")).filter("to is not null")
+    pairs = once(pairs, {"shared": F.size(F.array_intersect("words", F.col("to.words")))}).drop("words")
+    a, b, shared = F.col("number"), F.col("to.number"), F.col("shared")
     numbered = F.when(a < b, F.when(b - a <= 1, STRONG).otherwise(MEDIUM))
-    cue = F.when((shared >= 2) & F.col("left").rlike(BASIC) & F.col("right").rlike(ADVANCED), STRONG)
-    local = F.when((F.col("offset") == 1) & (shared >= 2), MEDIUM).when((F.col("offset") == 2) & (shared >= 3), LIGHT)
+    cue = F.when((shared >= 2) & F.col("basic") & F.col("to.advanced"), STRONG)
+    local = F.when((F.col("offset") == 0) & (shared >= 2), MEDIUM).when((F.col("offset") == 1) & (shared >= 3), LIGHT)
     pairs = pairs.withColumn("numbered", numbered).withColumn("cue", cue).withColumn("confidence", F.greatest("numbered", "cue", local)).filter("confidence is not null")
     rank = F.when(F.col("numbered") == F.col("confidence"), 1).when(F.col("cue") == F.col("confidence"), 2).otherwise(3)
-    return pairs.select("doc_id", "from_place", "to_place", "confidence", rank.alias("rank"))
+    return pairs.select("doc_id", *keep, "from_place", F.col("to.place").alias("to_place"), "confidence", rank.alias("rank"))
 
 
 _NUMBER = lambda t: f"coalesce(try_cast(nullif(regexp_extract({t}, '^\\s*第\\s*(\\d{{1,9}})\\s*[章节篇条]', 1), '') AS INT), try_cast(nullif(regexp_extract({t}, '^\\s*(\\d{{1,9}})\\s*[.、)\\-:]', 1), '') AS INT))"
