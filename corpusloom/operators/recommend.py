@@ -116,7 +116,8 @@ def state(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("concept").over(Window.partitionBy("kb", F.floor(F.col("concept") / GROUP)).orderBy("concept"))
     open_before = F.lag("open").over(Window.partitionBy("kb", F.floor(F.col("concept") / GROUP)).orderBy("concept"))
     locks = of_base.select("kb", "concept", F.when(~open_before, before).alias("lock"))
-    placed = placed.join(locks, ["kb", "concept"])
+    # a row a base and concept: sent to the tasks, since the few keys would bring many rows each to few of them
+    placed = placed.join(F.broadcast(locks), ["kb", "concept"])
     name = lambda x: F.concat(F.lit("concept "), F.lpad(x.cast("string"), 2, "0"))
     level = F.col("level")
     weak = F.array_sort(F.collect_list(F.when((level < WEAK) & F.col("lock").isNull(), F.struct(level, name(F.col("concept")).alias("concept")))))
