@@ -95,7 +95,8 @@ def widened(sizes: Column, left: Column, right: Column, wanted: Column, span: in
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ord, block_id, page, chunk, text): the lines of every document, in its order."""
-    lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    # whole texts are dealt by document: windows and groups over a document's lines need no further exchange
+    lines = table(spark, d, "documents", "doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     before = F.coalesce(F.sum(F.char_length("text") + 1).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = lines.withColumn("at", before)
     return lines.select("doc_id", "ord", F.concat_ws(":", "doc_id", "ord").alias("block_id"), (F.floor(F.col("at") / PAGE) + 1).alias("page"), (F.floor(F.col("at") / CHUNK) + 1).alias("chunk"), "text")
@@ -115,13 +116,18 @@ def pages(b: DataFrame) -> DataFrame:
     return b.groupBy("doc_id", "page").agg(rows.alias("r")).select("doc_id", "page", F.transform("r", lambda x: x["block_id"]).alias("ids"), F.transform("r", lambda x: x["text"]).alias("texts"))
 
 
-def _passage(block_ids: Column, ids: Column, texts: Column, wanted: Column, span: int, after: bool) -> Column:
-    """The blocks of a page from the first to the last of those given, widened; null if none of them is on the page."""
+def with_passage(df: DataFrame, name: str, block_ids: Column, wanted: int, span: int, after: bool) -> DataFrame:
+    """df(ids, texts, ...) with the blocks of a page from the first to the last of those given, widened; null if none of them is on the page.
+
+    Places, sizes and bounds are computed once a row each: as one expression every step of the widening would compute all of them again.
+    """
+    ids, texts = F.col("ids"), F.col("texts")
     at = F.transform(F.filter(F.arrays_zip(ids.alias("id"), F.sequence(F.lit(0), F.size(ids) - 1).alias("i")), lambda x: F.array_contains(block_ids, x["id"])), lambda x: x["i"])
-    sizes = F.transform(texts, visible)
-    w = widened(sizes, F.array_min(at), F.array_max(at), wanted, span, after)
-    part = F.filter(F.slice(texts, w["left"] + 1, w["right"] - w["left"] + 1), lambda x: x != "")
-    return F.when(F.size(at) > 0, F.array_join(part, "\n\n"))
+    df = cl.once(df, {"_at": at, "_sizes": F.transform(texts, visible)})
+    df = cl.once(df, {"_first": F.array_min("_at"), "_last": F.array_max("_at")})
+    df = cl.once(df, {"_w": F.when(F.size("_at") > 0, widened(F.col("_sizes"), F.col("_first"), F.col("_last"), F.lit(wanted), span, after))})
+    part = F.filter(F.slice(texts, F.col("_w.left") + 1, F.col("_w.right") - F.col("_w.left") + 1), lambda x: x != "")
+    return cl.once(df, {name: F.array_join(part, "\n\n")}).drop("_at", "_sizes", "_first", "_last", "_w")
 
 
 # -- previews ----------------------------------------------------------------------------------
@@ -176,8 +182,8 @@ def previews(asked: DataFrame, e: DataFrame, p: DataFrame, texts: DataFrame) ->
     best = both.groupBy("request", "doc_id", "wording").agg(F.min(found).alias("b"))
     best = best.join(p.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "ids", "texts"), (F.col("doc_id") == F.col("_d")) & (F.col("b.e.page") == F.col("_p")), "left").drop("_d", "_p")
     best = best.join(texts.select(F.col("doc_id").alias("_d"), F.col("text").alias("_whole")), F.col("doc_id") == F.col("_d"), "left").drop("_d")
-    around = _passage(F.col("b.e.block_ids"), F.col("ids"), F.col("texts"), F.lit(max(LEAST, int(TARGET * 0.4))), PREVIEW_SPAN, True)
-    near = F.coalesce(F.nullif(around, F.lit("")), F.col("b.e.content"))
+    best = with_passage(best, "_around", F.col("b.e.block_ids"), max(LEAST, int(TARGET * 0.4)), PREVIEW_SPAN, True)
+    near = F.coalesce(F.nullif(F.col("_around"), F.lit("")), F.col("b.e.content"))
     cut = F.when(F.col("b").isNotNull(), snippet(near, F.col("wording"))).otherwise(snippet(F.col("_whole"), F.col("wording"), WHOLE_AROUND))
     names = F.array(*(F.lit(x) for x in ("block_id", "chunk", "page", "query")))
     out = best.select("request", F.coalesce(F.get(names, F.col("b.way") - 1), F.lit("text")).alias("matched_by"), F.col("b.e.page").alias("page"), F.col("b.e.chunk").alias("chunk"), cut.alias("snippet"))
@@ -278,8 +284,9 @@ def sidecar(seeds: DataFrame, e: DataFrame, p: DataFrame) -> DataFrame:
     of = e.select(F.col("doc_id").alias("_d"), F.col("chunk").alias("_c"), F.col("page").alias("_page"), "block_ids")
     both = seeds.join(of, (F.col("doc_id") == F.col("_d")) & (F.col("chunk") == F.col("_c")), "left").drop("_d", "_c")
     both = both.join(p.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "ids", "texts"), (F.col("doc_id") == F.col("_d")) & (F.col("_page") == F.col("_p")), "left")
-    around = merged_lines(_passage(F.col("block_ids"), F.col("ids"), F.col("texts"), F.lit(min(320, TARGET // 2)), PASSAGE_SPAN, False))
-    out = tidy(both.withColumn("laid_out", around).drop("_d", "_p", "_page", "block_ids", "ids", "texts"), "laid_out", pdf=True)
+    both = with_passage(both, "_around", F.col("block_ids"), min(320, TARGET // 2), PASSAGE_SPAN, False)
+    both = cl.once(both, {"laid_out": merged_lines(F.col("_around"))})
+    out = tidy(both.drop("_around", "_d", "_p", "_page", "block_ids", "ids", "texts"), "laid_out", pdf=True)
     return out.withColumn("laid_out", truncated(F.col("laid_out"), int(TARGET * 1.35)))
 
 
