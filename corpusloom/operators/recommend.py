@@ -110,7 +110,7 @@ def state(spark: SparkSession, d: str) -> DataFrame:
     scores = by_concept.groupBy("doc_id", "quiz").agg(F.floor(1000.0 * F.sum("right") / F.sum("n") + 0.5).alias("score"))
     scores = scores.groupBy("doc_id").agg(n.alias("attempts"), (F.sum("score") / n / 1000.0).alias("avg_score"))
     own = by_concept.withColumn("level", F.floor(10000.0 * F.col("right") / F.col("n") + 0.5) / 10000)
-    own = own.groupBy("doc_id", "concept").agg(F.min(F.struct("level", (-F.col("n")).alias("tries")))["level"].alias("level"), F.sum("right").alias("right"), F.sum("n").alias("n"))
+    own = own.groupBy("doc_id", "concept").agg(F.min("level").alias("level"), F.sum("right").alias("right"), F.sum("n").alias("n"))
     placed = own.join(docs, "doc_id")
     of_base = placed.groupBy("kb", "concept").agg((F.sum("right") / F.sum("n") >= UNLOCK).alias("open"))
     before = F.lag("concept").over(Window.partitionBy("kb", F.floor(F.col("concept") / GROUP)).orderBy("concept"))

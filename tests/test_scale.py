@@ -76,6 +76,11 @@ def test_locks_go_to_the_tasks(spark):
     assert "strategy=broadcast" in recommend.state(spark, SF_SMALL)._jdf.queryExecution().analyzed().toString()
 
 
+def test_levels_need_no_sort(spark):
+    plan = recommend.state(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_questions_are_parsed_once(spark):
     df = papers.validated(spark.createDataFrame([('{"question": "Which?", "explanation": "So"}', "single")], "raw string, kind string"))
     assert optimized(df).count("parse_json(") + optimized(df).count("parseJson") <= 1
