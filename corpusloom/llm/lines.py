@@ -5,9 +5,10 @@ lines are similar if their words' edit similarity is at least `SIMILARITY`. They
 words: runs of `GRAM` words, of which an edit spoils `GRAM` at most. All runs being put in one order, each line meets
 others on its first ones: on all that the similarity takes (the q-gram lemma), so no similar pair is missed, however
 many edits it has. (`MEET`, where a caller sets it, stops at so many runs and misses some pairs.) The order puts runs that are frequent in a sample last. (A SimHash
-of 64 bits cannot tell these pairs: see the README for its measured recall.) Lines that meet form candidate groups
-unless their lengths or the parities of their words' counts rule the similarity out; in the groups the edit similarity
-of the words is verified. Of each connected group of lines the first occurrence (by doc_id, text hash, line) stays and
+of 64 bits cannot tell these pairs: see the README for its measured recall.) Of runs only keys and lines move at first; those
+that one line has alone, most of them, go before lengths and sketches join. Lines that meet are a pair unless their
+lengths or the parities of their words' counts rule the similarity out; the edit similarity of the words is verified for
+pairs that connect all that met, then for all pairs that are not connected yet. Of each connected group of lines the first occurrence (by doc_id, text hash, line) stays and
 the others are removed.
 
 Defined edge cases: a null text has no lines; lines without a word stay; lines too short for an edit are alike only to
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, clean_text, discarded, free_memory, id_again, known, mapped, mix, powers, text_blocks, whole_row, window_hashes, written
-from .graphs import Members, block_pairs, by_group, by_groups, components, local_roots
+from .common import Words, clean_text, discarded, free_memory, id_again, known, mapped, mix, powers, shuffles_dropped, text_blocks, whole_row, window_hashes, written
+from .graphs import Members, by_group, by_groups, components, local_roots
 
 SIMILARITY, GRAM = 0.85, 3
 #: Runs that a line meets others on at most; None: as many as the lemma takes, however long the line.
@@ -140,6 +141,18 @@ def runs_to_meet(n: np.ndarray) -> np.ndarray:
     return np.minimum(out, np.maximum(n - GRAM + 1, 0))
 
 
+_wanted: dict[tuple, int] = {}
+
+
+def runs_wanted(n: np.ndarray) -> np.ndarray:
+    """`runs_to_meet` of many lines, computed once for each length."""
+    lengths, of = np.unique(n, return_inverse=True)
+    names = [(MEET, x) for x in lengths.tolist()]
+    if new := [x for x in names if x not in _wanted]:
+        _wanted.update(zip(new, runs_to_meet(np.array([x for _, x in new])).tolist(), strict=True))
+    return np.array([_wanted[x] for x in names], dtype=np.int64)[of]
+
+
 class Order:
     """The order of all runs: those frequent in a sample last, the others by their hashes."""
 
@@ -188,7 +201,7 @@ def frequent_runs(docs: DataFrame) -> np.ndarray:
 def first_runs(w: Words, first: np.ndarray, last: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the different runs that the lines meet on."""
     lines, keys = [], []
-    wanted = runs_to_meet(last - first)
+    wanted = runs_wanted(last - first)
     some = np.flatnonzero(wanted)
     for lo in range(0, len(some), _BLOCK_LINES):
         at = some[lo : lo + _BLOCK_LINES]
@@ -203,35 +216,53 @@ def first_runs(w: Words, first: np.ndarray, last: np.ndarray, order: Order) -> t
     return (np.concatenate(lines), np.concatenate(keys)) if lines else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
 
 
+#: A line's number of words beside its hash; a line on a run that it meets others on.
+_LINE = np.dtype([("id", "i8"), ("n", "u4")])
 _MET = np.dtype([("key", "u8"), ("id", "i8"), ("n", "u4")])
-_TABLE = "_id long, _unknown boolean, text_hash long, line int, hash long, part int, met binary, sketch binary"
+_TABLE = "_id long, _unknown boolean, text_hash long, line int, hash long, part int, one binary, two binary"
+#: What the arrays `one` and `two` of a row hold, for one part of the lines: lines and sketches, lines and runs, lines and classes.
+_LINES, _RUNS, _CLASSES = 0, 1, 2
+_HELD = 300_000
+
+
+def dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places of its keys) of each part that has some."""
+    part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    return [(p, order[s:e]) for p, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s]
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Keys of 48 bits, all their highest bytes first: sorted ones compress well."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 5::-1].T.tobytes()
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Of docs(doc_id, text), a row for each line with a word (part is null) and rows with what lines meet on.
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).astype(np.uint64)
+    out = np.zeros(planes.shape[1], dtype=np.uint64)
+    for p in planes:
+        out = out << np.uint64(8) | p
+    return out
 
-    A line: its document (_id, _unknown, text_hash), number and hash. A task sends what it has for one part of the
-    runs as one array `met`, in which lines it has seen lately are not repeated.
+
+def line_table(docs: DataFrame, parts: int) -> DataFrame:
+    """Of docs(doc_id, text), a row for each line with a word (part is null) and rows with the lines that may be similar to others.
+
+    A line: its document (_id, _unknown, text_hash), number and hash. A task sends the lines of one part, with their
+    numbers of words and sketches, as two arrays, in which lines it has seen lately are not repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // (RUN_CHARS * PART_RUNS)))
-    schema = pa.schema([("_id", pa.int64()), ("_unknown", pa.bool_()), ("text_hash", pa.int64()), ("line", pa.int32()), ("hash", pa.int64()), ("part", pa.int32()), ("met", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("_unknown", pa.bool_()), ("text_hash", pa.int64()), ("line", pa.int32()), ("hash", pa.int64()), ("part", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
 
     def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        met, lanes = (np.concatenate(x) for x in zip(*found, strict=True))
-        size = 1 << level_of(met["n"])
+        own, lanes = (np.concatenate(x) for x in zip(*found, strict=True))
+        size = 1 << level_of(own["n"])
         start = np.cumsum(size) - size
-        part = (mix(met["key"]) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, met[order[s:e]].tobytes(), taken(lanes, start[order[s:e]], size[order[s:e]]).tobytes()) for p, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
-        n = len(rows)
-        none = [pa.nulls(n, f.type) for f in list(schema)[:5]]
+        rows = [(p, own[at].tobytes(), taken(lanes, start[at], size[at]).tobytes()) for p, at in dealt(np.ascontiguousarray(own["id"]), parts)]
+        none = [pa.nulls(len(rows), f.type) for f in list(schema)[:5]]
         return pa.record_batch([*none, pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(shared.value)
         found, held = [], 0
         seen = np.zeros(0, dtype=np.int64)  # of the lines since the last arrays were sent
         for batch in batches:
@@ -241,16 +272,13 @@ def line_table(docs: DataFrame) -> DataFrame:
                 of = pa.array(doc)
                 yield pa.record_batch([part.column("_id").take(of), part.column("_unknown").take(of), part.column("text_hash").take(of), pa.array(line.astype(np.int32)), pa.array(ids), *(pa.nulls(len(ids), f.type) for f in list(schema)[5:])], schema=schema)
                 fresh = np.unique(ids, return_index=True)[1]
-                fresh = np.sort(fresh[~np.isin(ids[fresh], seen)])
+                fresh = fresh[~np.isin(ids[fresh], seen) & (runs_wanted((last - first)[fresh]) > 0)]
                 seen = np.concatenate([seen, ids[fresh]])
-                ids, first, last = ids[fresh], first[fresh], last[fresh]
-                line, key = first_runs(w, first, last, order)
-                met = np.zeros(len(line), dtype=_MET)
-                met["key"], met["id"], met["n"] = key, ids[line], (last - first)[line]
-                lanes, start = sketched(w.hash, first, last)
-                found.append((met, taken(lanes, start[line], np.diff(start)[line])))
-                held += len(met)
-                if held > 300_000:
+                own = np.zeros(len(fresh), dtype=_LINE)
+                own["id"], own["n"] = ids[fresh], (last - first)[fresh]
+                found.append((own, sketched(w.hash, first[fresh], last[fresh])[0]))
+                held += len(own)
+                if held > _HELD // 3:
                     yield packed(found)
                     found, held, seen = [], 0, seen[:0]
         if held:
@@ -259,13 +287,120 @@ def line_table(docs: DataFrame) -> DataFrame:
     return mapped(docs.select(*known("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, _TABLE)
 
 
+def run_table(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, one, two): keys of the first runs of the lines of docs(text) and the lines' hashes, as arrays of one part of the keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs))
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        rows = [(p, squeezed(key[at]), ids[at].tobytes()) for p, at in dealt(key, parts)]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "one", "two"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, found, held = Order(shared.value), [], 0
+        seen = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for _, texts in text_blocks(batch, "text", _BLOCK):
+                w, _, _, first, last = lines_of(texts)
+                ids = segment_hashes(w.hash, first, last).astype(np.int64)
+                fresh = np.unique(ids, return_index=True)[1]
+                fresh = fresh[~np.isin(ids[fresh], seen)]
+                seen = np.concatenate([seen, ids[fresh]])
+                line, key = first_runs(w, first[fresh], last[fresh], order)
+                found.append((key, ids[fresh][line]))
+                held += len(key)
+                if held > _HELD:
+                    yield packed(found)
+                    found, held, seen = [], 0, seen[:0]
+        if held:
+            yield packed(found)
+
+    return mapped(docs.select("text"), run, "part int, one binary, two binary")
+
+
+def shared_runs(table: DataFrame, parts: int) -> DataFrame:
+    """Of `run_table`, what lines meet on: (part, kind, one, two), lines and keys that two or more lines have, by parts of the lines."""
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, ids = np.concatenate([unsqueezed(x) for x in pdf["one"]]), np.frombuffer(b"".join(pdf["two"]), dtype=np.int64)
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        same = key[1:] == key[:-1]
+        some = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        order = some[np.lexsort((ids[some], key[some]))]
+        key, ids = key[order], ids[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, ids = key[new], ids[new]
+        same = key[1:] == key[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, dtype=bool)
+        key, ids = key[some], ids[some]
+        return pd.DataFrame([(p, _RUNS, ids[at].tobytes(), squeezed(key[at])) for p, at in dealt(ids, parts)], columns=["part", "kind", "one", "two"])
+
+    return by_group(table, ["part"], several, "part int, kind int, one binary, two binary")
+
+
+def dealt_classes(classes: DataFrame, parts: int) -> DataFrame:
+    """(part, kind, one, two) of classes(id, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, of = (batch.column(c).to_numpy() for c in ("id", "component"))
+            rows = [(p, ids[at].tobytes(), of[at].tobytes()) for p, at in dealt(ids, parts)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([_CLASSES] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "kind", "one", "two"])
+
+    return mapped(classes.select("id", "component"), run, "part int, kind int, one binary, two binary")
+
+
+def met_lines(known_of: DataFrame, parts: int) -> DataFrame:
+    """(part, met, sketch, class) by parts of the keys: lines on the runs that they share, with lengths and sketches.
+
+    known_of(part, kind, one, two), by parts of the lines. Where classes are given, only lines that have one are taken.
+    """
+
+    def attached(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        kind = pdf["kind"].to_numpy()
+        rows = {k: pdf[kind == k] for k in (_LINES, _RUNS, _CLASSES)}
+        if not len(rows[_RUNS]):
+            return None
+        own = np.frombuffer(b"".join(rows[_LINES]["one"]), dtype=_LINE)
+        lanes = np.frombuffer(b"".join(rows[_LINES]["two"]), dtype=np.uint64)
+        size = 1 << level_of(own["n"])
+        start = np.cumsum(size) - size
+        names, at = np.unique(own["id"], return_index=True)
+        ids = np.frombuffer(b"".join(rows[_RUNS]["one"]), dtype=np.int64)
+        key = np.concatenate([unsqueezed(x) for x in rows[_RUNS]["two"]])
+        of = None
+        if len(rows[_CLASSES]):
+            have = np.frombuffer(b"".join(rows[_CLASSES]["one"]), dtype=np.int64)
+            component = np.frombuffer(b"".join(rows[_CLASSES]["two"]), dtype=np.int64)
+            order = np.argsort(have)
+            have, component = have[order], component[order]
+            place = np.minimum(np.searchsorted(have, ids), len(have) - 1)
+            some = have[place] == ids
+            ids, key, of = ids[some], key[some], component[place[some]]
+        at = at[np.searchsorted(names, ids)]
+        met = np.zeros(len(ids), dtype=_MET)
+        met["key"], met["id"], met["n"] = key, ids, own["n"][at]
+        out = [(p, met[x].tobytes(), taken(lanes, start[at[x]], size[at[x]]).tobytes(), of[x].tobytes() if of is not None else b"") for p, x in dealt(key, parts)]
+        return pd.DataFrame(out, columns=["part", "met", "sketch", "class"])
+
+    return by_group(known_of, ["part"], attached, "part int, met binary, sketch binary, class binary")
+
+
 def near_lines(met: DataFrame) -> DataFrame:
-    """Edges (a, b) between hashes of lines, of met(part, met, sketch), that connect the pairs found, and some others."""
+    """Pairs (a, b) of hashes of lines, a < b, of met(part, met, sketch, class), that share a run and are not ruled out.
+
+    Without classes, of each part as many as connect all that such pairs connect; with classes, all pairs of two classes.
+    """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _meet(np.frombuffer(b"".join(pdf["met"]), dtype=_MET), np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64))
+        of = np.frombuffer(b"".join(pdf["class"]), dtype=np.int64)
+        return _meet(np.frombuffer(b"".join(pdf["met"]), dtype=_MET), np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64), of if len(of) else None)
 
-    return by_group(met, ["part"], meet, "a long, b long")
+    return by_group(met, ["part"], meet, "a long, b long").distinct()
 
 
 class Sketches:
@@ -290,40 +425,58 @@ class Sketches:
         return out
 
 
-def _meet(met: np.ndarray, lanes: np.ndarray) -> pd.DataFrame:
-    """Of lines that meet on keys: a star for each set that pairs of one key, not ruled out, connect."""
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of edges (i, j) of n nodes, from the best on: the places of those of the best spanning forest."""
+    chosen, root, left = np.zeros(len(i), dtype=bool), np.arange(n), np.arange(len(i))
+    while len(left := left[root[i[left]] != root[j[left]]]):
+        best = np.full(n, len(i))
+        np.minimum.at(best, root[i[left]], left)
+        np.minimum.at(best, root[j[left]], left)
+        chosen[best[best < len(i)]] = True
+        root = local_roots(n, i[chosen], j[chosen])
+    return np.flatnonzero(chosen)
+
+
+def _meet(met: np.ndarray, lanes: np.ndarray, classes: np.ndarray | None = None) -> pd.DataFrame:
+    """Of lines that meet on keys, the pairs of one key that are not ruled out: a spanning forest, the closest first, or all of two classes."""
     size = 1 << level_of(met["n"])
     start = np.cumsum(size) - size
     order = np.lexsort((met["id"], met["n"], met["key"]))
     met, start = met[order], start[order]
-    new = np.ones(len(met), dtype=bool)
-    new[1:] = (met["key"][1:] != met["key"][:-1]) | (met["id"][1:] != met["id"][:-1])
-    met, start = met[new], start[new]
-    alone = np.ones(len(met) + 1, dtype=bool)
-    alone[1:-1] = met["key"][1:] != met["key"][:-1]
-    some = ~(alone[:-1] & alone[1:])
-    met, start = met[some], start[some]
+    ids, line = np.unique(met["id"], return_inverse=True)
+    of = classes[order] if classes is not None else None
     key, n = np.ascontiguousarray(met["key"]), met["n"].astype(np.int64)
     sketches = Sketches(lanes, start, level_of(n))
-    ids, line = np.unique(met["id"], return_inverse=True)
-    at, step, left, right, held = np.arange(len(met)), 0, [], [], 0
+    pairs, held = [np.zeros((3, 0), dtype=np.int64)], 0
+
+    def fewer() -> np.ndarray:
+        differ, i, j = np.concatenate(pairs, axis=1)
+        both = i * len(ids) + j
+        _, first = np.unique(both, return_index=True)
+        differ, i, j = differ[first], i[first], j[first]
+        if of is None:  # all parts take the same of equally close pairs
+            tie = mix(ids[i].view(np.uint64) ^ mix(ids[j].view(np.uint64)))
+            best = np.lexsort((tie, differ))
+            some = best[forest(len(ids), i[best], j[best])]
+            differ, i, j = differ[some], i[some], j[some]
+        return np.stack([differ, i, j])
+
+    at, step = np.arange(len(met)), 0
     while len(at):
         step += 1
         at = at[at + step < len(key)]
         at = at[(key[at] == key[at + step]) & (n[at] >= SIMILARITY * n[at + step])]  # sorted: further ones are longer still
-        close = sketches.differ(at, at + step) <= 2 * edits(n[at + step]) - (n[at + step] - n[at])
-        left.append(line[at[close]])
-        right.append(line[at[close] + step])
-        held += len(left[-1])
-        if held > 2 * len(ids) + 1_000_000:  # no more pairs are kept than connect what they connect
-            root = local_roots(len(ids), np.concatenate(left), np.concatenate(right))
-            some = np.flatnonzero(root != np.arange(len(ids)))
-            left, right, held = [root[some]], [some], len(some)
-    if not held:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    root = local_roots(len(ids), np.concatenate(left), np.concatenate(right))
-    some = root != np.arange(len(ids))
-    return pd.DataFrame({"a": ids[root[some]], "b": ids[some]})
+        now = at if of is None else at[of[at] != of[at + step]]
+        differ = sketches.differ(now, now + step)
+        close = differ <= 2 * edits(n[now + step]) - (n[now + step] - n[now])
+        i, j = line[now[close]], line[now[close] + step]
+        pairs.append(np.stack([differ[close], np.minimum(i, j), np.maximum(i, j)]))
+        held += len(i)
+        if held > 2 * len(ids) + 1_000_000:
+            pairs = [fewer()]
+            held = pairs[0].shape[1] if of is None else 0
+    _, i, j = fewer()
+    return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -365,61 +518,78 @@ def similar(a: np.ndarray | list, b: np.ndarray | list, least: float = SIMILARIT
 
 
 def verified(pdf: pd.DataFrame) -> pd.DataFrame | None:
-    """Of the lines of some groups, each of one or two blocks: a star for each set that similar pairs connect."""
-    side, group = pdf["_side"].tolist(), pdf[["component", "_i", "_j"]].to_numpy()
+    """Of groups of lines (a, slot), those that are similar to the line a."""
+    centre, ids, group = pdf["a"].to_numpy(), pdf["id"].to_numpy(), pdf[["a", "slot"]].to_numpy()
     w = Words(pdf["norm"].tolist())
-    n, parity = np.diff(w.first), parities(w.hash, w.first[:-1], w.first[1:], 4)
-    begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)])).tolist()
-    root = list(range(len(pdf)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for s, e in zip(begin, [*begin[1:], len(pdf)], strict=True):
-        two = 1 in side[s:e]
-        for i in range(s, e - 1):
-            near = np.flatnonzero(possible(n[i + 1 : e], parity[i + 1 : e], n[i], parity[i])) + i + 1
-            for j in near.tolist():
-                if two and side[i] == side[j]:
-                    continue
-                a, b = find(i), find(j)
-                if a != b and similar(w.hash[w.first[i] : w.first[i + 1]], w.hash[w.first[j] : w.first[j + 1]]):
-                    root[max(a, b)] = min(a, b)
-    ids = pdf["id"].to_numpy()
-    rows = [(ids[r], ids[i]) for i in range(len(pdf)) if (r := find(i)) != i]
-    return pd.DataFrame(rows, columns=["a", "b"]) if rows else None
+    n, parity, first = np.diff(w.first), parities(w.hash, w.first[:-1], w.first[1:], 4), w.first.tolist()
+    begin = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+    one = np.repeat(np.flatnonzero(ids == centre), np.diff(np.append(begin, len(pdf))))  # each group has its centre
+    may = np.flatnonzero((ids != centre) & possible(n, parity, n[one], parity[one]))
+    near = [i for i, c in zip(may.tolist(), one[may].tolist(), strict=True) if similar(w.hash[first[c] : first[c + 1]], w.hash[first[i] : first[i + 1]])]
+    return pd.DataFrame({"a": centre[near], "b": ids[near]}) if near else None
+
+
+def similar_pairs(pairs: DataFrame, brought: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose lines brought(id, norm) are similar. A line that many others met goes to as many tasks as blocks of them."""
+    slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_LINES)).cast("int").alias("slots"))
+    sent = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("id"))
+    # a slot that got no line has its centre alone
+    sent = sent.unionByName(slots.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("id")))
+    return by_groups(sent.join(brought, "id").select("a", "slot", "id", "norm"), ["a", "slot"], verified, "a long, b long", ["id"])
+
+
+def line_classes(docs: DataFrame, lines: DataFrame, table: DataFrame, parts: int) -> DataFrame:
+    """(id, component): the connected groups of similar lines.
+
+    First only as many of the pairs that met are verified as connect them all; then all pairs of lines that are not
+    connected by similar ones yet. So a group of lines that are all alike is work linear in its lines.
+    """
+    own = table.filter("part is not null").select("part", F.lit(_LINES).alias("kind"), "one", "two")
+    runs = written(shared_runs(run_table(docs, parts), parts), "shared-runs")
+    pairs = written(near_lines(met_lines(own.unionByName(runs), parts)), "near-lines")
+    wanted = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted-lines")
+    brought = written(_cut_lines(docs, lines, wanted), "cut-lines")
+    near = written(similar_pairs(pairs, brought), "similar-lines")
+    groups = written(components(near), "line-groups")
+    # every line that met a similar one may do: those without a group are one by themselves
+    every = wanted.join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    others = written(near_lines(met_lines(own.unionByName(runs).unionByName(dealt_classes(every, parts)), parts)), "near-lines")
+    rest = written(similar_pairs(others.join(pairs, ["a", "b"], "left_anti"), brought), "similar-lines")
+    classes = groups if rest.isEmpty() else written(components(near.unionByName(rest)), "line-classes")
+    for t in (runs, pairs, wanted, brought, others):
+        discarded(t)
+    return classes
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(_id, _unknown, text_hash, lines): numbers of the lines that go, of each document of docs(doc_id, text) that loses some."""
-    table = written(line_table(docs), "lines")
-    lines = table.filter("part is null").drop("part", "met", "sketch")
-    groups = written(components(near_lines(table.filter("part is not null").select("part", "met", "sketch"))), "line-groups")
-    place = F.struct("_unknown", "_id", "text_hash", "line")
-    some = lines.join(groups, F.col("hash") == F.col("id")).groupBy("hash").agg(F.min(place).alias("place"), F.first("component").alias("component"))
-    classes = written(components(_verified_edges(docs, written(some, "wanted-lines"))), "line-classes")
-    unique = lines.groupBy("hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
-    named = unique.join(classes, F.col("hash") == F.col("id"), "left").filter("n > 1 or id is not null")
-    named = written(named.select("hash", F.coalesce("component", "hash").alias("class"), "place", "n"), "copied-lines")
-    first = named.groupBy("class").agg(F.min("place").alias("first"), F.sum("n").alias("all")).filter("all > 1")
-    kept = named.select("hash", "class").join(first, "class").select(F.col("hash").alias("k"), "first")
-    going = lines.join(kept, F.col("hash") == F.col("k")).filter(place != F.col("first"))
-    gone = written(going.groupBy("_id", "_unknown", "text_hash").agg(F.collect_set("line").alias("lines")), "removed-lines")
-    for t in (table, groups, classes, named):
+    with shuffles_dropped(docs.sparkSession):
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(1, -(-chars // (RUN_CHARS * PART_RUNS)))
+        table = written(line_table(docs, parts), "lines")
+        lines = table.filter("part is null").drop("part", "one", "two")
+        classes = line_classes(docs, lines, table, parts)
+        place = F.struct("_unknown", "_id", "text_hash", "line")
+        unique = lines.groupBy("hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+        named = unique.join(classes, F.col("hash") == F.col("id"), "left").filter("n > 1 or id is not null")
+        named = written(named.select("hash", F.coalesce("component", "hash").alias("class"), "place", "n"), "copied-lines")
+        first = named.groupBy("class").agg(F.min("place").alias("first"), F.sum("n").alias("all")).filter("all > 1")
+        kept = named.select("hash", "class").join(first, "class").select(F.col("hash").alias("k"), "first")
+        going = lines.join(kept, F.col("hash") == F.col("k")).filter(place != F.col("first"))
+        gone = written(going.groupBy("_id", "_unknown", "text_hash").agg(F.collect_set("line").alias("lines")), "removed-lines")
+    for t in (table, classes, named):
         discarded(t)
     return gone
 
 
-def _verified_edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stars of similar lines among wanted(hash, place, component).
+def _cut_lines(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, norm): the normalised lines of wanted(id), each once.
 
     The lines are cut out where the texts lie: filters of bounded size tell which texts hold wanted lines and
     which of their lines these are, so only lines move, not texts.
     """
-    texts, hashes = Members(wanted.select(F.xxhash64("place._id", "place.text_hash").alias("k")), "k"), Members(wanted, "hash")
+    places = lines.join(wanted, F.col("hash") == F.col("id"), "left_semi").groupBy("hash").agg(F.min(F.struct("_id", "text_hash")).alias("place"))
+    texts, hashes = Members(places.select(F.xxhash64("place._id", "place.text_hash").alias("k")), "k"), Members(wanted, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,8 +603,7 @@ def _verified_edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     keyed = docs.select("text", F.xxhash64(known("doc_id")[0], F.xxhash64("text")).alias("k"))
     found = mapped(keyed, cut, "id long, norm binary").dropDuplicates(["id"])
-    lines = found.join(wanted.select("hash", "component"), F.col("id") == F.col("hash")).drop("hash")
-    return by_groups(block_pairs(lines, "component", "id", BLOCK_LINES), ["component", "_i", "_j"], verified, "a long, b long", ["id"])
+    return found.join(wanted, "id", "left_semi")
 
 
 def without_copied_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -213,3 +213,25 @@ def test_no_similar_pair_of_long_lines_is_missed():
             own[i].add(k)
         missed += sum(not a & b for a, b in zip(own[::2], own[1::2], strict=True))
     assert missed == 0
+
+
+def test_work_is_linear_in_the_lines(spark):
+    """Runs of one line alone end at the first step; of lines that are all alike few pairs are verified; only pairs that met are."""
+    rng = random.Random(11)
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all alike
+    words = [f"word{i}".translate(letters) for i in range(5000)]
+    alone = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(20)]
+    alike = [" ".join([*base[:i], f"x{i}y{j}z".translate(letters), *base[i + 1 :]]) for i in range(20) for j in range(10)]
+    docs = spark.createDataFrame(list(enumerate([*alone, *alike])), "doc_id long, text string")
+    runs = lines.run_table(docs, 2).collect()
+    n = sum(len(r["two"]) // 8 for r in runs)
+    assert n > 300 * 9 and sum(len(r["one"]) + len(r["two"]) for r in runs) == 14 * n
+    shared = lines.shared_runs(lines.run_table(docs, 2), 2)
+    met = {x for r in shared.collect() for x in np.frombuffer(r["one"], dtype=np.int64).tolist()}
+    assert len(met) == len(alike)
+    own = lines.line_table(docs, 2).filter("part is not null").selectExpr("part", f"{lines._LINES} as kind", "one", "two")
+    pairs = [(r["a"], r["b"]) for r in lines.near_lines(lines.met_lines(own.unionByName(shared), 2)).collect()]
+    assert {x for p in pairs for x in p} == met and len(pairs) < 4 * len(alike)
+    gone = {r["doc_id"] for r in lines.without_copied_lines(docs).collect() if r["_lines_removed"]}
+    assert gone == set(range(301, 500))
