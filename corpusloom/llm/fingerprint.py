@@ -321,6 +321,54 @@ def bands(fingerprint: str) -> np.ndarray:
     return np.array(out, dtype=np.uint64).reshape(-1, 3).T.view(np.int64)
 
 
+_taken: dict[tuple, np.ndarray] = {}
+
+
+def _band_places(w: int, n: int) -> np.ndarray:
+    """Of n samples of walk w: those that each band takes, n where there are no more."""
+    if (w, n) not in _taken:
+        size = 2 * len(_PLACE)
+        own = [order[order < n][:size] for order in _ORDERS[w]]
+        _taken[w, n] = np.array([np.append(x, np.full(size - len(x), n)) for x in own], dtype=np.int64)
+    return _taken[w, n]
+
+
+def bands_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the fingerprint, table, key, more) of all `bands` of many fingerprints, those of one level and size at once."""
+    out = [np.zeros((4, 0), dtype=np.int64)]
+    for w in range(WALKS):
+        alike: dict[tuple[int, int], list[int]] = {}
+        parts = [x.split("-")[w].split(".") for x in prints]
+        for i, (level, samples) in enumerate(parts):
+            alike.setdefault((int(level, 16), len(samples)), []).append(i)
+        for (level, n), rows in alike.items():
+            for lo in range(0, len(rows) if n else 0, 2000):
+                at = np.array(rows[lo : lo + 2000])
+                own = _DIGIT[np.frombuffer("".join(parts[i][1] for i in at.tolist()).encode(), dtype=np.uint8)].reshape(len(at), n)
+                coarse = descend(np.arange(n // 2 + 1), level + 1, level).astype(np.int64)
+                for v, some in ((level, own), (level + 1, own[:, coarse[coarse < n]])):
+                    if not some.shape[1]:
+                        continue
+                    digits = np.concatenate([some, np.zeros((len(at), 1), dtype=np.uint64)], axis=1)[:, _band_places(w, some.shape[1])]
+                    key, more = ((digits[:, :, h] * _PLACE).sum(axis=2, dtype=np.uint64).view(np.int64) for h in (slice(0, len(_PLACE)), slice(len(_PLACE), None)))
+                    table = np.broadcast_to((v * WALKS + w) * BANDS + np.arange(BANDS), key.shape)
+                    out.append(np.stack([np.repeat(at, BANDS), table.ravel(), key.ravel(), more.ravel()]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def banded(prints: DataFrame) -> DataFrame:
+    """(table, key, more, id, class) of prints(id, fingerprint, class), by the parts of a table that share its first `BAND` samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, table, key, more = bands_of(batch.column("fingerprint").to_pylist())
+            of = pa.array(of)
+            yield pa.record_batch([pa.array(table.astype(np.int32)), pa.array(key), pa.array(more), batch.column("id").take(of), batch.column("class").take(of)], names=["table", "key", "more", "id", "class"])
+
+    each = mapped(prints.select("id", "fingerprint", "class"), run, "table int, key long, more long, id long, class long")
+    return each.repartition(max(1, partitions(prints.sparkSession)), "table", F.shiftright("key", 64 - 4 * BAND))
+
+
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """On how many of their 16 samples each pair of integers agrees."""
     differ = (x ^ y).view(np.uint64)
@@ -336,13 +384,6 @@ def met_pairs(prints: DataFrame) -> DataFrame:
     neighbours agree on more samples.
     """
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [bands(x) for x in batch.column("fingerprint").to_pylist()]
-            of = np.repeat(np.arange(len(found)), [x.shape[1] for x in found])
-            table, key, more = np.concatenate([*found, np.zeros((3, 0), dtype=np.int64)], axis=1)
-            yield pa.record_batch([pa.array(table.astype(np.int32)), pa.array(key), pa.array(more), batch.column("id").take(pa.array(of))], names=["table", "key", "more", "id"])
-
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=np.int64)] * 4
         for batch in batches:
@@ -357,11 +398,57 @@ def met_pairs(prints: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             held = [x[-NEIGHBOURS:] for x in (table, key, more, ids)]
 
-    each = mapped(prints.select("id", "fingerprint"), banded, "table int, key long, more long, id long")
-    placed = each.repartition(max(1, partitions(prints.sparkSession)), "table", F.shiftright("key", 64 - 4 * BAND)).sortWithinPartitions("table", "key", "id")
+    placed = banded(prints.withColumn("class", F.lit(0).cast("long"))).drop("class").sortWithinPartitions("table", "key", "id")
     return mapped(placed, neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
+def pairs_apart(prints: DataFrame) -> DataFrame:
+    """(a, b, times): all ids of prints(id, fingerprint, class) of two classes that agree on a table's first samples and on `AGREE`.
+
+    No text's partners are limited: what `met_pairs` leaves out, since nearer neighbours stood between, is here. Texts
+    of one class are not compared, so a large group of near copies costs no pairs once it is connected.
+    """
+
+    def compared(table: np.ndarray, prefix: np.ndarray, key: np.ndarray, more: np.ndarray, ids: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = (table[1:] != table[:-1]) | (prefix[1:] != prefix[:-1])
+        ends = np.append(np.flatnonzero(new) + 1, len(ids))
+        class_ends = np.append(np.flatnonzero(new | (of[1:] != of[:-1])) + 1, len(ids))
+        at = np.arange(len(ids))
+        stop, other = ends[np.searchsorted(ends, at, side="right")], class_ends[np.searchsorted(class_ends, at, side="right")]
+        while len(at):
+            some = other < stop
+            at, other, stop = at[some], other[some], stop[some]
+            near = agreeing(key[at], key[other]) + agreeing(more[at], more[other]) >= AGREE
+            if near.any():
+                x, y = ids[at[near]], ids[other[near]]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            other = other + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 6
+        names, size, wanted = ("table", "prefix", "key", "more", "id", "class"), 0, 0
+        waiting: list[list[np.ndarray]] = []
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+            waiting = []
+            new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            cut = int(new[-1]) if len(new) else 0
+            if cut:
+                yield from compared(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+            size, wanted = len(held[0]), 2 * len(held[0])
+        held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+        if len(held[0]):
+            yield from compared(*held)
+
+    placed = banded(prints).withColumn("prefix", F.shiftright("key", 64 - 4 * BAND)).sortWithinPartitions("table", "prefix", "class", "id")
+    return mapped(placed, run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+
+
 def grams_shared(a: np.ndarray, b: np.ndarray, most: int, q: int) -> bool:
     """Whether two texts share the q-grams that any two within `most` edits share."""
     need = max(len(a), len(b)) - q + 1 - most * q
@@ -441,38 +528,54 @@ def text_codes(text: str) -> np.ndarray:
 def near_classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component) of the near copies among texts(id, text), fingerprinted in prints(id, fingerprint): the smallest id of each group.
 
-    Of the texts that met, pairs are near within `EDITS` edits a character of the longer text. Every pair is compared,
-    unless others connect it already: of each text first the pair that met most often, then twice as many each round. A
-    text that many others met goes to as many tasks as blocks of them, so groups of any size are linear work.
+    Pairs are near within `EDITS` edits a character of the longer text. First each text is compared with the one it met
+    most often among its neighbours in the tables of bands; then all pairs that agree on a band and are not connected yet,
+    of each text first the pair that met most often, then twice as many each round. So groups of any size are linear work
+    where their texts connect, and no pair of a band is left out where they do not.
     """
-    left = written(met_pairs(prints), "met")
-    met = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-    members = Members(met, "id")
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(members.have(batch.column("id").to_numpy()), pa.bool_()))
-
-    some = mapped(texts.select("id", "text"), wanted, "id long, text string").join(met, "id", "left_semi")
-    brought = written(some.groupBy("id").agg(F.first("text").alias("text")), "met-texts")
-    found, classes, k = None, None, 1
+    most = F.max_by("a", F.struct("times", -F.col("a")))
+    pairs = written(met_pairs(prints).groupBy("b").agg(most.alias("a")).select("a", "b"), "met")
+    found = written(_near_pairs(pairs, _brought(pairs, texts)), "near")
+    classes = written(components(found), "near-groups")
+    of = prints.join(classes.withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left").select("id", "fingerprint", F.coalesce("component", "id").alias("class"))
+    left, k = written(pairs_apart(of).join(pairs, ["a", "b"], "left_anti"), "met"), 1
+    brought = _brought(left, texts) if not left.isEmpty() else None
     while not left.isEmpty():
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
         ranked = left.withColumn("turn", turn)
-        now = ranked.filter(F.col("turn") <= k).select("a", "b")
-        slots = now.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)).cast("int").alias("slots"))
-        sent = now.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("id"))
-        sent = sent.unionByName(slots.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("id")))
-        close = written(by_groups(sent.join(brought, "id").select("a", "slot", "id", "text"), ["a", "slot"], _near_centre, "a long, b long", ["id"], 200), "near")
-        found = close if found is None else found.unionByName(close)
-        classes = written(components(found), "near-groups")
+        close = written(_near_pairs(ranked.filter(F.col("turn") <= k).select("a", "b"), brought), "near")
+        if not close.isEmpty():
+            found = found.unionByName(close)
+            classes = written(components(found), "near-groups")
         of = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"{side}_class"))
         rest = ranked.filter(F.col("turn") > k).drop("turn").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = F.coalesce("a_class", "a") != F.coalesce("b_class", "b")
         before, left, k = left, written(rest.filter(apart).select("a", "b", "times"), "met"), 2 * k
         discarded(before)
-    discarded(brought)
-    return classes if classes is not None else left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if brought is not None:
+        discarded(brought)
+    return classes
+
+
+def _brought(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of texts(id, text) that pairs(a, b) name, each once."""
+    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    members = Members(met, "id")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(members.have(batch.column("id").to_numpy()), pa.bool_()))
+
+    some = mapped(texts.select("id", "text"), wanted, "id long, text string").join(met, "id", "left_semi")
+    return written(some.groupBy("id").agg(F.first("text").alias("text")), "met-texts")
+
+
+def _near_pairs(pairs: DataFrame, brought: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose texts are near. A text that many others met goes to as many tasks as blocks of them."""
+    slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)).cast("int").alias("slots"))
+    sent = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("id"))
+    sent = sent.unionByName(slots.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("id")))
+    return by_groups(sent.join(brought, "id").select("a", "slot", "id", "text"), ["a", "slot"], _near_centre, "a long, b long", ["id"], 200)
 
 
 def _near_centre(pdf: pd.DataFrame) -> pd.DataFrame | None:

@@ -192,3 +192,25 @@ def test_walk_character_by_character():
                 step += 1
                 gone.append(step)
             assert left[b : b + n].tolist() == gone
+
+
+def test_partners_beyond_the_nearest_neighbours_are_compared(spark):
+    """Many texts lie between two near copies in every table of bands: the pair is found all the same, and no pair inside a class."""
+    rng = np.random.default_rng(5)
+    one = "1." + "".join(rng.choice(list("0123456789abcdef"), 120))
+    rows = [(i, f"{one}-{one}") for i in range(40)]
+    texts = ["".join(rng.choice(list("abcdefghij"), 400)) for _ in rows]
+    texts[39] = "x" + texts[0][1:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = fingerprint.near_classes(spark.createDataFrame(rows, "id long, fingerprint string"), docs).collect()
+    assert {(r["id"], r["component"]) for r in found} == {(0, 0), (39, 0)}
+    classed = spark.createDataFrame([(i, f, i // 10) for i, f in rows], "id long, fingerprint string, class long")
+    pairs = {(r["a"], r["b"]) for r in fingerprint.pairs_apart(classed).collect()}
+    assert pairs == {(a, b) for b in range(40) for a in range(b) if a // 10 != b // 10}
+
+
+def test_bands_of_many_are_those_of_each():
+    prints = fingerprint.fingerprints(["", "a", "ab", "abc" * 50, "some words " * 400, "x" * 333])[0]
+    of, *rest = fingerprint.bands_of(prints)
+    got = sorted(zip(of.tolist(), *(x.tolist() for x in rest), strict=True))
+    assert got == sorted((i, *x) for i, p in enumerate(prints) for x in zip(*fingerprint.bands(p).tolist(), strict=True))
