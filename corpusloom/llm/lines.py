@@ -7,8 +7,8 @@ others on its first ones: on all that the similarity takes (the q-gram lemma), s
 many edits it has. (`MEET`, where a caller sets it, stops at so many runs and misses some pairs.) The order puts runs that are frequent in a sample last. (A SimHash
 of 64 bits cannot tell these pairs: see the README for its measured recall.) Of runs only keys and lines move at first; those
 that one line has alone, most of them, go before lengths and sketches join. Lines that meet are a pair unless their
-lengths or the parities of their words' counts rule the similarity out; the edit similarity of the words is verified for
-pairs that connect all that met, then for all pairs that are not connected yet. Of each connected group of lines the first occurrence (by doc_id, text hash, line) stays and
+lengths or the parities of their words, occurrences told apart, rule the similarity out; the edit similarity of the words
+is verified for pairs that connect all that met, then for all pairs that are not connected yet. Of each connected group of lines the first occurrence (by doc_id, text hash, line) stays and
 the others are removed.
 
 Defined edge cases: a null text has no lines; lines without a word stay; lines too short for an edit are alike only to
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, clean_text, discarded, free_memory, id_again, known, mapped, mix, powers, shuffles_dropped, text_blocks, whole_row, window_hashes, written
@@ -34,6 +34,8 @@ SIMILARITY, GRAM = 0.85, 3
 #: Runs that a line meets others on at most; None: as many as the lemma takes, however long the line.
 MEET: int | None = None
 BLOCK_LINES = 1000
+#: Levels by which the sketches of lines that met are finer than those that find who meets.
+FINE = 2
 #: Runs of words that meet in one part, on average about, and characters that have one such run.
 PART_RUNS, RUN_CHARS = 500_000, 12
 #: Frequent runs that the order puts last at most, and the part of the texts that is asked for them.
@@ -71,15 +73,32 @@ def lines_of(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return w, doc, row[first] - np.searchsorted(feeds, w.text_start[doc]), first, last
 
 
+def numbered(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of words, those that a row has had before told apart by how often: the same bag for words in any order."""
+    both = mix(word + row.astype(np.uint64) * np.uint64(_LINE_BASE))
+    order = np.argsort(both)
+    both = both[order]
+    at = np.arange(len(both))
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
+    before = at - np.maximum.accumulate(np.where(new, at, 0))
+    again = np.flatnonzero(before)
+    out = word.copy()
+    out[order[again]] = mix(word[order[again]] + before[again].astype(np.uint64) * np.uint64(_LINE_BASE))
+    return out
+
+
 def parities(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, lanes: int) -> np.ndarray:
     """A row of 64 * lanes bits of each run of word hashes: whether the words of a bucket are odd in number.
 
-    A word put in, left out or exchanged changes one bit, one, or two at most. Of 2 * lanes lanes, lane i and lane
-    i + lanes together give lane i of so many lanes.
+    A word's first, second, ... occurrence in a line are different words, so that lines of few words, often repeated,
+    fill as many buckets as others. A word put in, left out or exchanged changes one bit, one, or two at most (of a
+    word it is the last occurrence that comes or goes). Of 2 * lanes lanes, lane i and lane i + lanes together give
+    lane i of so many lanes.
     """
     n, bits = last - first, 64 * lanes
     row = np.repeat(np.arange(len(n)), n)
-    word = hashes[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    word = numbered(row, hashes[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)])
     bit = (word >> np.uint64(58)) + np.uint64(64) * (word % np.uint64(lanes))
     odd = np.bincount(row * bits + bit.astype(np.int64), minlength=len(n) * bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, lanes)
@@ -90,9 +109,9 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
 
 
-def sketched(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes of all lines one after the other, where each line's begin, with one more entry)."""
-    level = level_of(last - first)
+def sketched(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, fine: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes of all lines one after the other, where each line's begin, with one more entry); 2^fine times as many as the level has."""
+    level = level_of(last - first) + fine
     start = np.concatenate([[0], np.cumsum(1 << level)]).astype(np.int64)
     out = np.zeros(start[-1], dtype=np.uint64)
     for v in np.unique(level).tolist():
@@ -354,26 +373,43 @@ def dealt_classes(classes: DataFrame, parts: int) -> DataFrame:
     return mapped(classes.select("id", "component"), run, "part int, kind int, one binary, two binary")
 
 
-def met_lines(known_of: DataFrame, parts: int) -> DataFrame:
+def fine_lines(brought: DataFrame, parts: int) -> DataFrame:
+    """(part, kind, one, two) of the lines brought(id, norm), with sketches of `FINE` levels more than `line_table` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, norms in text_blocks(batch, "norm", _BLOCK):
+                w = Words(norms)
+                own = np.zeros(len(norms), dtype=_LINE)
+                own["id"], own["n"] = some.column("id").to_numpy(), np.diff(w.first)
+                lanes, start = sketched(w.hash, w.first[:-1], w.first[1:], FINE)
+                rows = [(p, own[at].tobytes(), taken(lanes, start[at], np.diff(start)[at]).tobytes()) for p, at in dealt(np.ascontiguousarray(own["id"]), parts)]
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([_LINES] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "kind", "one", "two"])
+
+    return mapped(brought.select("id", "norm"), run, "part int, kind int, one binary, two binary")
+
+
+def met_lines(known_of: DataFrame, parts: int, classed: bool = False) -> DataFrame:
     """(part, met, sketch, class) by parts of the keys: lines on the runs that they share, with lengths and sketches.
 
-    known_of(part, kind, one, two), by parts of the lines. Where classes are given, only lines that have one are taken.
+    known_of(part, kind, one, two), by parts of the lines. With classes, only lines that have one are taken; their
+    sketches are those of `fine_lines`.
     """
 
     def attached(pdf: pd.DataFrame) -> pd.DataFrame | None:
         kind = pdf["kind"].to_numpy()
         rows = {k: pdf[kind == k] for k in (_LINES, _RUNS, _CLASSES)}
-        if not len(rows[_RUNS]):
+        if not len(rows[_RUNS]) or classed and not len(rows[_CLASSES]):
             return None
         own = np.frombuffer(b"".join(rows[_LINES]["one"]), dtype=_LINE)
         lanes = np.frombuffer(b"".join(rows[_LINES]["two"]), dtype=np.uint64)
-        size = 1 << level_of(own["n"])
+        size = 1 << level_of(own["n"]) + FINE * classed
         start = np.cumsum(size) - size
         names, at = np.unique(own["id"], return_index=True)
         ids = np.frombuffer(b"".join(rows[_RUNS]["one"]), dtype=np.int64)
         key = np.concatenate([unsqueezed(x) for x in rows[_RUNS]["two"]])
         of = None
-        if len(rows[_CLASSES]):
+        if classed:
             have = np.frombuffer(b"".join(rows[_CLASSES]["one"]), dtype=np.int64)
             component = np.frombuffer(b"".join(rows[_CLASSES]["two"]), dtype=np.int64)
             order = np.argsort(have)
@@ -390,17 +426,18 @@ def met_lines(known_of: DataFrame, parts: int) -> DataFrame:
     return by_group(known_of, ["part"], attached, "part int, met binary, sketch binary, class binary")
 
 
-def near_lines(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hashes of lines, a < b, of met(part, met, sketch, class), that share a run and are not ruled out.
+def near_lines(met: DataFrame, classed: bool = False) -> DataFrame:
+    """Pairs (a, b, differ) of hashes of lines, a < b, of met(part, met, sketch, class), that share a run and are not ruled out.
 
     Without classes, of each part as many as connect all that such pairs connect; with classes, all pairs of two classes.
+    differ: in how many bits of their sketches they do.
     """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         of = np.frombuffer(b"".join(pdf["class"]), dtype=np.int64)
-        return _meet(np.frombuffer(b"".join(pdf["met"]), dtype=_MET), np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64), of if len(of) else None)
+        return _meet(np.frombuffer(b"".join(pdf["met"]), dtype=_MET), np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64), of if classed else None)
 
-    return by_group(met, ["part"], meet, "a long, b long").distinct()
+    return by_group(met, ["part"], meet, "a long, b long, differ int").distinct()
 
 
 class Sketches:
@@ -439,14 +476,18 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _meet(met: np.ndarray, lanes: np.ndarray, classes: np.ndarray | None = None) -> pd.DataFrame:
     """Of lines that meet on keys, the pairs of one key that are not ruled out: a spanning forest, the closest first, or all of two classes."""
-    size = 1 << level_of(met["n"])
+    fine = FINE if classes is not None else 0
+    size = 1 << level_of(met["n"]) + fine
     start = np.cumsum(size) - size
     order = np.lexsort((met["id"], met["n"], met["key"]))
     met, start = met[order], start[order]
     ids, line = np.unique(met["id"], return_inverse=True)
     of = classes[order] if classes is not None else None
     key, n = np.ascontiguousarray(met["key"]), met["n"].astype(np.int64)
-    sketches = Sketches(lanes, start, level_of(n))
+    lengths = np.zeros(len(ids), dtype=np.int64)
+    lengths[line] = n
+    sketches = Sketches(lanes, start, level_of(n) + fine)
+    root = np.arange(len(ids)) if of is None else np.unique(of, return_inverse=True)[1]  # of a line, or of an entry's class
     pairs, held = [np.zeros((3, 0), dtype=np.int64)], 0
 
     def fewer() -> np.ndarray:
@@ -466,7 +507,15 @@ def _meet(met: np.ndarray, lanes: np.ndarray, classes: np.ndarray | None = None)
         step += 1
         at = at[at + step < len(key)]
         at = at[(key[at] == key[at + step]) & (n[at] >= SIMILARITY * n[at + step])]  # sorted: further ones are longer still
-        now = at if of is None else at[of[at] != of[at + step]]
+        if of is None and step >= 8 and step & (step - 1) == 0:
+            # lines that much closer ones connect here need no more comparisons: what fails of those is left to the classes
+            differ, i, j = np.concatenate(pairs, axis=1)
+            pairs = [np.stack([differ, i, j])]
+            most, least = np.maximum(lengths[i], lengths[j]), np.minimum(lengths[i], lengths[j])
+            sure = 4 * differ <= 3 * (2 * edits(most) - (most - least))
+            root = local_roots(len(ids), i[sure], j[sure])
+        of_line = root if of is not None else root[line]
+        now = at[of_line[at] != of_line[at + step]]
         differ = sketches.differ(now, now + step)
         close = differ <= 2 * edits(n[now + step]) - (n[now + step] - n[now])
         i, j = line[now[close]], line[now[close] + step]
@@ -475,8 +524,8 @@ def _meet(met: np.ndarray, lanes: np.ndarray, classes: np.ndarray | None = None)
         if held > 2 * len(ids) + 1_000_000:
             pairs = [fewer()]
             held = pairs[0].shape[1] if of is None else 0
-    _, i, j = fewer()
-    return pd.DataFrame({"a": ids[i], "b": ids[j]})
+    differ, i, j = fewer()
+    return pd.DataFrame({"a": ids[i], "b": ids[j], "differ": differ.astype(np.int32)})
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -542,7 +591,9 @@ def line_classes(docs: DataFrame, lines: DataFrame, table: DataFrame, parts: int
     """(id, component): the connected groups of similar lines.
 
     First only as many of the pairs that met are verified as connect them all; then all pairs of lines that are not
-    connected by similar ones yet. So a group of lines that are all alike is work linear in its lines.
+    connected by similar ones yet, which finer sketches rule out more of. Where these are more than the lines, the
+    closest of each line come first, then four times as many each round, without those connected meanwhile. So a group
+    of lines that are all alike is work linear in its lines.
     """
     own = table.filter("part is not null").select("part", F.lit(_LINES).alias("kind"), "one", "two")
     runs = written(shared_runs(run_table(docs, parts), parts), "shared-runs")
@@ -553,10 +604,24 @@ def line_classes(docs: DataFrame, lines: DataFrame, table: DataFrame, parts: int
     groups = written(components(near), "line-groups")
     # every line that met a similar one may do: those without a group are one by themselves
     every = wanted.join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left").select("id", F.coalesce("component", "id").alias("component"))
-    others = written(near_lines(met_lines(own.unionByName(runs).unionByName(dealt_classes(every, parts)), parts)), "near-lines")
-    rest = written(similar_pairs(others.join(pairs, ["a", "b"], "left_anti"), brought), "similar-lines")
-    classes = groups if rest.isEmpty() else written(components(near.unionByName(rest)), "line-classes")
-    for t in (runs, pairs, wanted, brought, others):
+    fine = fine_lines(brought, parts)
+    met = met_lines(fine.unionByName(runs).unionByName(dealt_classes(every, parts)), parts, True)
+    left = written(near_lines(met, True).join(pairs, ["a", "b"], "left_anti"), "near-lines")
+    classes, few, k = groups, wanted.count(), 1
+    while n := left.count():
+        ranked = left.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy("differ", "a")) if n > few else F.lit(0))
+        close = written(similar_pairs(ranked.filter(F.col("turn") <= k).select("a", "b"), brought), "similar-lines")
+        if not close.isEmpty():
+            near = near.unionByName(close)
+            classes = written(components(near), "line-classes")
+        if n <= few:
+            break
+        of = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"{side}_class"))
+        rest = ranked.filter(F.col("turn") > k).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = F.coalesce("a_class", "a") != F.coalesce("b_class", "b")
+        before, left, k = left, written(rest.filter(apart).select("a", "b", "differ"), "near-lines"), 4 * k
+        discarded(before)
+    for t in (runs, pairs, wanted, brought, left):
         discarded(t)
     return classes
 

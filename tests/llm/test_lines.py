@@ -235,3 +235,38 @@ def test_work_is_linear_in_the_lines(spark):
     assert {x for p in pairs for x in p} == met and len(pairs) < 4 * len(alike)
     gone = {r["doc_id"] for r in lines.without_copied_lines(docs).collect() if r["_lines_removed"]}
     assert gone == set(range(301, 500))
+
+
+def test_lines_of_few_words_are_told_apart():
+    """Lines of eight words, each repeated many times: their sketches rule them out, but not those a few edits away."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    runs = [[w for w in ["the", *rng.sample(words, 7)] for _ in range(rng.randrange(24, 28))] for _ in range(40)]
+    w = Words([" ".join(x) for x in runs])
+    n, p = np.diff(w.first), lines.parities(w.hash, w.first[:-1], w.first[1:], 4)
+    i, j = np.triu_indices(len(runs), 1)
+    assert not lines.possible(n[i], p[i], n[j], p[j]).any()
+    near = [x[:-9] if k % 2 else [*x[:100], *["odd"] * 20, *x[120:]] for k, x in enumerate(runs)]
+    w = Words([" ".join(x) for x in near])
+    m, q = np.diff(w.first), lines.parities(w.hash, w.first[:-1], w.first[1:], 4)
+    assert lines.possible(n, p, m, q).all()
+
+
+def test_lines_with_one_long_passage(spark):
+    """Heads of many lengths before one passage: few pairs are verified though all share most runs, and classes are those of all pairs."""
+    rng = random.Random(8)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    passage = [f"common{i}".translate(letters) for i in range(60)]
+    texts = [" ".join([*(f"own{k}of{i}".translate(letters) for k in range(rng.randrange(4, 22))), *passage]) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    split, pairs = [t.split() for t in texts], 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if lines.similar(*(np.array([hash(x) for x in split[k]]) for k in (i, j))):
+                pairs += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    found = lines.without_copied_lines(docs).select("doc_id", "_lines_removed").collect()
+    assert {r["doc_id"] for r in found if r["_lines_removed"]} == {i for i, r in enumerate(root) if r != i}
+    assert pairs > 2 * len(texts) and 1 < len(set(root)) < len(texts)
