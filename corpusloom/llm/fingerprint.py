@@ -40,10 +40,14 @@ _NARROW = 48
 _BLOCK = 2_000_000
 #: Near copies: most edits a character of the longer text; bands of a walk at a level, samples that neighbours share at least.
 EDITS, BANDS, BAND = 0.1, 16, 4
+#: Bands whose neighbours are compared first; all pairs of all bands follow where texts are in different classes.
+FIRST_BANDS = 4
 #: Texts before it, in the order of each table of bands, that a text meets if they agree on so many of the 32 samples
 #: carried along; two unrelated texts that agree on the first four do so with a probability of about 0.001.
 NEIGHBOURS, AGREE = 2, 11
 BLOCK_TEXTS = 128
+#: Code points of the runs that align two texts.
+ANCHOR = 12
 #: Up to so many characters the edit distance is computed whole.
 SHORT = 4_000
 
@@ -333,8 +337,8 @@ def _band_places(w: int, n: int) -> np.ndarray:
     return _taken[w, n]
 
 
-def bands_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the fingerprint, table, key, more) of all `bands` of many fingerprints, those of one level and size at once."""
+def bands_of(prints: list[str], count: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the fingerprint, table, key, more) of the first `bands` of each walk of many fingerprints, those of one level and size at once."""
     out = [np.zeros((4, 0), dtype=np.int64)]
     for w in range(WALKS):
         alike: dict[tuple[int, int], list[int]] = {}
@@ -349,23 +353,23 @@ def bands_of(prints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
                 for v, some in ((level, own), (level + 1, own[:, coarse[coarse < n]])):
                     if not some.shape[1]:
                         continue
-                    digits = np.concatenate([some, np.zeros((len(at), 1), dtype=np.uint64)], axis=1)[:, _band_places(w, some.shape[1])]
+                    digits = np.concatenate([some, np.zeros((len(at), 1), dtype=np.uint64)], axis=1)[:, _band_places(w, some.shape[1])[:count]]
                     key, more = ((digits[:, :, h] * _PLACE).sum(axis=2, dtype=np.uint64).view(np.int64) for h in (slice(0, len(_PLACE)), slice(len(_PLACE), None)))
-                    table = np.broadcast_to((v * WALKS + w) * BANDS + np.arange(BANDS), key.shape)
-                    out.append(np.stack([np.repeat(at, BANDS), table.ravel(), key.ravel(), more.ravel()]))
+                    table = np.broadcast_to((v * WALKS + w) * BANDS + np.arange(count), key.shape)
+                    out.append(np.stack([np.repeat(at, count), table.ravel(), key.ravel(), more.ravel()]))
     return tuple(np.concatenate(out, axis=1))
 
 
-def banded(prints: DataFrame) -> DataFrame:
-    """(table, key, more, id, class) of prints(id, fingerprint, class), by the parts of a table that share its first `BAND` samples."""
+def banded(prints: DataFrame, count: int = BANDS) -> DataFrame:
+    """(table, key, more, id, class, n_chars) of prints(id, fingerprint, class, n_chars), by the parts of a table that share its first `BAND` samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, table, key, more = bands_of(batch.column("fingerprint").to_pylist())
+            of, table, key, more = bands_of(batch.column("fingerprint").to_pylist(), count)
             of = pa.array(of)
-            yield pa.record_batch([pa.array(table.astype(np.int32)), pa.array(key), pa.array(more), batch.column("id").take(of), batch.column("class").take(of)], names=["table", "key", "more", "id", "class"])
+            yield pa.record_batch([pa.array(table.astype(np.int32)), pa.array(key), pa.array(more), batch.column("id").take(of), batch.column("class").take(of), batch.column("n_chars").take(of)], names=["table", "key", "more", "id", "class", "n_chars"])
 
-    each = mapped(prints.select("id", "fingerprint", "class"), run, "table int, key long, more long, id long, class long")
+    each = mapped(prints.select("id", "fingerprint", "class", F.col("n_chars").cast("long")), run, "table int, key long, more long, id long, class long, n_chars long")
     return each.repartition(max(1, partitions(prints.sparkSession)), "table", F.shiftright("key", 64 - 4 * BAND))
 
 
@@ -376,8 +380,8 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 16 - np.bitwise_count(differ).astype(np.int64)
 
 
-def met_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b, times): ids of prints(id, fingerprint) that lie next to each other in so many tables of bands, a < b.
+def met_pairs(prints: DataFrame, count: int = BANDS) -> DataFrame:
+    """(a, b, times): ids of prints(id, fingerprint) that lie next to each other in so many tables of bands (the first of each walk), a < b.
 
     A table orders all texts by the band's samples; a text meets the `NEIGHBOURS` before it, if they agree on the first
     `BAND` samples and on `AGREE` of all. So the work is linear however many texts share a band, and with more texts
@@ -398,7 +402,7 @@ def met_pairs(prints: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             held = [x[-NEIGHBOURS:] for x in (table, key, more, ids)]
 
-    placed = banded(prints.withColumn("class", F.lit(0).cast("long"))).drop("class").sortWithinPartitions("table", "key", "id")
+    placed = banded(prints.select("id", "fingerprint", F.lit(0).cast("long").alias("class"), F.lit(0).alias("n_chars")), count).drop("class", "n_chars").sortWithinPartitions("table", "key", "id")
     return mapped(placed, neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -406,10 +410,13 @@ def pairs_apart(prints: DataFrame) -> DataFrame:
     """(a, b, times): all ids of prints(id, fingerprint, class) of two classes that agree on a table's first samples and on `AGREE`.
 
     No text's partners are limited: what `met_pairs` leaves out, since nearer neighbours stood between, is here. Texts
-    of one class are not compared, so a large group of near copies costs no pairs once it is connected.
+    of one class are not compared, so a large group of near copies costs no pairs once it is connected. Where prints has
+    n_chars, pairs whose lengths differ by more edits than near copies have are left out: they are not near.
     """
+    if "n_chars" not in prints.columns:
+        prints = prints.withColumn("n_chars", F.lit(0))
 
-    def compared(table: np.ndarray, prefix: np.ndarray, key: np.ndarray, more: np.ndarray, ids: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compared(table: np.ndarray, prefix: np.ndarray, key: np.ndarray, more: np.ndarray, ids: np.ndarray, of: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = (table[1:] != table[:-1]) | (prefix[1:] != prefix[:-1])
         ends = np.append(np.flatnonzero(new) + 1, len(ids))
         class_ends = np.append(np.flatnonzero(new | (of[1:] != of[:-1])) + 1, len(ids))
@@ -418,15 +425,17 @@ def pairs_apart(prints: DataFrame) -> DataFrame:
         while len(at):
             some = other < stop
             at, other, stop = at[some], other[some], stop[some]
-            near = agreeing(key[at], key[other]) + agreeing(more[at], more[other]) >= AGREE
+            able = np.abs(size[at] - size[other]) <= most_edits(np.maximum(size[at], size[other]))
+            i, j = at[able], other[able]
+            near = agreeing(key[i], key[j]) + agreeing(more[i], more[j]) >= AGREE
             if near.any():
-                x, y = ids[at[near]], ids[other[near]]
+                x, y = ids[i[near]], ids[j[near]]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             other = other + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 6
-        names, size, wanted = ("table", "prefix", "key", "more", "id", "class"), 0, 0
+        held = [np.zeros(0, dtype=np.int64)] * 7
+        names, size, wanted = ("table", "prefix", "key", "more", "id", "class", "n_chars"), 0, 0
         waiting: list[list[np.ndarray]] = []
         for batch in batches:
             waiting.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
@@ -459,6 +468,42 @@ def grams_shared(a: np.ndarray, b: np.ndarray, most: int, q: int) -> bool:
     return int(np.minimum(n[i], m[j]).sum()) >= need
 
 
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """No less than the edit distance of two texts: the edits between the runs of `ANCHOR` code points that each has once, where these are in one order.
+
+    Where edits lie further apart than a run, as in most near copies, this is about the distance itself.
+    """
+    n, m, q = len(a), len(b), ANCHOR
+    if min(n, m) < q:
+        return max(n, m)
+    (x, i), (y, j) = (_single(window_hashes(t.astype(np.uint64), q)) for t in (a, b))
+    _, u, v = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    i, j = i[u], j[v]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    same = (np.lib.stride_tricks.sliding_window_view(a, q)[i] == np.lib.stride_tricks.sliding_window_view(b, q)[j]).all(axis=1)
+    i, j = i[same], j[same]
+    if not len(i):
+        return max(n, m)
+    rising = (np.maximum.accumulate(j) == j) & (np.minimum.accumulate(j[::-1])[::-1] == j)
+    i, j = i[rising], j[rising]
+    if not len(i):
+        return max(n, m)
+    di, dj = np.diff(i), np.diff(j)
+    shorter = np.minimum(np.minimum(di, dj), q)  # runs that overlap count up to where the next begins
+    between = np.maximum(di, dj) - shorter
+    return int(between.sum()) + max(int(i[0]), int(j[0])) + max(n - q - int(i[-1]), m - q - int(j[-1]))
+
+
+def _single(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the hashes that occur once."""
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])
+    once = new[1:] & new[:-1]
+    return sorted_[once], order[once]
+
+
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the edit distance of two texts in code points is at most so much: how far each diagonal gets with 0, 1, ... edits.
 
@@ -479,6 +524,8 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     end = int(differ[0]) if len(differ) else short - head
     a, b = a[head : n - end], b[head : m - end]
     n, m = len(a), len(b)
+    if aligned(a, b) <= most:
+        return True
     if max(n, m) <= SHORT:
         return edit_distance(a.tolist(), b.tolist()) <= most
     wide = 4096
@@ -530,14 +577,14 @@ def near_classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
 
     Pairs are near within `EDITS` edits a character of the longer text. First each text is compared with the one it met
     most often among its neighbours in the tables of bands; then all pairs that agree on a band and are not connected yet,
-    of each text first the pair that met most often, then twice as many each round. So groups of any size are linear work
+    of each text first the pair that met most often, then four times as many each round. So groups of any size are linear work
     where their texts connect, and no pair of a band is left out where they do not.
     """
     most = F.max_by("a", F.struct("times", -F.col("a")))
-    pairs = written(met_pairs(prints).groupBy("b").agg(most.alias("a")).select("a", "b"), "met")
+    pairs = written(met_pairs(prints, FIRST_BANDS).groupBy("b").agg(most.alias("a")).select("a", "b"), "met")
     found = written(_near_pairs(pairs, _brought(pairs, texts)), "near")
     classes = written(components(found), "near-groups")
-    of = prints.join(classes.withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left").select("id", "fingerprint", F.coalesce("component", "id").alias("class"))
+    of = prints.join(classes.withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left").select("id", *(c for c in ("fingerprint", "n_chars") if c in prints.columns), F.coalesce("component", "id").alias("class"))
     left, k = written(pairs_apart(of).join(pairs, ["a", "b"], "left_anti"), "met"), 1
     brought = _brought(left, texts) if not left.isEmpty() else None
     while not left.isEmpty():
@@ -545,18 +592,29 @@ def near_classes(prints: DataFrame, texts: DataFrame) -> DataFrame:
         ranked = left.withColumn("turn", turn)
         close = written(_near_pairs(ranked.filter(F.col("turn") <= k).select("a", "b"), brought), "near")
         if not close.isEmpty():
-            found = found.unionByName(close)
-            classes = written(components(found), "near-groups")
+            classes = _joined(classes, close)
         of = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"{side}_class"))
         rest = ranked.filter(F.col("turn") > k).drop("turn").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = F.coalesce("a_class", "a") != F.coalesce("b_class", "b")
-        before, left, k = left, written(rest.filter(apart).select("a", "b", "times"), "met"), 2 * k
+        before, left, k = left, written(rest.filter(apart).select("a", "b", "times"), "met"), 4 * k
         discarded(before)
     if brought is not None:
         discarded(brought)
     return classes
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes(id, component) with links(a, b) more: only the classes that these connect are grouped again, not all earlier links."""
+    named = lambda side: classes.select(F.col("id").alias(side), F.col("component").alias(f"{side}_class"))
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    edges = ends.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    merged = components(edges).select(F.col("id").alias("old"), F.col("component").alias("new"))
+    both = classes.join(merged, F.col("component") == F.col("old"), "full")
+    # a text without a class so far is its own
+    moved = both.select(F.coalesce("id", "old").alias("id"), F.coalesce("new", "component").alias("component"))
+    return written(moved, "near-groups")
+
+
 def _brought(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of texts(id, text) that pairs(a, b) name, each once."""
     met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -591,8 +649,13 @@ def _near_centre(pdf: pd.DataFrame) -> pd.DataFrame | None:
     return pd.DataFrame(found, columns=["a", "b"]) if found else None
 
 
+def most_edits(n: np.ndarray) -> np.ndarray:
+    """Edits of near copies, the longer of which has n characters."""
+    return np.floor(EDITS * n + 1e-9).astype(np.int64)
+
+
 def near(a: np.ndarray, b: np.ndarray) -> bool:
-    return within(a, b, int(EDITS * max(len(a), len(b)) + 1e-9))
+    return within(a, b, int(most_edits(np.array(max(len(a), len(b))))))
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -658,7 +721,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("id"), "text")
     with shuffles_dropped(spark):
         rows = written(with_edited(docs), "edited", "zstd")
-        prints = rows.groupBy(F.col("text_hash").alias("id")).agg(F.first("fingerprint").alias("fingerprint"))
+        prints = rows.groupBy(F.col("text_hash").alias("id")).agg(F.first("fingerprint").alias("fingerprint"), F.first("n_chars").alias("n_chars"))
         classes = near_classes(written(prints, "fingerprints", "zstd"), texts).withColumnRenamed("id", "c")
         at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")
         named = rows.groupBy(F.col("text_hash").alias("t")).agg(F.min(at).alias("first")).join(classes, F.col("t") == F.col("c"), "left")

@@ -214,3 +214,37 @@ def test_bands_of_many_are_those_of_each():
     of, *rest = fingerprint.bands_of(prints)
     got = sorted(zip(of.tolist(), *(x.tolist() for x in rest), strict=True))
     assert got == sorted((i, *x) for i, p in enumerate(prints) for x in zip(*fingerprint.bands(p).tolist(), strict=True))
+
+
+def test_aligned_is_never_less_than_the_distance():
+    rng = random.Random(17)
+    for _ in range(150):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(5, 400)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 12)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(3)] = rng.choice(["", "x", "yz", "".join(b[:20])])
+        x, y = fingerprint.text_codes(a), fingerprint.text_codes("".join(b))
+        bound, least = fingerprint.aligned(x, y), fingerprint.edit_distance(x.tolist(), y.tolist())
+        assert bound >= least
+    for _ in range(5):  # edits that lie apart are counted one by one, or nearly so
+        a = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+        b = list(a)
+        for i in range(50, 2000, 100):
+            b[i] = rng.choice(["", "x", "yz"])
+        assert 20 <= fingerprint.aligned(fingerprint.text_codes(a), fingerprint.text_codes("".join(b))) <= 40
+
+
+def test_texts_of_far_lengths_are_no_pairs(spark):
+    """Texts that agree on a whole band: those whose lengths differ by more than near copies' may are not compared."""
+    print_of = fingerprint.fingerprints(["some words " * 40])[0][0]
+    rows = [(1, print_of, 1000, 1), (2, print_of, 1111, 2), (3, print_of, 1112, 3), (4, print_of, 1235, 3)]
+    prints = spark.createDataFrame(rows, "id long, fingerprint string, n_chars long, class long")
+    assert {(r["a"], r["b"]) for r in fingerprint.pairs_apart(prints).collect()} == {(1, 2), (2, 3)}
+
+
+def test_classes_joined_by_new_links(spark):
+    classes = spark.createDataFrame([(1, 1), (5, 1), (3, 3), (7, 3), (2, 2), (9, 2)], "id long, component long")
+    links = spark.createDataFrame([(5, 7), (0, 9), (10, 11)], "a long, b long")
+    found = sorted((r["id"], r["component"]) for r in fingerprint._joined(classes, links).collect())
+    assert found == [(0, 0), (1, 1), (2, 0), (3, 1), (5, 1), (7, 1), (9, 0), (10, 10), (11, 10)]
