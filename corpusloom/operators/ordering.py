@@ -32,6 +32,20 @@ def ranked(df: DataFrame, by: str, ident: str) -> DataFrame:
     return both.withColumn("_place", F.col("_in") + F.col("_before")).drop("_block", "_by", "_of", "_rows", "_before", "_in")
 
 
+def summed_before(df: DataFrame, by: str, ident: str, count: str) -> DataFrame:
+    """df with _before: the sum of count over the rows of its group before it, by ident, which tells them apart.
+
+    The window over a whole group sees one row per block of ids.
+    """
+    df = df.withColumn("_block", _block(ident))
+    blocks = df.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_of")).agg(F.sum(count).alias("_sum"))
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_earlier", sums("_sum", Window.partitionBy("_by").orderBy("_of")))
+    inside = df.withColumn("_in", sums(count, Window.partitionBy(by, "_block").orderBy(ident)))
+    both = inside.join(blocks, F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return both.withColumn("_before", F.col("_in") + F.col("_earlier")).drop("_block", "_by", "_of", "_sum", "_earlier", "_in")
+
+
 def followers(df: DataFrame, by: str, ident: str, order: list[str], n: int, *payload: str) -> DataFrame:
     """df with _next: the payload of the next n rows of its group, null past the end; order begins with ident.
 
