@@ -10,6 +10,8 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +73,17 @@ _POINTS = r"""SELECT doc_id, place, t AS text, length(t) AS n FROM (SELECT doc_i
 trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) > 0"""
 
 
+def lines_of(text: Column) -> Column:
+    """The lines with text of one document, as an array of (place, text): those of `points`."""
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("place"), F.trim(F.regexp_replace(line, r"\s+", " ")).alias("text")))
+    return F.filter(lines, lambda x: x["text"] != "")
+
+
+def says(text: Column, cues: str) -> Column:
+    """Whether a text holds one of the cues. Each is looked for as it is: a pattern of all would be tried from every character."""
+    return reduce(or_, (F.contains(text, F.lit(c)) for c in cues.split("|")))
+
+
 def edges_of(p: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, *keep, from_place, to_place, confidence, rank): each point with the next two of its document, the best rule per pair.
 
@@ -78,7 +91,7 @@ def edges_of(p: DataFrame, *keep: str) -> DataFrame:
     What the rules look at is computed once a point, before the points meet.
     """
     text = F.col("text")
-    p = once(p.select("doc_id", *keep, "place", "text"), {"words": lx.words(text), "number": order_number(text), "basic": text.rlike(BASIC), "advanced": text.rlike(ADVANCED)})
+    p = once(p.select("doc_id", *keep, "place", "text"), {"words": lx.words(text), "number": order_number(text), "basic": says(text, BASIC), "advanced": says(text, ADVANCED)})
     by = Window.partitionBy("doc_id").orderBy("place")
     row = F.struct("place", "words", "number", "advanced")
     pairs = p.select("doc_id", *keep, F.col("place").alias("from_place"), "words", "number", "basic", F.array(*(F.lead(row, i).over(by) for i in (1, 2))).alias("next"))
@@ -108,20 +121,30 @@ def rule_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges_of(points(spark, d))
 
 
+def rim(line: Column, many: Column) -> Column:
+    """Whether a line, numbered from 0, is one of the first or last of its document's, which may lead to another document."""
+    return (line < NEAR_DOCUMENTS) | (line >= many - NEAR_DOCUMENTS)
+
+
 def cross_edges(p: DataFrame) -> DataFrame:
-    """(kb, from_doc, from_place, to_doc, to_place, confidence) of p(kb, doc_id, place, text): weak edges between documents.
+    """(kb, from_doc, from_place, to_doc, to_place, confidence) of p(kb, doc_id, place, text[, rim]): weak edges between documents.
 
     Points stand in one order per base, by document and place. A numbered or basic point leads to those of the next
     three that belong to another document and share two words with it. Only the first three and last three points of
     a document can be part of such a pair: where points between them are left out, six of one document remain.
     """
-    by = Window.partitionBy("doc_id")
-    edge = p.withColumn("_first", F.row_number().over(by.orderBy("place"))).withColumn("_last", F.row_number().over(by.orderBy(F.desc("place"))))
-    edge = edge.filter((F.col("_first") <= NEAR_DOCUMENTS) | (F.col("_last") <= NEAR_DOCUMENTS)).select("kb", "doc_id", "place", "text")
+    text, edge = F.col("text"), p
+    if "rim" not in p.columns:
+        by = Window.partitionBy("doc_id")
+        edge = p.withColumn("_first", F.row_number().over(by.orderBy("place"))).withColumn("_many", F.count(F.lit(1)).over(by))
+        edge = edge.withColumn("rim", rim(F.col("_first") - 1, F.col("_many")))
+    edge = edge.filter("rim").select("kb", "doc_id", "place", "text")
     after = followers(edge, "kb", "doc_id", ["doc_id", "place"], NEAR_DOCUMENTS, "doc_id", "place", "text")
-    leads = order_number(F.col("text")).isNotNull() | F.col("text").rlike(BASIC)
-    pairs = after.filter(leads).select("kb", F.col("doc_id").alias("from_doc"), F.col("place").alias("from_place"), "text", F.explode("_next").alias("to")).filter("to.doc_id <> from_doc")
-    pairs = pairs.filter(lx.overlap(F.col("text"), F.col("to.text")) >= 2)
+    after = after.filter(F.exists("_next", lambda x: x["doc_id"] != F.col("doc_id"))).select("kb", F.col("doc_id").alias("from_doc"), F.col("place").alias("from_place"), "text", "_next")
+    # what the rules look at is computed once, only for points before another document's
+    after = once(after, {"leads": order_number(text).isNotNull() | says(text, BASIC), "words": lx.words(text)}).filter("leads")
+    pairs = after.select("kb", "from_doc", "from_place", "words", F.explode("_next").alias("to")).filter("to.doc_id <> from_doc")
+    pairs = pairs.filter(F.size(F.array_intersect("words", lx.words(F.col("to.text")))) >= 2)
     return pairs.select("kb", "from_doc", "from_place", F.col("to.doc_id").alias("to_doc"), F.col("to.place").alias("to_place"), F.lit(LIGHT).alias("confidence"))
 
 
