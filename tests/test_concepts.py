@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import keys
@@ -89,3 +92,28 @@ def test_common_bigrams_are_not_met_pair_by_pair(spark, duck, monkeypatch):
     pairs = concepts._compared(spark.createDataFrame(rows, "kb string, id long, key string").coalesce(1), False)
     assert pairs.count() == 200 * 199 // 2
     assert "explode(grams" not in pairs._jdf.queryExecution().toString()
+
+
+def test_pairs_leave_in_small_batches(monkeypatch):
+    """A group whose pairs all reach the limit holds a tile of them, not all."""
+    monkeypatch.setattr(concepts, "ROWS", 100)
+    monkeypatch.setattr(concepts, "TILE", 7)
+    rows = pa.table({"kb": ["k"] * 60, "id": range(60), "grams": ["abcd"] * 60, "n": [2] * 60, "_i": [0] * 60, "_j": [0] * 60, "_side": [0] * 60})
+    sizes = [x.num_rows for x in concepts._pairs_of(False, None)(iter(rows.to_batches()))]
+    assert sum(sizes) == 60 * 59 // 2 and max(sizes) <= 100
+
+
+def test_pairs_are_dealt_by_work_and_size(spark, monkeypatch):
+    """Few bytes make many tasks where pairs are many; sets of sizes too far apart do not meet; no pair at the limit is lost."""
+    monkeypatch.setattr(concepts, "BLOCK", 4)
+    monkeypatch.setattr(concepts, "PAIRS", 50)
+    rng, letters = random.Random(7), [chr(0x4E00 + i) for i in range(90)]
+    words = ["".join(letters[:n]) for n in range(5, 90, 2)] + ["".join(rng.sample(letters[:30], rng.randint(4, 20))) for _ in range(20)]
+    df = spark.createDataFrame([("k", i, w) for i, w in enumerate(words)] + [("j", 500 + i, w) for i, w in enumerate(words[:3])], "kb string, id long, key string")
+    pairs = concepts._compared(df, False)
+    assert pairs.rdd.getNumPartitions() > 10
+    sets = [{w[i : i + 2] for i in range(len(w) - 1)} for w in words]
+    want = {("k", a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= concepts.MIN_JACCARD}
+    got = concepts._reaching(pairs).collect()
+    assert len(got) == len({tuple(r)[:3] for r in got}) and {(r["kb"], r["b"], r["a"]) for r in got if r["kb"] == "k"} == want
+    assert {(r["a"], r["b"]) for r in got if r["kb"] == "j"} == {(500, 501), (501, 502), (500, 502)} - {(500 + b, 500 + a) for a in range(3) for b in range(a) if ("k", a, b) not in want}
