@@ -117,3 +117,12 @@ def test_pairs_are_dealt_by_work_and_size(spark, monkeypatch):
     got = concepts._reaching(pairs).collect()
     assert len(got) == len({tuple(r)[:3] for r in got}) and {(r["kb"], r["b"], r["a"]) for r in got if r["kb"] == "k"} == want
     assert {(r["a"], r["b"]) for r in got if r["kb"] == "j"} == {(500, 501), (501, 502), (500, 502)} - {(500 + b, 500 + a) for a in range(3) for b in range(a) if ("k", a, b) not in want}
+
+
+def test_similarity_is_the_rounded_quotient(spark):
+    """Every quotient of small sets, halves of the last place included (59 / 128), rounds as a decimal does."""
+    pairs = spark.range(1, 1300).selectExpr("id AS any").selectExpr("any", "explode(sequence(1L, any)) AS both").filter("any < 700 OR any IN (1024, 1280)")
+    both = concepts._reaching(pairs).withColumn("want", F.round(F.col("both") / F.col("any"), 6))
+    assert both.filter("similarity <> want").isEmpty() and not both.filter("both = 59 AND any = 128 AND similarity = 0.460938").isEmpty()
+    assert both.count() == pairs.filter(F.round(F.col("both") / F.col("any"), 6) >= concepts.MIN_JACCARD).count()
+    assert "round(" not in both.drop("want")._jdf.queryExecution().optimizedPlan().toString()
